@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat_perspectives, quality_ranking, quality_rules, secret_scans, url_aliases
+from . import chat_perspectives, lexicon_bpe, packing, quality_ranking, quality_rules, secret_scans, url_aliases
 
 
 def queries() -> dict:
     return {
         "op2_secret_scans": secret_scans.op2_secret_scans,
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_lexicon_bpe": lexicon_bpe.op4_lexicon_bpe,
         "op6_quality_ranking": quality_ranking.op6_quality_ranking,
         "op8_chat_perspectives": chat_perspectives.op8_chat_perspectives,
         "op9_url_aliases": url_aliases.op9_url_aliases,
+        "op10_packing": packing.op10_packing,
     }
 
 
