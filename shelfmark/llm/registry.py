@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat_perspectives, lexicon_bpe, packing, quality_ranking, quality_rules, secret_scans, url_aliases
+from . import chat_perspectives, embedding_forest, lexicon_bpe, ngram_join, packing, quality_ranking, quality_rules, secret_scans, suffix_tree_lm, url_aliases
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_tree_lm": suffix_tree_lm.op1_suffix_tree_lm,
         "op2_secret_scans": secret_scans.op2_secret_scans,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_lexicon_bpe": lexicon_bpe.op4_lexicon_bpe,
+        "op5_ngram_join": ngram_join.op5_ngram_join,
         "op6_quality_ranking": quality_ranking.op6_quality_ranking,
+        "op7_embedding_forest": embedding_forest.op7_embedding_forest,
         "op8_chat_perspectives": chat_perspectives.op8_chat_perspectives,
         "op9_url_aliases": url_aliases.op9_url_aliases,
         "op10_packing": packing.op10_packing,
