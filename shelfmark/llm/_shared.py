@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,3 +29,15 @@ def words_of(text: Column) -> Column:
     """Words between blanks, in order; null and blank texts have none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANK_CLASS + "+"))
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts with about ``limit`` bytes of text at most, or one longer text: what bounds a task's memory."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+        start = 0
+        while start < len(batch):
+            done = size[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(size, done + limit, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop

@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 from shelfmark.session import scratch_dir
 
 from . import _bpe
-from ._shared import table
+from ._shared import slices, table
 
 MIN_SHARE = 2e-5
+#: Bytes of text that a task handles at once.
+AT_ONCE = 8_000_000
 
 
 def pieces_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -160,7 +162,7 @@ def frequent(docs: DataFrame, text: str = "text", min_share: float = MIN_SHARE)
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, held = 0, {}
-        for batch in batches:
+        for batch in slices(batches, 0, AT_ONCE):
             if len(batch):
                 words, codes, _ = pieces_of(batch.column(0).fill_null(""))
                 n = np.bincount(codes, minlength=len(words))
@@ -214,7 +216,7 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, lexicon = _bpe.vocabulary(vocabulary), Lexicon.mapped(SparkFiles.get(name))
-        for batch in batches:
+        for batch in slices(batches, 1, AT_ONCE):
             if not len(batch):
                 continue
             ids, lens = encode_texts(batch.column(1).cast(pa.large_string()).fill_null(""), lexicon, v)
