@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from shelfmark.session import settle
 
 from . import _bpe
-from ._shared import table
+from ._shared import slices, table
 
 CAPACITY, CLOSING_ID, SALTS = 2048, 0, 1024
+#: Bytes of text that a task handles at once.
+AT_ONCE = 16_000_000
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -94,7 +96,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, closing:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _bpe.vocabulary(vocabulary)
-        for batch in batches:
+        for batch in slices(batches, 1, AT_ONCE):
             if not len(batch):
                 continue
             words, codes, per = _bpe.split_words(batch.column(1).fill_null(""))
