@@ -9,6 +9,7 @@ set of the next band can still be similar, in that one; and every set asks for t
 Budgets go where they are cheapest: a sketch counts how many sets of the corpus hold a segment's content, so passages that many
 documents share get no budget while other segments suffice. One-deletion neighbourhoods are indexed in small bands, where they are cheap, and in bands in which some
 document's segments can't sum to more than H without; a document that even so falls short is compared with its whole band. Any choice of budgets gives the same pairs in the end.
+Where single budgets go to C segments, C - H of them at least are equal in both sets, and pairs that agree in fewer are no candidates.
 
 Signatures travel packed, a row for each batch of documents and partition. Signature groups of up to ``SMALL`` sets give all their pairs; larger ones first give pairs with a few leaders
 only, and once these are verified and joined into components, just the pairs that cross components. Candidates are verified exactly on the whole sets; copies share one set and are
@@ -37,7 +38,9 @@ from ._shared import slices, table
 
 WIDTH = 5
 #: Bands below this one index one-deletion neighbourhoods; sketch of 2**SKETCH counters; groups up to SMALL give all pairs, larger ones those with LEADERS sets first.
-SMALL_BANDS, SKETCH, SMALL, LEADERS = 6, 20, 24, 4
+#: Budget beyond H + 1, so that several segments must agree.
+#: CHEAP is how many sets beyond the sketch's mean may hold a segment that gets a further budget.
+SMALL_BANDS, SKETCH, SMALL, LEADERS, MORE, CHEAP = 6, 21, 512, 4, 24, 12
 U = np.uint64
 #: Bytes of text that a task handles at once.
 AT_ONCE = 8_000_000
@@ -82,7 +85,7 @@ def key_of(own: np.ndarray) -> int:
 
 
 def segments_in(band: np.ndarray) -> np.ndarray:
-    """Number of segments by band: four times the least size in small bands, so that few share a segment, else that size."""
+    """Number of segments by band: four times the least size in small bands, so that few elements share a segment, else that size."""
     return np.where(band < SMALL_BANDS, 4 << band, 1 << band)
 
 
@@ -134,28 +137,35 @@ def shortage(s: Segmented) -> np.ndarray:
     return (one < need).astype(np.int64) + (one + two < need)
 
 
-def budgets(s: Segmented, cost: np.ndarray, deep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which segments get a budget, and which a double one, by increasing cost until the sum exceeds H."""
+def budgets(s: Segmented, cost: np.ndarray, deep: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which segments get a budget, and which a double one, by increasing cost until the sum exceeds H, and further ones (MORE at most) that cost no more than ``limit``; by set how many must agree."""
     twice = np.flatnonzero((s.count > 1) & deep)
     price = np.concatenate([cost, cost[twice] * (1 + s.count[twice])])
     seg = np.concatenate([np.arange(len(cost)), twice])
     order = np.lexsort((np.arange(len(seg)), price, s.owner[seg]))
     per = np.bincount(s.owner[seg], minlength=s.sets)
     rank = np.arange(len(seg)) - np.repeat(_bpe.starts_of(per), per)
-    picked = order[rank < (2 * s.size // 7 + 1)[s.owner[seg[order]]]]
+    single = np.bincount(s.owner, minlength=s.sets)
+    h = 2 * s.size // 7
+    # Single budgets on C segments leave C - H of them equal at least; a signature may collide, so one less is asked for.
+    cheap = np.bincount(s.owner, weights=cost <= limit, minlength=s.sets).astype(np.int64)
+    most = np.where(single > h, np.maximum(np.minimum(cheap, h + MORE), h + 1), h + 1)
+    picked = order[rank < most[s.owner[seg[order]]]]
     got = np.zeros(len(seg), dtype=bool)
     got[picked] = True
     double = np.zeros(len(cost), dtype=bool)
     double[twice] = got[len(cost) :]
-    return got[: len(cost)], double
+    need = np.where(np.bincount(s.owner, weights=double, minlength=s.sets) > 0, 1, np.maximum(1, most - h - 1))
+    return got[: len(cost)], double, need
 
 
-def signatures(sets: list[np.ndarray], sketch: np.ndarray, short: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, signature, flags) of all that the sets index and ask for. ``short``: the worst shortage by band."""
+def signatures(sets: list[np.ndarray], sketch: np.ndarray, short: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, signature, flags) of all that the sets index and ask for, and by document how many asked signatures a partner must have. ``short``: the worst shortage by band."""
     size = np.array([len(x) for x in sets], dtype=np.int64)
     own, upper = bands_of(size)
     level = np.array([max(short.get(b, 0), b < SMALL_BANDS) for b in range(66)])
     doc, sig, flag = [], [], []
+    needs = np.ones(len(sets), dtype=np.int64)
 
     def put(d, x, f):
         doc.append(d), sig.append(x), flag.append(np.full(len(d), f) if np.isscalar(f) else f)
@@ -164,13 +174,14 @@ def signatures(sets: list[np.ndarray], sketch: np.ndarray, short: dict[int, int]
         s = Segmented(sets, band)
         deep = level[s.band] > 0
         if asks:
-            ask, double = budgets(s, sketch[(s.full >> U(64 - SKETCH)).astype(np.int64)], deep)
+            ask, double, needs[s.use] = budgets(s, sketch[(s.full >> U(64 - SKETCH)).astype(np.int64)], deep, CHEAP + sketch.mean())
             put(s.doc, s.full, np.where(ask, INDEX | ASK, INDEX))
             put(s.doc[double], s.longer[double], ASK)
             src, near, _ = s.shorter(double)
             put(s.doc[src], near, ASK)
             lost = shortage(s) == 2
             every = s.use[lost]
+            needs[every] = 1
             put(every, mix(band[every].astype(np.uint64) + U(0xA110000)), ASK)
         else:
             put(s.doc, s.full, INDEX)
@@ -178,7 +189,7 @@ def signatures(sets: list[np.ndarray], sketch: np.ndarray, short: dict[int, int]
         put(s.doc[src], near, INDEX)
         every = s.use[level[band[s.use]] == 2]
         put(every, mix(band[every].astype(np.uint64) + U(0xA110000)), INDEX)
-    return np.concatenate(doc), np.concatenate(sig), np.concatenate(flag)
+    return np.concatenate(doc), np.concatenate(sig), np.concatenate(flag), needs
 
 
 def survey(docs: DataFrame) -> DataFrame:
@@ -207,7 +218,7 @@ def survey(docs: DataFrame) -> DataFrame:
                         short[b] = max(short.get(b, 0), x)
             none = [None] * len(sets)
             yield rows(batch.column(0), size, [key_of(x) if len(x) else None for x in sets], none, none)
-        parts = [(i, c.astype("<i4").tobytes()) for i, c in enumerate(counts.reshape(64, -1)) if c.any()]
+        parts = [(i, np.minimum(c, 65535).astype("<u2").tobytes()) for i, c in enumerate(counts.reshape(64, -1)) if c.any()]
         parts += [(-1 - b, np.array([x], dtype="<i4").tobytes()) for b, x in short.items()]
         if parts:
             n = len(parts)
@@ -220,7 +231,8 @@ def merged_counters(surveyed: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
     """The sketch and the worst shortage by band: of fixed size, whatever the corpus."""
 
     def of(group: pa.Table) -> pa.Table:
-        c, parts = group["chunk"][0].as_py(), [np.frombuffer(x, dtype="<i4") for x in group["counters"].to_pylist()]
+        c = group["chunk"][0].as_py()
+        parts = [np.frombuffer(x, dtype="<i4" if c < 0 else "<u2") for x in group["counters"].to_pylist()]
         total = np.max(parts, axis=0) if c < 0 else np.minimum(np.sum(parts, axis=0, dtype=np.int64), 2**31 - 1)
         return pa.table({"chunk": pa.array([c], pa.int32()), "counters": pa.array([total.astype("<i4").tobytes()], pa.binary())})
 
@@ -246,7 +258,7 @@ def packed(docs: DataFrame, sketch: np.ndarray, short: dict[int, int], parts: in
             if not any(len(x) for x in sets):
                 continue
             size = np.array([len(x) for x in sets], dtype=np.int32)
-            doc, sig, flag = signatures(sets, shared.value.astype(np.int64), short)
+            doc, sig, flag, needs = signatures(sets, shared.value.astype(np.int64), short)
             p = (sig % U(parts)).astype(np.int64)
             order = np.lexsort((doc, p))
             doc, p = doc[order], p[order]
@@ -255,11 +267,11 @@ def packed(docs: DataFrame, sketch: np.ndarray, short: dict[int, int], parts: in
             rows = []
             for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 own, n = np.unique(doc[a:b], return_counts=True)
-                rows.append((p[a], keys[own].astype("<i8").tobytes(), size[own].astype("<i4").tobytes(), n.astype("<i4").tobytes(), small[a:b].tobytes()))
+                rows.append((p[a], keys[own].astype("<i8").tobytes(), size[own].astype("<i4").tobytes(), needs[own].astype("<u1").tobytes(), n.astype("<i4").tobytes(), small[a:b].tobytes()))
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["p", "keys", "sizes", "counts", "sigs"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["p", "keys", "sizes", "needs", "counts", "sigs"])
 
-    return docs.mapInArrow(of, "p int, keys binary, sizes binary, counts binary, sigs binary")
+    return docs.mapInArrow(of, "p int, keys binary, sizes binary, needs binary, counts binary, sigs binary")
 
 
 def feasible(na, nb, fa, fb) -> np.ndarray:
@@ -268,56 +280,71 @@ def feasible(na, nb, fa, fb) -> np.ndarray:
     return sizes & (((na >= nb) & (fa & ASK > 0) & (fb & INDEX > 0)) | ((nb >= na) & (fb & ASK > 0) & (fa & INDEX > 0)))
 
 
-PAIRS = "a long, b long, gid long, n int, flag int"
+PAIRS = "a long, b long, gid long, n int, flag int, need int"
+
+
+def tallied(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows (a, b, need, n) with one row for each pair: its least need and the sum of n."""
+    x = np.concatenate(parts) if parts else np.zeros((0, 4), dtype=np.int64)
+    x = x[np.lexsort((x[:, 1], x[:, 0]))]
+    at = np.flatnonzero(np.append(True, (x[1:, :2] != x[:-1, :2]).any(axis=1))) if len(x) else np.zeros(0, dtype=np.int64)
+    return np.column_stack([x[at, :2], np.minimum.reduceat(x[:, 2], at), np.add.reduceat(x[:, 3], at)]) if len(x) else x
 
 
 def group_pairs(group: pa.Table) -> pa.Table:
-    """Candidates of one partition: rows (a, b) with a < b, and rows (a, gid, n, flag) for the members of large groups."""
+    """Candidates of one partition: rows (a, b, n) with a < b and the number n of signatures they agree in, and rows (a, gid, n, flag) for the members of large groups in which someone asks."""
     join = lambda c, t: np.concatenate([np.frombuffer(x, dtype=t) for x in group[c].to_pylist()])
-    keys, sizes, counts, sigs = join("keys", "<i8"), join("sizes", "<i4"), join("counts", "<i4"), join("sigs", "<u4")
+    keys, sizes, needs, counts, sigs = join("keys", "<i8"), join("sizes", "<i4"), join("needs", "<u1"), join("counts", "<i4"), join("sigs", "<u4")
     p = group["p"][0].as_py()
-    node, size = np.repeat(keys, counts), np.repeat(sizes, counts).astype(np.int64)
+    node, size, need = np.repeat(keys, counts), np.repeat(sizes, counts).astype(np.int64), np.repeat(needs, counts).astype(np.int64)
     sig, flag = sigs >> 2, (sigs & 3).astype(np.int64)
     order = np.argsort(sig, kind="stable")
     again = np.append(True, sig[order][1:] != sig[order][:-1])
     many = np.diff(np.append(np.flatnonzero(again), len(order)))
     order = order[np.repeat(many > 1, many)]  # most signatures are one set's
     order = order[np.lexsort((node[order], sig[order]))]
-    sig, node, size, flag = sig[order], node[order], size[order], flag[order]
+    sig, node, size, flag, need = sig[order], node[order], size[order], flag[order], need[order]
     new = np.append(True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])) if len(sig) else np.zeros(0, dtype=bool)
     at = np.flatnonzero(new)
     flag = np.bitwise_or.reduceat(flag, at) if len(at) else flag
-    sig, node, size = sig[at], node[at], size[at]
+    sig, node, size, need = sig[at], node[at], size[at], need[at]
     start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, dtype=np.int64)
     g = np.diff(np.append(start, len(sig)))
     pairs = []
 
     def offer(i, j):
         ok = feasible(size[i], size[j], flag[i], flag[j])
-        pairs.append(np.unique(np.stack([node[i][ok], node[j][ok]], axis=1), axis=0))
-
-    for k in range(2, SMALL + 1):
-        base = start[g == k]
-        if len(base):
-            for i in range(k):
-                for j in range(i + 1, k):
-                    offer(base + i, base + j)
+        i, j = i[ok], j[ok]
+        least = np.where(size[i] > size[j], need[i], np.where(size[j] > size[i], need[j], np.minimum(need[i], need[j])))
+        pairs.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), least, np.ones(len(i), dtype=np.int64)], axis=1))
+
+    asked = np.bitwise_or.reduceat(flag, start) & ASK > 0 if len(start) else np.zeros(0, dtype=bool)
+    for k in np.unique(g[asked & (g > 1) & (g <= SMALL)]).tolist():
+        i, j = np.triu_indices(k, 1)
+        base = start[asked & (g == k)]
+        step = max(1, 1_000_000 // len(i))
+        for s in range(0, len(base), step):
+            own = base[s : s + step, None]
+            offer((own + i).ravel(), (own + j).ravel())
+        # Copies of a pair are counted as they come, so that no more than the distinct ones are held.
+        pairs[:] = [tallied(pairs)]
     big = g > SMALL
+    big &= asked
     member = _bpe.take_runs(start[big], g[big])
     lead_order = np.lexsort((mix(node[member].astype(np.uint64)), np.repeat(np.arange(big.sum()), g[big]))) if len(member) else member
     led = member[lead_order] if len(member) else member
     base = _bpe.starts_of(g[big]) if len(member) else np.zeros(0, dtype=np.int64)
     for leader in range(LEADERS if len(member) else 0):
         i = np.repeat(led[base + leader], g[big])
-        lo, hi = np.minimum(node[i], node[led]), np.maximum(node[i], node[led])
-        ok = (lo != hi) & (4 * np.minimum(size[i], size[led]) >= 3 * np.maximum(size[i], size[led]))
-        pairs.append(np.unique(np.stack([lo[ok], hi[ok]], axis=1), axis=0))
-    ab = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), dtype=np.int64)
+        offer(i[i != led], led[i != led])
+    ab = tallied(pairs)
+    n = ab[:, 3]
     none, m = [None] * len(ab), len(member)
     return pa.table({
         "a": pa.array(np.concatenate([ab[:, 0], node[member]])), "b": pa.concat_arrays([pa.array(ab[:, 1]), pa.nulls(m, pa.int64())]),
         "gid": pa.array([*none, *((p << 32) + sig[member].astype(np.int64)).tolist()], pa.int64()),
-        "n": pa.array([*none, *size[member].tolist()], pa.int32()), "flag": pa.array([*none, *flag[member].tolist()], pa.int32()),
+        "n": pa.array(np.concatenate([n, size[member]]).astype(np.int32)), "flag": pa.array([*none, *flag[member].tolist()], pa.int32()),
+        "need": pa.array(np.concatenate([ab[:, 2], need[member]]).astype(np.int32)),
     })
 
 
@@ -357,19 +384,23 @@ def join(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     own = nodes.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = settle(packed(docs, sketch, short, parts).groupBy("p").applyInArrow(group_pairs, PAIRS))
-    pairs = settle(found.where("b IS NOT NULL").select("a", "b").distinct())
+    counted = found.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
+    pairs = settle(counted.where("n >= need").select("a", "b"))
     links = settle(verified(pairs, docs, own))
     large = found.where("gid IS NOT NULL")
     if not large.isEmpty():
         comp = connected_components(links, "a", "b")
-        named = large.join(comp, large["a"] == comp["id"], "left").select("gid", "a", "n", "flag", F.coalesce("component", "a").alias("c"))
+        named = large.join(comp, large["a"] == comp["id"], "left").select("gid", "a", "n", "flag", "need", F.coalesce("component", "a").alias("c"))
         mixed = named.groupBy("gid").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("gid")
         named = settle(named.join(mixed, "gid", "left_semi"))
         l, r = named.alias("l"), named.alias("r")
         asks = f"(l.n >= r.n AND l.flag & {ASK} > 0 AND r.flag & {INDEX} > 0 OR r.n >= l.n AND r.flag & {ASK} > 0 AND l.flag & {INDEX} > 0)"
         on = F.expr(f"l.gid = r.gid AND l.a < r.a AND l.c <> r.c AND 4 * least(l.n, r.n) >= 3 * greatest(l.n, r.n) AND {asks}")
-        more = l.join(r, on).select(F.col("l.a").alias("a"), F.col("r.a").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        more = settle(more)
+        least = F.expr("CASE WHEN l.n > r.n THEN l.need WHEN r.n > l.n THEN r.need ELSE least(l.need, r.need) END").alias("need")
+        cross = l.join(r, on).select(F.col("l.a").alias("a"), F.col("r.a").alias("b"), F.lit(1).cast("long").alias("n"), least)
+        # What a pair agrees in outside the large groups counts as well.
+        cross = cross.unionByName(counted.where("n < need")).groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
+        more = settle(cross.where("n >= need").select("a", "b").join(pairs, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             links = settle(links.unionByName(verified(more, docs, own)))
     comp = connected_components(links, "a", "b")
