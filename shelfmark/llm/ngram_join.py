@@ -40,7 +40,7 @@ WIDTH = 5
 #: Bands below this one index one-deletion neighbourhoods; sketch of 2**SKETCH counters; groups up to SMALL give all pairs, larger ones those with LEADERS sets first.
 #: Budget beyond H + 1, so that several segments must agree.
 #: CHEAP is how many sets beyond the sketch's mean may hold a segment that gets a further budget.
-SMALL_BANDS, SKETCH, SMALL, LEADERS, MORE, CHEAP = 6, 21, 512, 4, 24, 12
+SMALL_BANDS, SKETCH, SMALL, LEADERS, MORE, CHEAP = 6, 21, 48, 4, 24, 12
 U = np.uint64
 #: Bytes of text that a task handles at once.
 AT_ONCE = 8_000_000
