@@ -34,4 +34,4 @@ def zero_filled(cells: DataFrame, dim: DataFrame, key: str, item: str, name: str
 
 def pivoted(cells: DataFrame, row: str, col: str, values: Sequence[str]) -> DataFrame:
     """Counts by row with a column for each of the given values."""
-    return cells.groupBy(row).pivot(col, list(values)).agg(F.count("*")).na.fill(0)
+    return cells.groupBy(row).pivot(col, list(values)).agg(F.count(F.lit(1))).na.fill(0)
