@@ -101,7 +101,7 @@ def counted(docs: DataFrame, keep: Sequence[str], text: str = "text") -> DataFra
 def measures(docs: DataFrame, keep: Sequence[str], text: str = "text", lang: str = "lang") -> DataFrame:
     """``counted`` with the two histograms: ``chars`` as in CHAR_BINS, ``common`` for the language's words and the other words."""
     own = docs.withColumn("_lang", docs[lang].cast("string"))
-    d = counted(own, [*keep, "_lang"], text).withColumn("lang", F.col("doc._lang"))
+    d = counted(own, [*keep, "_lang"], text).withColumn("lang", F.col("doc._lang")).withColumn("doc", F.col("doc").dropFields("_lang"))
     blank = F.col("n_chars") - F.col("word_chars")
     rest = F.col("word_chars") - F.col("n_lower") - F.col("n_upper") - F.col("n_digit") - F.col("n_symbols")
     bins = [F.col("n_lower"), F.col("n_upper"), F.col("n_digit"), blank, F.col("n_symbols"), rest]
