@@ -12,8 +12,9 @@ document's segments can't sum to more than H without; a document that even so fa
 Where single budgets go to C segments, C - H of them at least are equal in both sets, and pairs that agree in fewer are no candidates.
 
 Signatures travel packed, a row for each batch of documents and partition. Signature groups of up to ``SMALL`` sets give all their pairs; larger ones first give pairs with a few leaders
-only, and once these are verified and joined into components, just the pairs that cross components. Candidates are verified exactly on the whole sets; copies share one set and are
-represented once.
+only, and once these are verified and joined into components, just the pairs that cross components. The latter are compared in blocks of members by parity bitmaps: the bits in which
+two sets' bitmaps differ are no more than the elements in which the sets do, so that a pair with more than (n + n') / 7 of them has no link, and only the others become rows.
+Candidates are verified exactly on the whole sets; copies share one set and are represented once.
 
 Defined cases: null and blank texts have an empty set and are linked with nothing; a text of fewer than five words is one shingle; repeated rows of a doc_id count
 as one document with several texts of which each links; a null doc_id is kept with its own texts' links and can't be anyone's component; an empty table gives no rows.
@@ -45,6 +46,8 @@ U = np.uint64
 #: Bytes of text that a task handles at once.
 AT_ONCE = 8_000_000
 INDEX, ASK = 1, 2
+#: Bits of a set's parity bitmap are 2**MARK; members of a large group are compared by pairs of blocks of about BLOCK members; CELLS pairs are compared at once.
+MARK, BLOCK, CELLS = 11, 2048, 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,6 +87,12 @@ def key_of(own: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes()))))
 
 
+def parity(own: np.ndarray) -> bytes:
+    """A bit for each of 2**MARK cells: whether it holds an odd number of elements."""
+    at = (mix(own ^ U(0x3C3C)) >> U(64 - MARK)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=1 << MARK) & 1).astype(np.uint8)).tobytes()
+
+
 def segments_in(band: np.ndarray) -> np.ndarray:
     """Number of segments by band: four times the least size in small bands, so that few elements share a segment, else that size."""
     return np.where(band < SMALL_BANDS, 4 << band, 1 << band)
@@ -193,15 +202,15 @@ def signatures(sets: list[np.ndarray], sketch: np.ndarray, short: dict[int, int]
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """First pass: a row per document (``doc_id, n, key``), and per task counters of the sketch and the shortages by band."""
+    """First pass: a row per document (``doc_id, n, key, bits``), and per task counters of the sketch and the shortages by band."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, short, id_type = np.zeros(1 << SKETCH, dtype=np.int64), {}, None
-        names = ["doc_id", "n", "key", "chunk", "counters"]
+        names = ["doc_id", "n", "key", "bits", "chunk", "counters"]
 
-        def rows(ids, n, key, chunk, counters):
-            return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(chunk, pa.int32()), pa.array(counters, pa.binary())], names)
+        def rows(ids, n, key, bits, chunk, counters):
+            return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(bits, pa.binary()), pa.array(chunk, pa.int32()), pa.array(counters, pa.binary())], names)
 
         for batch in slices(batches, 1, AT_ONCE):
             id_type = batch.column(0).type
@@ -217,14 +226,14 @@ def survey(docs: DataFrame) -> DataFrame:
                     for b, x in zip(band[s.use].tolist(), shortage(s).tolist(), strict=True):
                         short[b] = max(short.get(b, 0), x)
             none = [None] * len(sets)
-            yield rows(batch.column(0), size, [key_of(x) if len(x) else None for x in sets], none, none)
+            yield rows(batch.column(0), size, [key_of(x) if len(x) else None for x in sets], [parity(x) if len(x) else None for x in sets], none, none)
         parts = [(i, np.minimum(c, 65535).astype("<u2").tobytes()) for i, c in enumerate(counts.reshape(64, -1)) if c.any()]
         parts += [(-1 - b, np.array([x], dtype="<i4").tobytes()) for b, x in short.items()]
         if parts:
             n = len(parts)
-            yield rows(pa.array([None] * n, id_type), [None] * n, [None] * n, [p[0] for p in parts], [p[1] for p in parts])
+            yield rows(pa.array([None] * n, id_type), [None] * n, [None] * n, [None] * n, [p[0] for p in parts], [p[1] for p in parts])
 
-    return docs.mapInArrow(of, f"doc_id {kind}, n long, key long, chunk int, counters binary")
+    return docs.mapInArrow(of, f"doc_id {kind}, n long, key long, bits binary, chunk int, counters binary")
 
 
 def merged_counters(surveyed: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
@@ -348,6 +357,38 @@ def group_pairs(group: pa.Table) -> pa.Table:
     })
 
 
+def block_pairs(group: pa.Table) -> pa.Table:
+    """Pairs (a, b, n, need) with a < b of different components, one from each of two blocks of a large group, that the bitmaps leave."""
+    a, c, side = (group[x].to_numpy() for x in ("a", "c", "side"))
+    size, flag, need = (group[x].to_numpy().astype(np.int64) for x in ("n", "flag", "need"))
+    bits = np.frombuffer(b"".join(group["bits"].to_pylist()), dtype=np.uint64).reshape(len(a), -1)
+    left, right = np.flatnonzero(side == group["x"][0].as_py()), np.flatnonzero(side == group["y"][0].as_py())
+    same, out = group["x"][0].as_py() == group["y"][0].as_py(), []
+    for at in range(0, len(left), 256):
+        l, r = left[at : at + 256, None], right[None, :]
+        ok = (c[l] != c[r]) & feasible(size[l], size[r], flag[l], flag[r])
+        i, j = np.nonzero(ok & (a[l] < a[r]) if same else ok)
+        i, j = left[at + i], right[j]
+        for s in range(0, len(i), CELLS):
+            x, y = i[s : s + CELLS], j[s : s + CELLS]
+            near = 7 * np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= size[x] + size[y]
+            x, y = x[near], y[near]
+            least = np.where(size[x] > size[y], need[x], np.where(size[y] > size[x], need[y], np.minimum(need[x], need[y])))
+            out.append(np.stack([np.minimum(a[x], a[y]), np.maximum(a[x], a[y]), np.ones(len(x), dtype=np.int64), least]))
+    a, b, n, need = np.concatenate(out, axis=1) if out else np.zeros((4, 0), dtype=np.int64)
+    return pa.table({"a": a, "b": b, "n": n, "need": need.astype(np.int32)})
+
+
+def crossing(named: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pairs across the components of each large group, of which a member meets as many pairs of blocks as the group has blocks. ``marks``: key and bits."""
+    sizes = named.groupBy("gid").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = marks.join(named.select(F.col("a").alias("key")).distinct(), "key", "left_semi").dropDuplicates(["key"]).withColumnRenamed("key", "a")
+    rows = named.join(sizes, "gid").withColumn("side", F.pmod(F.xxhash64("a"), "blocks").cast("int"))
+    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("side", j).alias("x"), F.greatest("side", j).alias("y")))
+    rows = rows.select("gid", "a", "n", "flag", "need", "c", "side", F.explode(met).alias("m")).select("*", "m.*").drop("m")
+    return rows.join(own, "a").groupBy("gid", "x", "y").applyInArrow(block_pairs, "a long, b long, n long, need int")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, own: DataFrame) -> DataFrame:
     """The pairs (a, b) of keys whose whole sets have a Jaccard similarity of 0.75 or more. ``own``: key and one doc_id that has the set."""
     nodes = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(own, "key")
@@ -393,11 +434,7 @@ def join(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         named = large.join(comp, large["a"] == comp["id"], "left").select("gid", "a", "n", "flag", "need", F.coalesce("component", "a").alias("c"))
         mixed = named.groupBy("gid").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("gid")
         named = settle(named.join(mixed, "gid", "left_semi"))
-        l, r = named.alias("l"), named.alias("r")
-        asks = f"(l.n >= r.n AND l.flag & {ASK} > 0 AND r.flag & {INDEX} > 0 OR r.n >= l.n AND r.flag & {ASK} > 0 AND l.flag & {INDEX} > 0)"
-        on = F.expr(f"l.gid = r.gid AND l.a < r.a AND l.c <> r.c AND 4 * least(l.n, r.n) >= 3 * greatest(l.n, r.n) AND {asks}")
-        least = F.expr("CASE WHEN l.n > r.n THEN l.need WHEN r.n > l.n THEN r.need ELSE least(l.need, r.need) END").alias("need")
-        cross = l.join(r, on).select(F.col("l.a").alias("a"), F.col("r.a").alias("b"), F.lit(1).cast("long").alias("n"), least)
+        cross = crossing(named, surveyed.where("key IS NOT NULL").select("key", "bits"))
         # What a pair agrees in outside the large groups counts as well.
         cross = cross.unionByName(counted.where("n < need")).groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
         more = settle(cross.where("n >= need").select("a", "b").join(pairs, ["a", "b"], "left_anti"))

@@ -124,10 +124,11 @@ def test_ngram_join_against_all_pairs(spark):
                     low[i] = low[j] = min(low[i], low[j])
         if old == low:
             break
-    for small in (ngram_join.SMALL, 3):  # with and without rounds for large groups
-        ngram_join.SMALL, kept = small, ngram_join.SMALL
+    for small, block in ((ngram_join.SMALL, ngram_join.BLOCK), (3, ngram_join.BLOCK), (3, 4)):  # without rounds for large groups, with them, and with several blocks
+        kept = ngram_join.SMALL, ngram_join.BLOCK
+        ngram_join.SMALL, ngram_join.BLOCK = small, block
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs(spark, texts)).collect()}
-        ngram_join.SMALL = kept
+        ngram_join.SMALL, ngram_join.BLOCK = kept
         assert got == {i: (len(s), low[i]) for i, s in enumerate(sets)}
     assert ngram_join.join(docs(spark, [])).count() == 0
 
