@@ -179,3 +179,11 @@ def apa_parts(c: Column) -> Column:
 def apa_authors(c: Column) -> Column:
     """``Surname, I.`` entries of an author list, in order."""
     return F.regexp_extract_all(c, F.lit(r"(\p{Lu}[\p{L}'’ -]*,(?:\s*\p{Lu}\.[- ]?)+)"), F.lit(1))
+
+
+def first_rule(c: Column, rules: dict[str, str], fallback: str) -> Column:
+    """Name of the first rule whose pattern fits, in their order; the fallback for none and for null."""
+    out = F.lit(fallback)
+    for name, pattern in reversed(rules.items()):
+        out = F.when(c.rlike("(?i)" + pattern), name).otherwise(out)
+    return out

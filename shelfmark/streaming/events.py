@@ -19,6 +19,13 @@ def disposed(events: DataFrame) -> DataFrame:
     return events.withColumn("k", k).withColumn("disposition", code)
 
 
+def points(events: DataFrame, head: int = 8) -> DataFrame:
+    """What is kept of an event: a known kind, a number (-1 where there is none) and the start of its properties; works on streams as well."""
+    kind = F.when(F.col("event_type").isin(*NAMES), F.col("event_type")).otherwise("other")
+    number = F.coalesce(F.get_json_object("props", "$.k").try_cast("double"), F.lit(-1.0))
+    return events.withColumn("kind", kind).withColumn("number", number).withColumn("head", F.left("props", F.lit(head)))
+
+
 def rate_limited(events: DataFrame, key: str, cap: int, window: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """``refused`` for the events of a key beyond ``cap`` in a tumbling window, in the order of time; a window's events of one key share a task."""
     slot = F.window(F.col(ts), window)["start"]
