@@ -1,14 +1,16 @@
 """Embedding near-dedup by a forest of random-projection trees with spill overlap.
 
-Each tree splits space by random directions at the median of a bounded sample; vectors within a margin of a split go both ways. Every vector, not just the
+Each tree splits space by random directions; vectors within a margin of a split go both ways. The margin is an absolute width: half the distance of two
+vectors that just link, as a random direction shows it, so it does not shrink where vectors are dense. Of some directions and places, a node takes the split that leaves the
+fewest comparisons; where none saves a share of them (``SAVES``), as in a group of near copies, the node is a leaf and all its pairs are compared. Every vector, not just the
 sample, is sent to its leaves of all trees and compared there with all others by cosine in double precision. A pair that shares several leaves is counted in the first one only.
 A leaf task returns sums and spanning edges, a row for each vector, never the pairs; components of these edges are found in rounds. Equal vectors are collapsed before and
-counted with their number. Leaves with more than ``TILE`` vectors are cut into tiles, and each pair of tiles is a task of its own.
+counted with their number. Leaves with more than ``TILE`` vectors are cut into tiles, and each pair of tiles is a task of its own. Each length of vector has a forest of its own.
 
-The sample has ``SAMPLE`` vectors at most, which bounds the depth; recall against brute force is measured in the tests (0.9 at least).
+The sample has about ``SAMPLE`` vectors, which bounds the depth; recall against brute force is measured in the tests (0.9 at least).
 
-Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, link with nothing, and so do vectors of
-another length than the longest of the sample; repeated rows are vectors of their own; an empty table gives no rows; other columns, such as labels, don't matter.
+Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; vectors link with those of their own
+length only; repeated rows are vectors of their own; an empty table gives no rows; other columns, such as labels, don't matter.
 """
 
 from __future__ import annotations
@@ -26,42 +28,63 @@ from shelfmark.session import settle
 
 from ._shared import table
 
-THRESHOLD, TREES, LEAF, SPILL, SAMPLE, TILE, SEED = 0.9, 6, 800, 0.06, 20_000, 2048, 29
+THRESHOLD, TREES, LEAF, SAMPLE, TILE, SEED = 0.9, 6, 800, 20_000, 2048, 29
+#: Directions that a node tries, the quantiles where it may be split, and the share of its comparisons that a split must save.
+TRIES, PLACES, SAVES = 3, np.linspace(0.25, 0.75, 11), 0.15
+#: Leaves of vectors of length n have codes from n << CODES on.
+CODES = 20
 
 
 class Forest:
-    """Complete trees as arrays: a direction and the margin's two ends for each inner node."""
+    """Trees as arrays: a direction and the margin's two ends for each inner node, infinite ends the wrong way round for a leaf."""
 
-    def __init__(self, sample: np.ndarray, n: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = SEED):
+    def __init__(self, sample: np.ndarray, n: int, trees: int = TREES, leaf: int = LEAF, threshold: float = THRESHOLD, seed: int = SEED):
         rng = np.random.default_rng(seed)
         most = max(0, int(math.log2(max(1, len(sample) / 16))))
-        self.depth = min(most, max(0, math.ceil(math.log2(max(1, n / leaf)))))
-        self.trees, self.dim, inner = trees, sample.shape[1], (1 << self.depth) - 1
-        self.normal = rng.standard_normal((trees, inner, self.dim))
-        self.low, self.high = np.zeros((trees, inner)), np.zeros((trees, inner))
+        self.trees, self.dim, inner = trees, sample.shape[1], (1 << most) - 1
+        self.normal = np.zeros((trees, inner, self.dim))
+        self.low, self.high = np.full((trees, inner), np.inf), np.full((trees, inner), -np.inf)
+        half = math.sqrt(max(0.0, 2 - 2 * threshold)) / 2
         for t in range(trees):
             rows = {0: np.arange(len(sample))}
             for node in range(inner):
                 own = rows.pop(node, np.zeros(0, dtype=np.int64))
-                if len(own):
-                    x = sample[own] @ self.normal[t, node]
-                    self.low[t, node], self.high[t, node] = np.quantile(x, [0.5 - spill, 0.5 + spill])
-                    middle = np.median(x)
-                    rows[2 * node + 1], rows[2 * node + 2] = own[x <= middle], own[x > middle]
+                if len(own) < 32 or len(own) * n <= leaf * len(sample):
+                    continue
+                normal = rng.standard_normal((self.dim, TRIES))
+                width = half * np.linalg.norm(normal, axis=0) / math.sqrt(self.dim)
+                x = sample[own] @ normal
+                best = 1 - SAVES, 0, 0.0
+                for k in range(TRIES):
+                    y = np.sort(x[:, k])
+                    at = np.quantile(y, PLACES)
+                    left, right = np.searchsorted(y, at + width[k], "right"), len(y) - np.searchsorted(y, at - width[k], "left")
+                    cost = (left.astype(float) ** 2 + right.astype(float) ** 2) / len(y) ** 2
+                    i = int(cost.argmin())
+                    best = min(best, (cost[i], k, at[i]))
+                cost, k, at = best
+                if cost < 1 - SAVES:
+                    self.normal[t, node], self.low[t, node], self.high[t, node] = normal[:, k], at - width[k], at + width[k]
+                    rows[2 * node + 1], rows[2 * node + 2] = own[x[:, k] <= self.high[t, node]], own[x[:, k] >= self.low[t, node]]
+        if inner == 0 or (self.low[:, 0] > self.high[:, 0]).any():
+            self.trees, self.low, self.high = 1, np.full((1, 0), np.inf), np.full((1, 0), -np.inf)  # a tree of one leaf compares all
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf of any tree), in the order of the rows and leaves."""
-        out = []
+        out, inner = [], self.low.shape[1]
         for t in range(self.trees):
             row, node = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
-            for _ in range(self.depth):
+            while len(row):
+                ends = node >= inner
+                ends[~ends] = self.low[t, node[~ends]] > self.high[t, node[~ends]]
+                out.append(np.stack([row[ends], t * (2 * inner + 1) + node[ends]], axis=1))
+                row, node = row[~ends], node[~ends]
                 p = np.einsum("ij,ij->i", x[row], self.normal[t, node])
                 left, right = p <= self.high[t, node], p >= self.low[t, node]
                 row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
-            out.append(np.stack([row, (t << self.depth) + node - ((1 << self.depth) - 1)], axis=1))
-        both = np.concatenate(out)
+        both = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
         both = both[np.lexsort((both[:, 1], both[:, 0]))]
-        return both[:, 0], both[:, 1]
+        return both[:, 0], (self.dim << CODES) + both[:, 1]
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -93,8 +116,9 @@ def linked_in_leaf(group: pa.Table, threshold: float) -> pa.Table:
         hit = x[part] @ x[b].T >= threshold
         hit &= rep[part][:, None] != rep[b][None, :]
         near[s : s + 512] = hit
-        if len(own):
-            hit &= shared[part] @ shared[b].T == 0
+        if len(own) and hit.any():
+            r, c = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+            hit[np.ix_(r, c)] &= shared[part[r]] @ shared[b[c]].T == 0
         links[part] += hit @ weight[b]
         if i != j:
             links[b] += weight[part] @ hit
@@ -122,25 +146,30 @@ def dedup(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding",
     usable = F.coalesce(F.forall("embedding", finite) & F.exists("embedding", lambda e: e != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     good = v.where(usable)
     classes = settle(good.groupBy("embedding").agg(F.min("vec_id").cast("long").alias("rep"), F.count("*").alias("weight")))
-    n = classes.count()
-    share = min(1.0, SAMPLE / max(n, 1))
-    some = classes.where(F.pmod(F.xxhash64(F.lit(SEED), "rep"), F.lit(1_000_003)) < F.lit(int(1_000_003 * share))).select("embedding").limit(2 * SAMPLE).toArrow()
+    # A row for each length of vector; a length of up to LEAF vectors has one leaf and needs no forest.
+    lengths = classes.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).where(F.col("n") > leaf)
+    n = {r["dim"]: r["n"] for r in lengths.collect()}
+    share = F.least(F.lit(1.0), F.lit(SAMPLE / max(1, len(n))) / F.col("n"))
+    some = classes.select("rep", "embedding", F.size("embedding").alias("dim")).join(F.broadcast(lengths), "dim")
+    some = some.where(F.pmod(F.xxhash64(F.lit(SEED), "rep"), F.lit(1_000_003)) < F.lit(1_000_003) * share).select("embedding").limit(2 * SAMPLE).toArrow()
     lists = some["embedding"].combine_chunks()
     lens = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, dtype=np.int64)
-    dim = int(lens.max()) if len(lens) else 0
-    forest = Forest(matrix(lists.filter(pa.array(lens == dim))) if dim else np.zeros((1, 1)), n, leaf=leaf)
-    shared = spark.sparkContext.broadcast(forest)  # of a size that the sample bounds
+    forests = {int(d): Forest(matrix(lists.filter(pa.array(lens == d))), n[d], leaf=leaf, threshold=threshold) for d in np.unique(lens)}
+    shared = spark.sparkContext.broadcast(forests)  # of a size that the sample bounds
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                row, code = shared.value.leaves(matrix(batch.column(0)))
+        for whole in batches:
+            lens = np.diff(whole.column(0).offsets.to_numpy())
+            for d in np.unique(lens).tolist():
+                batch = whole.filter(pa.array(lens == d))
+                forest = shared.value.get(d) or Forest(np.zeros((1, d)), 1)
+                row, code = forest.leaves(matrix(batch.column(0)))
                 per = np.bincount(row, minlength=len(batch))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per)), pa.int32()), pa.array(code))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["embedding", "rep", "weight", "codes"])
 
-    placed = settle(classes.where(F.size("embedding") == dim).mapInArrow(codes, "embedding array<float>, rep long, weight long, codes array<long>"))
-    # As many rows as the forest has leaves.
+    placed = settle(classes.mapInArrow(codes, "embedding array<float>, rep long, weight long, codes array<long>"))
+    # As many rows as the forests have leaves.
     sizes = placed.select(F.explode("codes").alias("code")).groupBy("code").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     each = placed.select("*", F.explode("codes").alias("code")).join(sizes, "code").withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
     with_ = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
