@@ -3,7 +3,8 @@
 Base spans are assignments, access keys and long hexadecimal runs. The method then looks at every other long mixed string shortly after a
 sensitive word: a zstandard compressor primed with the text around it and with a dictionary of identifiers
 (those of the text near by, and common ones of code) measures how many bytes the string adds. Words, paths and names that
-the surroundings hold cost a few bytes; a string that adds most of its length is new, and is reported as ``novel``.
+the surroundings hold cost a few bytes; a string that adds most of its length is new, and is reported as ``novel``. Other copies of the string itself are
+taken out of the text around it first, so that a repeated secret does not hide itself; every copy of a novel string in the text is reported, wherever it stands.
 
 Documents are scanned where they are read, in Arrow batches; nothing is shuffled. Defined cases: a null text is empty
 and has no spans; repeated rows stay repeated; texts of any length are scanned whole; other columns, whatever their names, do not matter to ``scan``
@@ -68,17 +69,35 @@ def added_bytes(candidate: bytes, around: bytes) -> int:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of candidates outside the base spans that stand after a sensitive word and are mostly new."""
-    low, out = text.lower(), []
+    """(start, kind, end) of candidates outside the base spans that stand after a sensitive word and are mostly new, and of all their copies."""
+    low, novel = text.lower(), set()
     if not any(w in low for w in SENSITIVE_WORDS):
-        return out
+        return []
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if any(s < b and a < e for s, _, e in base) or not re.search("[A-Za-z]", m[0]) or not SENSITIVE.search(text, max(0, a - REACH), a):
+        if m[0] in novel or any(s < b and a < e for s, _, e in base) or not re.search("[A-Za-z]", m[0]) or not SENSITIVE.search(text, max(0, a - REACH), a):
             continue
-        around = (text[max(0, a - AROUND) : a] + " " + text[b : b + AROUND]).encode("utf-8", "replace")
-        if added_bytes(m[0].encode(), around) >= MIN_SHARE * (b - a):
-            out.append((a, 3, b))
+        # Blanks of the same length, before the ends are cut: a copy across an end leaves no part.
+        blank = " " * (b - a)
+        before = text[max(0, a - AROUND - len(blank)) : a].replace(m[0], blank)[-AROUND:]
+        after = text[b : b + AROUND + len(blank)].replace(m[0], blank)[:AROUND]
+        if added_bytes(m[0].encode(), (before + " " + after).encode("utf-8", "replace")) >= MIN_SHARE * (b - a):
+            novel.add(m[0])
+    return copies(text, novel, base)
+
+
+def copies(text: str, strings: set[str], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of all places of ``strings``, the longest where several start, also inside longer runs; those within a base span are left out."""
+    heads, out = {}, []
+    for x in sorted(strings, key=len, reverse=True):
+        heads.setdefault(x[:MIN_NOVEL], []).append(x)
+    for m in CANDIDATE.finditer(text) if heads else ():
+        i, end = m.span()
+        while i <= end - MIN_NOVEL:
+            hit = next((x for x in heads.get(text[i : i + MIN_NOVEL], ()) if text.startswith(x, i)), None)
+            if hit and not any(s <= i and i + len(hit) <= e for s, _, e in base):
+                out.append((i, 3, i + len(hit)))
+            i += len(hit) if hit else 1
     return out
 
 
