@@ -5,6 +5,7 @@ Each query is registered with the SQL that must give the same rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -142,6 +143,15 @@ def tier_histogram(spark, sf):
     return t(spark, sf, "documents").groupBy(T.licence_tier(F.substring_index("text", "\n", 1)).alias("tier")).agg(F.count("*").alias("n"))
 
 
+#: In whole texts words stand beside letters that RE2's word boundary does not know.
+TIER_WHOLE = re.sub(r"\\b(?=[A-Z])", lambda m: r"(^|[^\pL\pN_])", TIER).replace(r"\b", r"($|[^\pL\pN_])")
+
+
+@query(f"SELECT {TIER_WHOLE} AS tier, count(*)::BIGINT AS n FROM (SELECT upper(text) AS u FROM documents) GROUP BY 1")
+def tier_histogram_whole(spark, sf):
+    return t(spark, sf, "documents").groupBy(T.licence_tier(F.col("text")).alias("tier")).agg(F.count("*").alias("n"))
+
+
 @query("SELECT l_orderkey, sum(p_size)::BIGINT AS total, count(p_size)::BIGINT AS contributors FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON p_partkey = l_partkey GROUP BY 1")
 def distinct_sum_enrich(spark, sf):
     p = t(spark, sf, "part").where("p_size > 10").select(F.col("p_partkey").alias("l_partkey"), F.col("p_size").cast("long").alias("p_size"))
@@ -248,6 +258,14 @@ def slugs(spark, sf):
     return d.select("doc_id", T.slugify(c).alias("slug"), T.slug_token(c).alias("token"), T.group_slug(c).alias("grp"), T.heading_slug(c).alias("heading"))
 
 
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '\s+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS slug,
+regexp_replace(regexp_replace(lower(text), '\s+', '-', 'g'), '[^a-z0-9-]', '', 'g') AS token, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS grp,
+regexp_replace(regexp_replace(lower(text), '[^0-9a-z_\s-]', '', 'g'), '\s', '-', 'g') AS heading FROM documents""")
+def slugs_whole(spark, sf):
+    c = F.col("text")
+    return t(spark, sf, "documents").select("doc_id", T.slugify(c).alias("slug"), T.slug_token(c).alias("token"), T.group_slug(c).alias("grp"), T.heading_slug(c).alias("heading"))
+
+
 @query(r"""SELECT page_id, nullif(regexp_replace(lower(regexp_extract(url, '(?i)^https?://([^/?#:]+)', 1)), '^www\.', ''), '') AS site,
 CASE WHEN regexp_replace(lower(regexp_extract(url, '(?i)^https?://([^/?#:]+)', 1)), '^www\.', '') IN ('doi.org', 'dx.doi.org') THEN 'doi' WHEN regexp_replace(lower(regexp_extract(url, '(?i)^https?://([^/?#:]+)', 1)), '^www\.', '') IN ('github.com', 'gitlab.com', 'bitbucket.org') THEN 'repo'
 WHEN regexp_extract(url, '(?i)^https?://([^/?#:]+)', 1) <> '' THEN 'external' END AS kind FROM pages""")
@@ -284,6 +302,16 @@ def id_runs(spark, sf):
     return enrich.id_runs(t(spark, sf, "orders").where("o_orderkey % 7 <> 3 AND o_totalprice > 50000"), "o_orderkey")[1]
 
 
+@query("SELECT prev + 1 AS first_missing, id - 1 AS last_missing FROM (SELECT id, lag(id) OVER (ORDER BY id) AS prev FROM (SELECT DISTINCT o_orderkey AS id FROM orders)) WHERE id > prev + 1")
+def id_gaps_whole(spark, sf):
+    return enrich.id_runs(t(spark, sf, "orders"), "o_orderkey")[0]
+
+
+@query("SELECT min(id) AS first_id, max(id) AS last_id FROM (SELECT id, id - row_number() OVER (ORDER BY id) AS g FROM (SELECT DISTINCT o_orderkey AS id FROM orders)) GROUP BY g")
+def id_runs_whole(spark, sf):
+    return enrich.id_runs(t(spark, sf, "orders"), "o_orderkey")[1]
+
+
 @query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM conversations")
 def forward_fill_section(spark, sf):
     c = t(spark, sf, "conversations")
@@ -341,6 +369,20 @@ def components(spark, sf):
     return graph.connected_components(e)
 
 
+#: Every order and its customer; orders are below zero, so that no key is folded or meets another table's.
+STARS = "SELECT DISTINCT o_custkey AS src, -1 - o_orderkey AS dst FROM orders"
+
+
+def stars(spark, sf) -> DataFrame:
+    return t(spark, sf, "orders").select(F.col("o_custkey").alias("src"), (F.lit(-1) - F.col("o_orderkey")).alias("dst")).distinct()
+
+
+@query(f"""WITH RECURSIVE e AS ({STARS}), both_ AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+r(id, reach) AS (SELECT a, a FROM both_ UNION SELECT r.id, b FROM r JOIN both_ ON a = reach) SELECT id, min(reach) AS component FROM r GROUP BY 1""")
+def components_whole(spark, sf):
+    return graph.connected_components(stars(spark, sf))
+
+
 EV = "SELECT *, (props::JSON ->> '$.k')::BIGINT AS k FROM events"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text as T
 from shelfmark.operators import checks, dml, enrich, graph, sets
-from shelfmark.plans.catalog import CHAIN, GRID, matrix_full_grid, query, t
+from shelfmark.plans.catalog import CHAIN, GRID, STARS, matrix_full_grid, query, stars, t
 
 
 @query("""WITH m AS (SELECT conv_id, role, turn, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations WHERE role IN ('user', 'assistant'))
@@ -133,6 +133,14 @@ def resolved_links(spark, sf):
     return enrich.lookup(p, homes, ["site"], {"target": F.lit("outside")}).select("page_id", "target")
 
 
+@query(f"""SELECT p.page_id, coalesce(home::VARCHAR, 'outside') AS target FROM (SELECT page_id, nullif({SITE}, '') AS site FROM pages) p
+LEFT JOIN (SELECT {SITE} AS site, min(page_id) AS home FROM pages GROUP BY 1) r ON r.site = p.site""")
+def resolved_links_whole(spark, sf):
+    p = t(spark, sf, "pages").select("page_id", T.site_of(F.col("url")).alias("site"))
+    homes = p.groupBy("site").agg(F.min("page_id").cast("string").alias("target"))
+    return enrich.lookup(p, homes, ["site"], {"target": F.lit("outside")}).select("page_id", "target")
+
+
 @query(f"""WITH RECURSIVE e AS ({CHAIN}), both_ AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
 r(id, reach) AS (SELECT a, a FROM both_ UNION SELECT r.id, b FROM r JOIN both_ ON a = reach), c AS (SELECT id, min(reach) AS component FROM r GROUP BY 1),
 n AS (SELECT c_custkey AS id FROM customer UNION SELECT dst FROM e)
@@ -144,6 +152,19 @@ def graph_stats(spark, sf):
     return graph.graph_stats(e, nodes)
 
 
+@query(f"""WITH RECURSIVE e AS ({STARS}), both_ AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+r(id, reach) AS (SELECT a, a FROM both_ UNION SELECT r.id, b FROM r JOIN both_ ON a = reach), c AS (SELECT id, min(reach) AS component FROM r GROUP BY 1),
+n AS (SELECT c_custkey AS id FROM customer UNION SELECT src FROM e UNION SELECT dst FROM e)
+SELECT (SELECT count(*) FROM n)::BIGINT AS n_nodes, (SELECT count(*) FROM e)::BIGINT AS n_edges, (SELECT count(*) FROM c)::BIGINT AS n_connected, ((SELECT count(*) FROM n) - (SELECT count(*) FROM c))::BIGINT AS n_isolated,
+coalesce((SELECT max(k) FROM (SELECT count(*) AS k FROM c GROUP BY component)), 1)::BIGINT AS largest_component""")
+def graph_stats_whole(spark, sf):
+    e = stars(spark, sf)
+    nodes = t(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    for end in ("src", "dst"):
+        nodes = nodes.unionByName(e.select(F.col(end).alias("id")))
+    return graph.graph_stats(e, nodes)
+
+
 @query("""WITH v AS (SELECT p_partkey FROM part WHERE p_size > 25) SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey IN (FROM v) AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)""")
 def induced_edges(spark, sf):
     e = t(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
