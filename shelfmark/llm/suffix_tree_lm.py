@@ -1,7 +1,8 @@
 """LM scoring by a probabilistic suffix tree over words.
 
-Contexts are the last one or two words before a symbol. Candidates are contexts that make up at least ``MIN_SHARE`` of the training tokens, so there are
-no more than 1 / MIN_SHARE of each length, whatever the corpus. A candidate stays in the tree if its next-symbol distribution diverges from that of its suffix: the
+Contexts are the last one or two words before a symbol. Candidates are found by the counts that batches report of what is frequent in them, low enough to miss no
+context that makes up at least ``MIN_SHARE`` of the training tokens; the share itself is held against exact counts over all blocks, so the split of the table into batches changes no state.
+There are no more than 1 / MIN_SHARE such contexts of each length, whatever the corpus: this bound is still a cut. A context of that share stays in the tree if its next-symbol distribution diverges from that of its suffix: the
 Kullback-Leibler divergence times its count must pay for its distinct successors (half a logarithm of the count each). A text is scored by the longest suffix state at every
 place; distributions are smoothed by Witten-Bell's rule towards the next shorter state, down to the base distribution (add 0.1).
 
@@ -33,6 +34,8 @@ from ._shared import id_fold, slices, table
 MIN_SHARE, MIN_COUNT, MIN_DIVERGENCE = 2e-5, 16, 0.05
 END = 0x5EED0E4D
 ADD = 0.1
+#: The part of the least share from which a batch reports a context.
+SLACK = 0.25
 #: Bytes of text in a block.
 BLOCK = 6_000_000
 #: Contexts whose sums travel in one row, as a power of two.
@@ -112,8 +115,8 @@ def keys_of(t_codes, hashes, lens, contexts: Contexts, parts: int):
 
 
 def candidates(docs: DataFrame, min_share: float = MIN_SHARE) -> tuple[Contexts, int]:
-    """Contexts with at least ``min_share`` of the training tokens, and the number of these. Each batch reports contexts of that share in it: one
-    batch at least must hold so much of a context that has it overall."""
+    """All contexts with at least ``min_share`` of the training tokens, among others, and the number of these. Each batch reports contexts of ``SLACK`` of that share
+    in it, so the reports of a context lack less than ``SLACK`` of the share overall; exact counts are still to come."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, BLOCK):
@@ -122,7 +125,7 @@ def candidates(docs: DataFrame, min_share: float = MIN_SHARE) -> tuple[Contexts,
                 continue
             t = Tokens(batch.column(1))
             one, two = histories(t.lens)
-            least = max(2, min_share * len(t.codes)) if len(t.codes) * min_share > 2 else 1
+            least = max(1, SLACK * min_share * len(t.codes))
             n1 = np.bincount(t.codes[one - 1], minlength=len(t.hashes))
             often = np.flatnonzero(n1 >= least)
             h1 = pair_hash(np.zeros(len(often), dtype=np.uint64), t.hashes[often])
@@ -137,7 +140,7 @@ def candidates(docs: DataFrame, min_share: float = MIN_SHARE) -> tuple[Contexts,
 
     sums = settle(docs.mapInArrow(of, "context long, parent long, n long").groupBy("context", "parent").agg(F.sum("n").alias("n")))
     total = sums.where("context = 0").agg(F.sum("n")).first()[0] or 0
-    rows = sums.where(f"context <> 0 AND n >= {max(MIN_COUNT, min_share * total)!r}").select("context", "parent").toArrow()
+    rows = sums.where(f"context <> 0 AND n >= {max(MIN_COUNT, min_share * total) - SLACK * min_share * total!r}").select("context", "parent").toArrow()
     h, parent = (rows[c].to_numpy().view(np.uint64) if rows.num_rows else np.zeros(0, dtype=np.uint64) for c in ("context", "parent"))
     known = (parent == 0) | np.isin(parent, h)
     return Contexts(h[known], parent[known]), total
@@ -236,11 +239,11 @@ def summed_contexts(answered: DataFrame) -> DataFrame:
 class Tree:
     """Which contexts are states, their counts and successors, and the base distribution."""
 
-    def __init__(self, contexts: Contexts, total: int, known: int, n: np.ndarray, types: np.ndarray, term: np.ndarray):
+    def __init__(self, contexts: Contexts, total: int, known: int, n: np.ndarray, types: np.ndarray, term: np.ndarray, min_share: float = MIN_SHARE):
         size = np.maximum(n, 1)
         above = np.where(contexts.parent > 0, n[contexts.parent], total)
         divergence = (term + n * (np.log(np.maximum(above, 1)) - np.log(size))) / size
-        self.keep = (n > 0) & (divergence >= MIN_DIVERGENCE) & (divergence * n >= types * np.log(size) / 2)
+        self.keep = (n >= max(MIN_COUNT, min_share * total)) & (divergence >= MIN_DIVERGENCE) & (divergence * n >= types * np.log(size) / 2)
         self.keep[0] = False
         deep = np.flatnonzero(self.keep & (contexts.parent > 0))
         self.keep[contexts.parent[deep]] = True  # every suffix of a state is one
@@ -264,7 +267,7 @@ def score(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text")
     spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
     docs = docs.select(docs[key].alias("doc_id"), docs[text].cast("string"), docs[train].alias("train"))
     contexts, total = candidates(docs)
-    shared = spark.sparkContext.broadcast(contexts)  # at most 2 / MIN_SHARE contexts
+    shared = spark.sparkContext.broadcast(contexts)  # at most 2 / (1 - SLACK) / MIN_SHARE contexts
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = settle(send(docs, shared, parts))
     answered = settle(totals(sent, shared))

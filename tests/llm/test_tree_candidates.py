@@ -1,0 +1,23 @@
+"""The tree's states depend on exact counts, not on how the table is split."""
+
+import numpy as np
+
+from shelfmark.llm import suffix_tree_lm
+
+
+def test_split_tables_give_the_same_states(spark):
+    rng = np.random.default_rng(6)
+    filler = np.array([f"w{i}" for i in range(30)])
+    texts = [filler[rng.integers(0, 30, 499)].tolist() for _ in range(2000)]
+    for i in (*range(9), *range(1000, 1012)):  # 21 times in a million tokens, so above a share of 2e-5; 9 and 12 by halves
+        texts[i][100:102] = ["zq", "yq"]
+    schema = "doc_id long, text string, train boolean"
+    rows = [(i, " ".join(x), True) for i, x in enumerate(texts)]
+    out = []
+    for parts in (1, 2, 40):
+        frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), schema)
+        out.append({r["doc_id"]: (r["score"], r["base_score"], r["train_tokens"]) for r in suffix_tree_lm.score(frame, "train").collect()})
+    assert out[0][0][2] == 1_000_000
+    for other in out[1:]:
+        assert all(np.allclose(other[i], v, rtol=1e-12, atol=1e-9) for i, v in out[0].items())
+    assert out[0][0][0] > out[0][0][1] + 2  # the word after the context costs little
