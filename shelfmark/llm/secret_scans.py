@@ -6,7 +6,7 @@ sensitive word: a zstandard compressor primed with the text around it and with a
 the surroundings hold cost a few bytes; a string that adds most of its length is new, and is reported as ``novel``. Other copies of the string itself are
 taken out of the text around it first, so that a repeated secret does not hide itself; every copy of a novel string in the text is reported, wherever it stands.
 
-Documents are scanned where they are read, in Arrow batches; nothing is shuffled. Defined cases: a null text is empty
+Documents are scanned where they are read, in slices of Arrow batches, in time that grows with the text; nothing is shuffled. Defined cases: a null text is empty
 and has no spans; repeated rows stay repeated; texts of any length are scanned whole; other columns, whatever their names, do not matter to ``scan``
 and pass through ``redact``; an empty table gives no rows.
 """
@@ -15,13 +15,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
-from ._shared import table
+from ._shared import slices, table
 
 #: Kinds in the order that breaks ties between spans of one start.
 KINDS = ("assign", "access", "hex", "novel")
@@ -34,7 +37,9 @@ MIN_ASSIGN = 8
 #: The method's parameters: shortest candidate, how far back a sensitive word may stand, text on either side that primes the compressor,
 #: and the least share of a candidate's bytes that must be new.
 MIN_NOVEL, REACH, AROUND, MIN_SHARE = 16, 64, 512, 0.7
-CANDIDATE = re.compile(rf"(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{{{MIN_NOVEL},}}")
+#: Whole runs; that a run has a digit and a letter is asked afterwards, so that no place is looked at twice.
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_NOVEL},}}")
+DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 SENSITIVE = re.compile(r"key|secret|token|passw|pwd|credential|bearer|private|signature|authorization", re.IGNORECASE | re.ASCII)
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,31}")
 #: Identifiers common in code and configuration: fixed values.
@@ -50,6 +55,10 @@ ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 SENSITIVE_WORDS = ("key", "secret", "token", "passw", "pwd", "credential", "bearer", "private", "signature", "authorization")
 
 
+#: Bytes of text that a task handles at once.
+AT_ONCE = 8_000_000
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the known shapes."""
     low, out = text.lower(), []
@@ -68,14 +77,30 @@ def added_bytes(candidate: bytes, around: bytes) -> int:
     return len(packer.compress(candidate)) - len(packer.compress(b""))
 
 
+def merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover, in order; spans that touch or overlap are one."""
+    starts, ends = [], []
+    for a, _, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of candidates outside the base spans that stand after a sensitive word and are mostly new, and of all their copies."""
     low, novel = text.lower(), set()
     if not any(w in low for w in SENSITIVE_WORDS):
         return []
+    starts, ends = merged(base)
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if m[0] in novel or any(s < b and a < e for s, _, e in base) or not re.search("[A-Za-z]", m[0]) or not SENSITIVE.search(text, max(0, a - REACH), a):
+        if m[0] in novel or not DIGIT.search(m[0]) or not LETTER.search(m[0]) or not SENSITIVE.search(text, max(0, a - REACH), a):
+            continue
+        i = bisect_right(ends, a)
+        if i < len(starts) and starts[i] < b:
             continue
         # Blanks of the same length, before the ends are cut: a copy across an end leaves no part.
         blank = " " * (b - a)
@@ -88,16 +113,20 @@ def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
 
 def copies(text: str, strings: set[str], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all places of ``strings``, the longest where several start, also inside longer runs; those within a base span are left out."""
-    heads, out = {}, []
-    for x in sorted(strings, key=len, reverse=True):
-        heads.setdefault(x[:MIN_NOVEL], []).append(x)
+    lengths, out = defaultdict(set), []
+    for x in strings:
+        lengths[x[:MIN_NOVEL]].add(len(x))
+    inside = sorted((s, e) for s, _, e in base)
+    reach = list(accumulate((e for _, e in inside), max))  # the furthest end of the spans so far
+    heads = {x: sorted(n, reverse=True) for x, n in lengths.items()}
     for m in CANDIDATE.finditer(text) if heads else ():
         i, end = m.span()
         while i <= end - MIN_NOVEL:
-            hit = next((x for x in heads.get(text[i : i + MIN_NOVEL], ()) if text.startswith(x, i)), None)
-            if hit and not any(s <= i and i + len(hit) <= e for s, _, e in base):
-                out.append((i, 3, i + len(hit)))
-            i += len(hit) if hit else 1
+            size = next((n for n in heads.get(text[i : i + MIN_NOVEL], ()) if i + n <= end and text[i : i + n] in strings), 0)
+            at = bisect_right(inside, (i, len(text))) - 1
+            if size and not (at >= 0 and reach[at] >= i + size):
+                out.append((i, 3, i + size))
+            i += size or 1
     return out
 
 
@@ -110,7 +139,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     kind = docs.schema[key].dataType
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1, AT_ONCE):
             rows = []
             for t in batch.column(1).to_pylist():
                 base = base_spans(t or "")
@@ -128,10 +157,9 @@ def redacted(text: str, mark: str) -> str:
     """``text`` with every span, and spans that touch as one, replaced by ``mark``."""
     base = base_spans(text)
     parts, at = [], 0
-    for a, _, b in sorted(base + novel_spans(text, base)):
-        if a >= at:
-            parts += [text[at:a], mark]
-        at = max(at, b)
+    for a, b in zip(*merged(base + novel_spans(text, base)), strict=True):
+        parts += [text[at:a], mark]
+        at = b
     return "".join([*parts, text[at:]]) if parts else text
 
 
@@ -142,7 +170,7 @@ def redact(docs: DataFrame, text: str = "text", chars: str | None = "n_chars", m
     j = names.index(chars) if chars in names else None
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, i, AT_ONCE):
             cols = batch.columns
             old = cols[i].to_pylist()
             new = [t and redacted(t, mark) for t in old]
