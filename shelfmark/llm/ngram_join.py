@@ -16,8 +16,9 @@ only, and once these are verified and joined into components, just the pairs tha
 two sets' bitmaps differ are no more than the elements in which the sets do, so that a pair with more than (n + n') / 7 of them has no link, and only the others become rows.
 Candidates are verified exactly on the whole sets; copies share one set and are represented once.
 
-Defined cases: null and blank texts have an empty set and are linked with nothing; a text of fewer than five words is one shingle; repeated rows of a doc_id count
-as one document with several texts of which each links; a null doc_id is kept with its own texts' links and can't be anyone's component; an empty table gives no rows.
+Defined cases: null and blank texts have an empty set and are linked with nothing; a text of fewer than five words is one shingle; every row is a document of its own, also where
+a doc_id repeats with the same or another text; rows of a null doc_id link like others, and a component has the smallest id that is not null, or null if it has none; other columns,
+whatever their names, don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,14 +29,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.operators.graph import connected_components
 from shelfmark.session import settle
 
 from . import _bpe
-from ._shared import slices, table
+from ._shared import BLANKS, slices, table
 
 WIDTH = 5
 #: Bands below this one index one-deletion neighbourhoods; sketch of 2**SKETCH counters; groups up to SMALL give all pairs, larger ones those with LEADERS sets first.
@@ -46,6 +47,8 @@ U = np.uint64
 #: Bytes of text that a task handles at once.
 AT_ONCE = 8_000_000
 INDEX, ASK = 1, 2
+#: Elements of sets in a part of the signature exchange, so that its groups do not grow with the corpus.
+PART = 4_000_000
 #: Bits of a set's parity bitmap are 2**MARK; members of a large group are compared by pairs of blocks of about BLOCK members; CELLS pairs are compared at once.
 MARK, BLOCK, CELLS = 11, 2048, 1 << 16
 
@@ -202,15 +205,15 @@ def signatures(sets: list[np.ndarray], sketch: np.ndarray, short: dict[int, int]
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """First pass: a row per document (``doc_id, n, key, bits``), and per task counters of the sketch and the shortages by band."""
+    """First pass over ``doc_id, text, t1, t2``: a row per document (``doc_id, t1, t2, n, key, bits``), and per task counters of the sketch and the shortages by band."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, short, id_type = np.zeros(1 << SKETCH, dtype=np.int64), {}, None
-        names = ["doc_id", "n", "key", "bits", "chunk", "counters"]
+        names = ["doc_id", "t1", "t2", "n", "key", "bits", "chunk", "counters"]
 
-        def rows(ids, n, key, bits, chunk, counters):
-            return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(bits, pa.binary()), pa.array(chunk, pa.int32()), pa.array(counters, pa.binary())], names)
+        def rows(ids, t1, t2, n, key, bits, chunk, counters):
+            return pa.RecordBatch.from_arrays([ids, pa.array(t1, pa.int64()), pa.array(t2, pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(bits, pa.binary()), pa.array(chunk, pa.int32()), pa.array(counters, pa.binary())], names)
 
         for batch in slices(batches, 1, AT_ONCE):
             id_type = batch.column(0).type
@@ -226,14 +229,14 @@ def survey(docs: DataFrame) -> DataFrame:
                     for b, x in zip(band[s.use].tolist(), shortage(s).tolist(), strict=True):
                         short[b] = max(short.get(b, 0), x)
             none = [None] * len(sets)
-            yield rows(batch.column(0), size, [key_of(x) if len(x) else None for x in sets], [parity(x) if len(x) else None for x in sets], none, none)
+            yield rows(batch.column(0), batch.column(2), batch.column(3), size, [key_of(x) if len(x) else None for x in sets], [parity(x) if len(x) else None for x in sets], none, none)
         parts = [(i, np.minimum(c, 65535).astype("<u2").tobytes()) for i, c in enumerate(counts.reshape(64, -1)) if c.any()]
         parts += [(-1 - b, np.array([x], dtype="<i4").tobytes()) for b, x in short.items()]
         if parts:
             n = len(parts)
-            yield rows(pa.array([None] * n, id_type), [None] * n, [None] * n, [None] * n, [p[0] for p in parts], [p[1] for p in parts])
+            yield rows(pa.array([None] * n, id_type), *[[None] * n] * 5, [p[0] for p in parts], [p[1] for p in parts])
 
-    return docs.mapInArrow(of, f"doc_id {kind}, n long, key long, bits binary, chunk int, counters binary")
+    return docs.mapInArrow(of, f"doc_id {kind}, t1 long, t2 long, n long, key long, bits binary, chunk int, counters binary")
 
 
 def merged_counters(surveyed: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
@@ -390,15 +393,16 @@ def crossing(named: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, own: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys whose whole sets have a Jaccard similarity of 0.75 or more. ``own``: key and one doc_id that has the set."""
-    nodes = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(own, "key")
+    """The pairs (a, b) of keys whose whole sets have a Jaccard similarity of 0.75 or more. ``own``: each key with the marks of one row that has the set."""
+    nodes = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(own, "key").select("t1", "t2")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, AT_ONCE):
+        for batch in slices(batches, 0, AT_ONCE):
             if len(batch):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in shingle_sets(batch.column(1))], pa.binary())], ["key", "elements"])
+                sets = shingle_sets(batch.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array([key_of(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["key", "elements"])
 
-    sets = docs.join(nodes, docs["doc_id"] == nodes["rep"]).select("key", "text").mapInArrow(of, "key long, elements binary").dropDuplicates(["key"])
+    sets = docs.join(nodes, ["t1", "t2"], "left_semi").select("text").mapInArrow(of, "key long, elements binary").dropDuplicates(["key"])
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("key").alias("b"), F.col("elements").alias("eb")), "b")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,16 +419,23 @@ def verified(pairs: DataFrame, docs: DataFrame, own: DataFrame) -> DataFrame:
     return both.select("a", "b", "ea", "eb").mapInArrow(keep, "a long, b long")
 
 
-def join(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every document."""
+def marked(documents: DataFrame, key: str, text: str) -> list[Column]:
+    """``t1, t2``: 128 bits that tell the ids and texts of rows apart."""
+    own = [documents[key].isNull(), documents[key], documents[text].isNull(), documents[text]]
+    return [F.xxhash64(*own).alias("t1"), F.xxhash64(F.lit(1), *own).alias("t2")]
+
+
+def members(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, t1, t2, n, c`` of every row: its marks, the size of its set and its component, null for an empty set."""
     spark = documents.sparkSession
-    docs = documents.select(documents[key].alias("doc_id"), documents[text].cast("string").alias("text"))
+    docs = documents.select(documents[key].alias("doc_id"), documents[text].cast("string").alias("text"), *marked(documents, key, text))
     surveyed = settle(survey(docs))
     sketch, short = merged_counters(surveyed)
-    nodes = surveyed.where("chunk IS NULL").select("doc_id", "n", "key")
-    own = nodes.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = settle(packed(docs, sketch, short, parts).groupBy("p").applyInArrow(group_pairs, PAIRS))
+    nodes = surveyed.where("chunk IS NULL").select("doc_id", "t1", "t2", "n", "key")
+    own = nodes.where("key IS NOT NULL").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")).alias("row")).select("key", "row.t1", "row.t2")
+    elements = nodes.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), elements // PART)
+    found = settle(packed(docs.select("doc_id", "text"), sketch, short, parts).groupBy("p").applyInArrow(group_pairs, PAIRS))
     counted = found.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
     pairs = settle(counted.where("n >= need").select("a", "b"))
     links = settle(verified(pairs, docs, own))
@@ -441,10 +452,29 @@ def join(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         if not more.isEmpty():
             links = settle(links.unionByName(verified(more, docs, own)))
     comp = connected_components(links, "a", "b")
-    named = nodes.join(comp, nodes["key"] == comp["id"], "left").select("doc_id", "n", F.coalesce("component", "key").alias("c"))
+    return nodes.join(comp, nodes["key"] == comp["id"], "left").select("doc_id", "t1", "t2", "n", F.coalesce("component", "key").alias("c"))
+
+
+def join(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row."""
+    named = members(documents, key, text)
     low = named.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("low"))
     out = named.join(low, "c", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.coalesce("low", "doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of one row of each component, and all rows without words.
+
+    It is the row of the smallest id; null ids come last, and where an id repeats, the smallest marks and then the smallest row decide. Rows that agree in id and text
+    are combined where they are read, so that no number of copies meets in one task.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2"))
+    best = members(documents, key, text).where("c IS NOT NULL").groupBy("c").agg(first.alias("row")).select("row.t1", "row.t2")
+    wordless = F.btrim(F.coalesce(documents[text].cast("string"), F.lit("")), F.lit(BLANKS)) == ""
+    rows = documents.where(~wordless).select(F.struct(*documents.columns).alias("row"), *marked(documents, key, text))
+    rows = rows.groupBy("t1", "t2").agg(F.min("row").alias("row"))
+    return rows.join(best, ["t1", "t2"], "left_semi").select("row.*").unionByName(documents.where(wordless))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
