@@ -9,7 +9,7 @@ The fit uses a bounded sample of labelled rows (``SAMPLE`` at most, by hash of t
 the driver. Scoring is a projection: built-in functions over every whole text.
 
 Defined cases: a null text is empty and is scored; labels of documents that are not there, null labels and conflicting repeated labels
-beyond the first (smallest) are left out; with one label only, or no labelled row, all weights are 0 and every score is 0.5; repeated documents stay repeated; an empty
+beyond the first (smallest) are left out; of a labelled id with several texts the smallest is learned from; with one label only, or no labelled row, all weights are 0 and every score is 0.5; repeated documents stay repeated; an empty
 table gives no rows.
 """
 
@@ -91,8 +91,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     n = y.count()
     part = F.pmod(F.xxhash64(F.lit(SEED), "_key"), F.lit(1_000_003)) < F.lit(int(1_000_003 * min(1.0, sample / max(n, 1))))
     some = docs.select(docs[key].alias("_key"), docs[text].alias("_text")).join(y.where(part), "_key")
+    # One text an id, the smallest, so that the sample's bound holds however often rows repeat.
+    some = some.groupBy("_key", "_y").agg(F.min("_text").alias("_text"))
     d = counted(some, ["_y"], "_text")
-    rows = d.select(F.col("doc._y").alias("y"), F.array(*features(d)).alias("x")).limit(2 * sample).toPandas()
+    rows = d.select(F.col("doc._y").alias("y"), F.array(*features(d)).alias("x")).toPandas()
     if not len(rows):
         return Ranking([0.0] * len(features(d)), 0.0)
     return fit(np.array(rows["x"].tolist(), dtype=float), rows["y"].to_numpy())
