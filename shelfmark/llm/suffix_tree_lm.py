@@ -1,29 +1,32 @@
 """LM scoring by a probabilistic suffix tree over words.
 
-Contexts are the last one or two words before a symbol. Candidates are found by the counts that batches report of what is frequent in them, low enough to miss no
-context that makes up at least ``MIN_SHARE`` of the training tokens; the share itself is held against exact counts over all blocks, so the split of the table into batches changes no state.
-There are no more than 1 / MIN_SHARE such contexts of each length, whatever the corpus: this bound is still a cut. A context of that share stays in the tree if its next-symbol distribution diverges from that of its suffix: the
-Kullback-Leibler divergence times its count must pay for its distinct successors (half a logarithm of the count each). A text is scored by the longest suffix state at every
-place; distributions are smoothed by Witten-Bell's rule towards the next shorter state, down to the base distribution (add 0.1).
-
-Counts of words and of (context, word) grow with the corpus and stay distributed. Every block of about ``BLOCK`` bytes of text is one task's work at a time: it sends each
-partition its distinct words and pairs, packed in one row; partitions are by the hash of the predicted word, so that all counts a divergence or a smoothing needs of a word
-meet there; each partition sums the counts and answers every block with the totals of what it asked for; a block then scores its texts. Only sums by context, of bounded number, pass the driver.
-
-Words are told apart by 64-bit hashes. Defined cases: a null text is empty: one end token; repeated rows are counted and scored each; a null id is trained on; texts of any length
-are scored whole; with no training text every count is 0; an empty table gives no rows.
+Contexts are the last one to ``DEPTH`` words before a symbol. Every context that occurs ``MIN_COUNT`` times or more in the training texts is tested, by exact counts over all of them: it is a state if
+its next-symbol distribution diverges from that of its suffix, the context without its first word: the Kullback-Leibler divergence must reach ``MIN_DIVERGENCE``, and times the context's count it must
+pay for the distinct successors (half a logarithm of the count each). A text is scored by the longest suffix state at every place; distributions are smoothed by Witten-Bell's rule towards the longest
+shorter state of that place, down to the base distribution (add 0.1). The number of contexts and states grows with the corpus, and no count depends on how the table is cut.
+
+Words, n-grams and states stay distributed. Every block of about ``BLOCK`` bytes of text is one task's work at a time. It sends its distinct words with their counts to parts by hash; these answer
+with a number and the total of each word. Then, a level for each length of context, it sends its distinct pairs of a context and a next word to the part of the context; the part sums the counts, tests
+the contexts and answers with totals, with the numbers of those n-grams that are contexts of the next level, and with the successors of contexts that are states. At last a block scores its texts from all
+answers. A context with more than 1/4 of a part's mean share of the tokens is dealt over all parts by its next words; there are no more than four such contexts a part and level, and only their sums pass the driver.
+The number of parts follows the bytes of text, so that a part's size does not.
+
+Words are told apart by 64-bit hashes. Defined cases: a null text is empty: one end token; repeated rows are counted and scored each; a row whose training mark is null is held out, and so is a null id in the query;
+texts of any length are scored whole; with no training text every count is 0; other columns, whatever their names, don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.session import settle
@@ -31,126 +34,67 @@ from shelfmark.session import settle
 from . import _bpe
 from ._shared import id_fold, slices, table
 
-MIN_SHARE, MIN_COUNT, MIN_DIVERGENCE = 2e-5, 16, 0.05
+DEPTH, MIN_COUNT, MIN_DIVERGENCE = 3, 2, 0.05
 END = 0x5EED0E4D
 ADD = 0.1
-#: The part of the least share from which a batch reports a context.
-SLACK = 0.25
-#: Bytes of text in a block.
-BLOCK = 6_000_000
-#: Contexts whose sums travel in one row, as a power of two.
-CHUNK = 12
-U = np.uint64
+#: Bytes of text in a block, and in a part.
+BLOCK, PART = 6_000_000, 6_000_000
+#: Divergences are summed as whole numbers of this fraction of a nat, so that their order does not matter.
+GRAIN = 1 << 20
+U, LOW = np.uint64, 0xFFFFFFFF
 
 
-def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = (a ^ (a >> U(29))) * U(0x9E3779B97F4A7C15) + b
+def mix(x: np.ndarray, y: np.ndarray | int = 0) -> np.ndarray:
+    x = x.astype(np.uint64) * U(0x9E3779B97F4A7C15) + (y.astype(np.uint64) if isinstance(y, np.ndarray) else U(y))
     x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
     return x ^ (x >> U(32))
 
 
-class Tokens:
-    """A batch's tokens laid end to end: numbers of distinct words, the most frequent first; every text closes with the end token."""
-
-    def __init__(self, texts: pa.Array):
-        words, codes, per = _bpe.split_words(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) if w else 0 for w in words.to_pylist()] + [END], dtype=np.uint64)
-        real = hashes[codes] != 0 if len(codes) else np.zeros(0, dtype=bool)
-        ends = np.cumsum(per)
-        seen = np.append(0, np.cumsum(real))
-        per = seen[ends] - seen[ends - per]
-        flat = np.full(int(per.sum()) + len(per), len(words), dtype=np.int64)
-        flat[_bpe.take_runs(_bpe.starts_of(per) + np.arange(len(per)), per)] = codes[real] if len(codes) else codes
-        n = np.bincount(flat, minlength=len(hashes))
-        order = np.argsort(-n, kind="stable")
-        order = order[: int((n > 0).sum())]
-        back = np.zeros(len(hashes), dtype=np.int64)
-        back[order] = np.arange(len(order))
-        self.lens, self.codes, self.hashes = per + 1, back[flat], hashes[order]
-
-
-def histories(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places with at least one, and with at least two, tokens before them in their text."""
-    place = np.arange(int(lens.sum())) - np.repeat(_bpe.starts_of(lens), lens)
-    return np.flatnonzero(place >= 1), np.flatnonzero(place >= 2)
-
-
-class Contexts:
-    """Candidate contexts, numbered from 1 in the order of their hashes; 0 is the empty context."""
-
-    def __init__(self, hashes: np.ndarray, parents: np.ndarray):
-        """``parents``: the hash of a context's suffix, 0 for that of a single word."""
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        self.parent = np.append(0, self.find(parents[order]))
-        self.parent[1:][parents[order] == 0] = 0
-
-    def find(self, x: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return np.zeros(len(x), dtype=np.int64)
-        i = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
-        return np.where(self.hashes[i] == x, i + 1, 0)
-
-    def places(self, codes: np.ndarray, hashes: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Places with a candidate of one word before them and its number, then the same of two words."""
-        one, two = histories(lens)
-        single = self.find(pair_hash(np.zeros(len(hashes), dtype=np.uint64), hashes))
-        c1 = single[codes[one - 1]]
-        one, c1 = one[c1 > 0], c1[c1 > 0]
-        two = two[(single[codes[two - 1]] > 0) & (single[codes[two - 2]] > 0)]
-        c2 = self.find(pair_hash(hashes[codes[two - 2]] | U(1), hashes[codes[two - 1]]))
-        return one, c1, two[c2 > 0], c2[c2 > 0]
-
-
-def keys_of(t_codes, hashes, lens, contexts: Contexts, parts: int):
-    """(word order, partition of ordered words, sorted keys, and each place's keys: plain, of one and of two words)."""
-    p = (hashes % U(parts)).astype(np.int64)
-    order = np.argsort(p, kind="stable")
-    rank = np.zeros(len(order), dtype=np.int64)
-    rank[order] = np.arange(len(order))
-    word = rank[t_codes]
-    one, c1, two, c2 = contexts.places(t_codes, hashes, lens)
-    plain, k1, k2 = word << 20, (word[one] << 20) + c1, (word[two] << 20) + c2
-    return order, p[order], np.unique(np.concatenate([plain, k1, k2])), (plain, k1, k2), (one, c1, two, c2)
-
-
-def candidates(docs: DataFrame, min_share: float = MIN_SHARE) -> tuple[Contexts, int]:
-    """All contexts with at least ``min_share`` of the training tokens, among others, and the number of these. Each batch reports contexts of ``SLACK`` of that share
-    in it, so the reports of a context lack less than ``SLACK`` of the share overall; exact counts are still to come."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, BLOCK):
-            batch = batch.filter(batch.column(2))
-            if not len(batch):
-                continue
-            t = Tokens(batch.column(1))
-            one, two = histories(t.lens)
-            least = max(1, SLACK * min_share * len(t.codes))
-            n1 = np.bincount(t.codes[one - 1], minlength=len(t.hashes))
-            often = np.flatnonzero(n1 >= least)
-            h1 = pair_hash(np.zeros(len(often), dtype=np.uint64), t.hashes[often])
-            frequent = n1 >= least
-            two = two[frequent[t.codes[two - 2]] & frequent[t.codes[two - 1]]]
-            k, n2 = np.unique((t.codes[two - 2] << 32) + t.codes[two - 1], return_counts=True)
-            k, n2 = k[n2 >= least], n2[n2 >= least]
-            u, v = t.hashes[k >> 32], t.hashes[k & 0xFFFFFFFF]
-            hashes = np.concatenate([h1, pair_hash(u | U(1), v), np.zeros(1, dtype=np.uint64)])
-            parents = np.concatenate([np.zeros(len(h1), dtype=np.uint64), pair_hash(np.zeros(len(v), dtype=np.uint64), v), np.zeros(1, dtype=np.uint64)])
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(parents.view(np.int64)), pa.array(np.concatenate([n1[often], n2, [len(t.codes)]]))], ["context", "parent", "n"])
-
-    sums = settle(docs.mapInArrow(of, "context long, parent long, n long").groupBy("context", "parent").agg(F.sum("n").alias("n")))
-    total = sums.where("context = 0").agg(F.sum("n")).first()[0] or 0
-    rows = sums.where(f"context <> 0 AND n >= {max(MIN_COUNT, min_share * total) - SLACK * min_share * total!r}").select("context", "parent").toArrow()
-    h, parent = (rows[c].to_numpy().view(np.uint64) if rows.num_rows else np.zeros(0, dtype=np.uint64) for c in ("context", "parent"))
-    known = (parent == 0) | np.isin(parent, h)
-    return Contexts(h[known], parent[known]), total
-
-
-SENT = "block long, p int, words binary, per binary, contexts binary, counts binary"
-
-
-def send(docs: DataFrame, contexts, parts: int) -> DataFrame:
-    """A row for every block and partition with its words, pairs and their training counts, and one (p = -1) with the block's texts as word numbers."""
+def pack(*columns: np.ndarray) -> bytes:
+    """Arrays of whole numbers from 0 on, each as the byte planes that its largest number needs, compressed."""
+    parts = []
+    for x in columns:
+        x = x.astype("<u8")
+        width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+        parts += [np.array([width, len(x)], dtype="<u4").tobytes(), x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    while at < len(raw):
+        width, n = np.frombuffer(raw, dtype="<u4", count=2, offset=at).tolist()
+        x = np.zeros((n, 8), dtype=np.uint8)
+        x[:, :width] = np.frombuffer(raw, dtype=np.uint8, count=n * width, offset=at + 8).reshape(width, n).T
+        out.append(x.reshape(-1).view("<i8"))
+        at += 8 + n * width
+    return out
+
+
+def runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal numbers."""
+    at = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(sorted_) else np.zeros(0, dtype=np.int64)
+    return at, np.diff(np.append(at, len(sorted_)))
+
+
+def tokens(texts: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of all texts laid end to end, as places in the distinct hashes; tokens by text; the hashes, in the order of their part and size."""
+    words, codes, per = _bpe.split_words(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) if w else 0 for w in words.to_pylist()] + [END], dtype=np.uint64)
+    real = hashes[codes] != 0 if len(codes) else np.zeros(0, dtype=bool)
+    ends, seen = np.cumsum(per), np.append(0, np.cumsum(real))
+    per = seen[ends] - seen[ends - per]
+    flat = np.full(int(per.sum()) + len(per), len(words), dtype=np.int64)
+    flat[_bpe.take_runs(_bpe.starts_of(per) + np.arange(len(per)), per)] = codes[real] if len(codes) else codes
+    order = np.lexsort((hashes, hashes % U(parts)))
+    order = order[np.bincount(flat, minlength=len(hashes))[order] > 0]
+    back = np.zeros(len(hashes), dtype=np.int64)
+    back[order] = np.arange(len(order))
+    return back[flat], per + 1, hashes[order]
+
+
+def blocks(docs: DataFrame, parts: int) -> DataFrame:
+    """For every block a row for each part with its words there and their training counts, and one (p = -1) with its texts' tokens, ids and marks."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,145 +102,236 @@ def send(docs: DataFrame, contexts, parts: int) -> DataFrame:
         for number, batch in enumerate(slices(batches, 1, BLOCK)):
             if not len(batch):
                 continue
-            t = Tokens(batch.column(1))
-            order, p, keys, places, (one, _, two, _) = keys_of(t.codes, t.hashes, t.lens, contexts.value, parts)
-            train = np.repeat(batch.column(2).to_numpy(zero_copy_only=False), t.lens)
-            at = np.concatenate([places[0][train], places[1][train[one]], places[2][train[two]]])
-            n = np.bincount(np.searchsorted(keys, at), minlength=len(keys))
-            word = keys >> 20
-            per = np.bincount(word, minlength=len(order))
-            cut = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-            ends = np.append(cut[1:], len(p))
-            key_end = np.cumsum(per)
-            rows = []
-            for a, b in zip(cut.tolist(), ends.tolist(), strict=True):
-                i, j = int(key_end[a] - per[a]), int(key_end[b - 1])
-                rows.append((int(p[a]), t.hashes[order[a:b]].tobytes(), per[a:b].astype("<i4").tobytes(), (keys[i:j] & 0xFFFFF).astype("<i4").tobytes(), n[i:j].astype("<i4").tobytes()))
-            low, high = (t.codes & 0xFFFF).astype("<u2"), (t.codes >> 16).astype("<u2")
-            rows.append((-1, t.hashes.tobytes(), t.lens.astype("<i4").tobytes(), low.tobytes(), high.tobytes()))
+            codes, lens, hashes = tokens(batch.column(1), parts)
+            train = np.repeat(batch.column(2).to_numpy(zero_copy_only=False), lens)
+            n = np.bincount(codes[train], minlength=len(hashes))
+            at, size = runs((hashes % U(parts)).astype(np.int64))
+            rows = [(int(hashes[a] % U(parts)), pack(hashes[a : a + k], n[a : a + k])) for a, k in zip(at.tolist(), size.tolist(), strict=True)]
+            rows.append((-1, pack(codes, lens)))
             m = len(rows)
-            ids = pa.ListArray.from_arrays(pa.array([0] * m + [len(batch)], pa.int32()), batch.column(0))
-            marks = pa.ListArray.from_arrays(pa.array([0] * m + [len(batch)], pa.int32()), batch.column(2))
-            yield pa.RecordBatch.from_arrays([pa.array([base + number] * m, pa.int64()), pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 5)), ids, marks],
-                                             ["block", "p", "words", "per", "contexts", "counts", "ids", "train"])
-
-    return docs.mapInArrow(of, f"{SENT}, ids array<{kind}>, train array<boolean>")
-
-
-def total_up(group: pa.Table) -> pa.Table:
-    """Distinct keys of one partition with their totals, contexts and words, those of contexts in training, and the totals that each block asked for."""
-    get = lambda c, t: [np.frombuffer(x, dtype=t) for x in group[c].to_pylist()]
-    words, per, ctx, n = get("words", "<u8"), get("per", "<i4"), get("contexts", "<i4"), get("counts", "<i4")
-    _, inv = np.unique(np.concatenate(words), return_inverse=True)
-    key = (np.repeat(inv, np.concatenate(per)) << 20) + np.concatenate(ctx)
-    own, where = np.unique(key, return_inverse=True)
-    total = np.bincount(where, weights=np.concatenate(n), minlength=len(own)).astype(np.int64)
-    answers = np.split(total[where], np.cumsum([len(x) for x in n])[:-1])
-    c, w = own & 0xFFFFF, own >> 20
-    live = (c > 0) & (total > 0)
-    return own, total, c, w, live, answers
-
-
-def totals(sent: DataFrame, contexts) -> DataFrame:
-    def of(group: pa.Table) -> pa.Table:
-        own, total, c, w, live, answers = total_up(group)
-        suffix = contexts.value.parent[c[live]]
-        # The suffix's pair is there too: each of its places is one of the suffix's.
-        base = total[np.searchsorted(own, (w[live] << 20) + suffix)]
-        n = total[live]
-        m = len(contexts.value.parent)
-        term = np.bincount(c[live], weights=n * (np.log(n) - np.log(np.maximum(base, 1))), minlength=m)
-        count, types = np.bincount(c[live], weights=n, minlength=m), np.bincount(c[live], minlength=m)
-        types[0] = ((c == 0) & (total > 0)).sum()  # known words
-        used = np.append(0, 1 + np.flatnonzero(types[1:]))
-        chunk = used >> CHUNK
-        rows = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
-        own_sums = [np.column_stack([used[r], count[used[r]], types[used[r]], term[used[r]].view(np.int64)]).astype("<i8").tobytes() for r in np.split(np.arange(len(used)), rows[1:])]
-        a, b = len(answers), len(rows)
-        pack = lambda x: x.astype("<u4").tobytes() if x.max(initial=0) < 2**32 else x.astype("<u8").tobytes()
-        blank = lambda k, t: pa.nulls(k, t)
-        return pa.table({
-            "block": pa.concat_arrays([group["block"].combine_chunks(), blank(b, pa.int64())]), "p": pa.concat_arrays([group["p"].combine_chunks(), blank(b, pa.int32())]),
-            "totals": pa.concat_arrays([pa.array([pack(x) for x in answers], pa.binary()), blank(b, pa.binary())]),
-            "chunk": pa.concat_arrays([blank(a, pa.int32()), pa.array(chunk[rows], pa.int32())]), "sums": pa.concat_arrays([blank(a, pa.binary()), pa.array(own_sums, pa.binary())]),
-        })
-
-    return sent.where("p >= 0").select("block", "p", "words", "per", "contexts", "counts").groupBy("p").applyInArrow(of, "block long, p int, totals binary, chunk int, sums binary")
-
-
-def summed_contexts(answered: DataFrame) -> DataFrame:
-    """``context, term, n, types``: the partitions' sums added up, a task for each chunk of contexts."""
-
-    def of(group: pa.Table) -> pa.Table:
-        x = np.concatenate([np.frombuffer(r, dtype="<i8").reshape(-1, 4) for r in group["sums"].to_pylist()])
-        ids, at = np.unique(x[:, 0], return_inverse=True)
-        add = lambda v: np.bincount(at, weights=v, minlength=len(ids))
-        return pa.table({"context": ids, "term": add(np.ascontiguousarray(x[:, 3]).view(np.float64)), "n": add(x[:, 1]).astype(np.int64), "types": add(x[:, 2]).astype(np.int64)})
-
-    return answered.where("chunk IS NOT NULL").select("chunk", "sums").groupBy("chunk").applyInArrow(of, "context long, term double, n long, types long")
-
-
-class Tree:
-    """Which contexts are states, their counts and successors, and the base distribution."""
-
-    def __init__(self, contexts: Contexts, total: int, known: int, n: np.ndarray, types: np.ndarray, term: np.ndarray, min_share: float = MIN_SHARE):
+            own = [pa.ListArray.from_arrays(pa.array([0] * m + [len(batch)], pa.int32()), batch.column(c)) for c in (0, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array([base + number] * m, pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), *own], ["block", "p", "body", "ids", "train"])
+
+    return docs.mapInArrow(of, f"block long, p int, body binary, ids array<{kind}>, train array<boolean>")
+
+
+ANSWERS = "block long, level int, p int, body binary, context long, above long, types long, n long, term long"
+
+
+def answers(group: pa.Table, level: int, bodies: list[bytes], sums: np.ndarray) -> pa.Table:
+    """A row for each block of the group with its answer, and one for each of the sums (context, above, types, n, term)."""
+    a, b = len(bodies), len(sums)
+    p = group["p"][0].as_py()
+    columns = {"block": pa.concat_arrays([group["block"].combine_chunks(), pa.nulls(b, pa.int64())]), "level": pa.array([level] * (a + b), pa.int32()), "p": pa.array([p] * (a + b), pa.int32()), "body": pa.array([*bodies, *[None] * b], pa.binary())}
+    return pa.table(columns | {c: pa.concat_arrays([pa.nulls(a, pa.int64()), pa.array(sums[:, i])]) for i, c in enumerate(("context", "above", "types", "n", "term"))})
+
+
+def number_words(group: pa.Table) -> pa.Table:
+    """The words of one part in the order of their hashes; the only sum tells the distinct words and all tokens in training."""
+    hashes, n = (list(x) for x in zip(*(unpack(x) for x in group["body"].to_pylist()), strict=True))
+    own, at = np.unique(np.concatenate(hashes).view(np.uint64), return_inverse=True)
+    total = np.bincount(at, weights=np.concatenate(n), minlength=len(own)).astype(np.int64)
+    bodies = [pack(np.diff(x, prepend=0), total[x]) for x in np.split(at, np.cumsum([len(x) for x in n])[:-1])]
+    return answers(group, 0, bodies, np.array([[0, 0, (total > 0).sum(), total.sum(), 0]], dtype=np.int64))
+
+
+@dataclass
+class Rule:
+    """The tree's parameters and what all blocks know of it. ``dealt``: by level the contexts that are dealt over all parts, in order, and their successors if they are states, else 0."""
+
+    parts: int
+    depth: int = DEPTH
+    min_count: int = MIN_COUNT
+    min_divergence: float = MIN_DIVERGENCE
+    total: int = 0
+    known: int = 0
+    dealt: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+
+    @property
+    def heavy(self) -> float:
+        return max(self.min_count, self.total / (4 * self.parts))
+
+    def states(self, types: np.ndarray, n: np.ndarray, above: np.ndarray, term: np.ndarray) -> np.ndarray:
+        """The successors of those contexts that are states, 0 for others."""
         size = np.maximum(n, 1)
-        above = np.where(contexts.parent > 0, n[contexts.parent], total)
-        divergence = (term + n * (np.log(np.maximum(above, 1)) - np.log(size))) / size
-        self.keep = (n >= max(MIN_COUNT, min_share * total)) & (divergence >= MIN_DIVERGENCE) & (divergence * n >= types * np.log(size) / 2)
-        self.keep[0] = False
-        deep = np.flatnonzero(self.keep & (contexts.parent > 0))
-        self.keep[contexts.parent[deep]] = True  # every suffix of a state is one
-        self.contexts, self.total, self.known, self.n, self.types = contexts, total, known, n, types
-
-    def score(self, codes: np.ndarray, hashes: np.ndarray, lens: np.ndarray, order: np.ndarray, keys: np.ndarray, places, where, totals_: np.ndarray):
+        divergence = term / GRAIN / size + np.log(np.maximum(above, 1)) - np.log(size)
+        return np.where((n >= self.min_count) & (divergence >= self.min_divergence) & (divergence * n >= types * np.log(size) / 2), types, 0)
+
+
+def test_contexts(group: pa.Table, level: int, rule: Rule) -> pa.Table:
+    """Totals of the n-grams of one part, the contexts among them that are states, and the numbers of contexts of the next level."""
+    context, owner, word, count, above, below, heavy, per, seen = [], [], [], [], [], [], [], [], 0
+    for body in group["body"].to_pylist():
+        step, m, high, w, n, under = unpack(body)
+        context.append(np.cumsum(step))
+        owner.append(np.repeat(np.arange(len(m)) + seen, m))
+        w = np.cumsum(w)
+        at = _bpe.starts_of(m)
+        word.append(w - np.repeat(np.where(at > 0, w[at - 1], 0), m))
+        for x, y in ((count, n), (below, under), (above, high >> 1), (heavy, high & 1), (per, len(n))):
+            x.append(y)
+        seen += len(m)
+    own, where = np.unique(np.concatenate(context), return_inverse=True)
+    word = np.concatenate(word)
+    bits = int(word.max()).bit_length()
+    key, at = np.unique((where[np.concatenate(owner)] << bits) | word, return_inverse=True)
+    total = np.bincount(at, weights=np.concatenate(count), minlength=len(key)).astype(np.int64)
+    suffix, high, dealt = np.ones(len(key), dtype=np.int64), np.ones(len(own), dtype=np.int64), np.zeros(len(own), dtype=bool)
+    suffix[at], high[where], dealt[where] = np.concatenate(below), np.concatenate(above), np.concatenate(heavy) == 1
+    live = np.flatnonzero(total)
+    c = key[live] >> bits
+    n, types = np.bincount(c, weights=total[live], minlength=len(own)).astype(np.int64), np.bincount(c, minlength=len(own))
+    term = np.bincount(c, weights=np.rint(GRAIN * total[live] * (np.log(total[live]) - np.log(np.maximum(suffix[live], 1)))), minlength=len(own))
+    state = np.where(dealt, 0, rule.states(types, n, high, term))
+    rank = np.cumsum(total >= rule.min_count) - 1
+    bodies, cut = [], np.cumsum([0, *(len(x) for x in context)])
+    for i, mine in enumerate(np.split(at, np.cumsum(per)[:-1])):
+        on = mine[total[mine] >= rule.min_count]
+        bodies.append(pack(state[where[cut[i] : cut[i + 1]]], total[mine], np.diff(rank[on], prepend=0)))
+    d = np.flatnonzero(dealt)
+    return answers(group, level, bodies, np.column_stack([own[d], high[d], types[d], n[d], term[d].astype(np.int64)]))
+
+
+class Level:
+    """The n-grams of a block whose first words are the contexts of one length."""
+
+    def __init__(self, places: np.ndarray, context: np.ndarray, word: np.ndarray, ids: np.ndarray, n: np.ndarray, above: np.ndarray, below: np.ndarray, word_ids: np.ndarray, rule: Rule):
+        """``places``: where such a context ends, its number there, the word; by number its id, its count and its suffix's; ``below``: by place the total of the shorter n-gram."""
+        self.places, self.n, self.above, self.ids, self.rule, self.word_ids = places, n, above, ids, rule, word_ids
+        self.key, self.at = np.unique((context << 32) | word, return_inverse=True)
+        self.context, self.word = self.key >> 32, self.key & LOW
+        self.below = np.ones(len(self.key), dtype=np.int64)
+        self.below[self.at] = below
+        self.heavy = n >= rule.heavy
+        part = np.where(self.heavy[self.context], mix(ids[self.context], word_ids[self.word] + 1), mix(ids[self.context])) % U(rule.parts)
+        self.order = np.argsort(part, kind="stable")
+        self.part = part[self.order].astype(np.int64)
+
+    def sent(self, train: np.ndarray) -> list[tuple[int, bytes]]:
+        """For each part its contexts (ids, n-grams, suffix's count and whether they are dealt), and the n-grams' words, counts and shorter totals."""
+        count, out = np.bincount(self.at[train[self.places]], minlength=len(self.key)), []
+        for a, k in zip(*(x.tolist() for x in runs(self.part)), strict=True):
+            own = self.order[a : a + k]
+            c = self.context[own]
+            at, m = runs(c)
+            w = self.word_ids[self.word[own]]
+            step = np.diff(w, prepend=0)
+            step[at] = w[at]
+            out.append((int(self.part[a]), pack(np.diff(self.ids[c[at]], prepend=0), m, self.above[c[at]] << 1 | self.heavy[c[at]], step, count[own], self.below[own])))
+        return out
+
+    def answered(self, level: int, bodies: dict[int, bytes]) -> None:
+        """``total`` by n-gram, ``next_id`` of those that are contexts themselves (else -1), and ``types`` by context: 0 where it is no state."""
+        self.total, self.next_id = np.zeros(len(self.key), dtype=np.int64), np.full(len(self.key), -1)
+        self.types = np.zeros(len(self.ids), dtype=np.int64)
+        for a, k in zip(*(x.tolist() for x in runs(self.part)), strict=True):
+            state, total, step = unpack(bodies[int(self.part[a])])
+            own = self.order[a : a + k]
+            self.total[own] = total
+            self.next_id[own[total >= self.rule.min_count]] = np.cumsum(step) * self.rule.parts + self.part[a]
+            c = self.context[own]
+            self.types[c[runs(c)[0]]] = state
+        ids, types = self.rule.dealt[level]
+        h = np.flatnonzero(self.heavy)
+        self.types[h] = types[np.searchsorted(ids, self.ids[h])] if len(ids) else 0
+
+    def next(self, word: np.ndarray, same_text: np.ndarray) -> Level:
+        """The level of contexts one word longer; ``same_text``: places whose predecessor is in the same text."""
+        long = np.flatnonzero(self.next_id >= 0)
+        long = long[np.argsort(self.next_id[long])]
+        number = np.full(len(self.key), -1)
+        number[long] = np.arange(len(long))
+        here, total = np.full(len(word) + 1, -1), np.zeros(len(word), dtype=np.int64)
+        here[self.places + 1] = number[self.at]
+        total[self.places] = self.total[self.at]
+        places = np.flatnonzero((here[:-1] >= 0) & same_text)
+        return Level(places, here[places], word[places], self.next_id[long], self.total[long], self.below[long], total[places], self.word_ids, self.rule)
+
+
+class Texts:
+    """A block's texts with what the parts have answered so far."""
+
+    def __init__(self, left: pa.Table, right: pa.Table, rule: Rule):
+        codes, self.lens = unpack(left["body"][0].as_py())
+        by: dict[int, dict[int, bytes]] = {}
+        for k, p, body in zip(right["level"].to_pylist(), right["p"].to_pylist(), right["body"].to_pylist(), strict=True):
+            by.setdefault(k, {})[p] = body
+        words = [(p, *unpack(by[0][p])) for p in sorted(by[0])]
+        ids, total = np.concatenate([np.cumsum(x) * rule.parts + p for p, x, _ in words]), np.concatenate([x for _, _, x in words])
+        order = np.argsort(ids)
+        back = np.zeros(len(order), dtype=np.int64)
+        back[order] = np.arange(len(order))
+        self.word, self.ids, self.total = back[codes], ids[order], total[order]
+        self.place = np.arange(len(codes)) - np.repeat(_bpe.starts_of(self.lens), self.lens)
+        self.levels: list[Level] = []
+        places = np.flatnonzero(self.place >= 1)
+        places = places[self.total[self.word[places - 1]] >= rule.min_count]
+        new = Level(places, self.word[places - 1], self.word[places], self.ids, self.total, np.full(len(self.ids), rule.total), self.total[self.word[places]], self.ids, rule)
+        for k in range(1, max(by) + 1):
+            new.answered(k, by[k])
+            self.levels.append(new)
+            if k < rule.depth:
+                new = new.next(self.word, self.place >= 1)
+        self.new = new
+
+    def logs(self, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By token: training count, log10 of the base probability and of the tree's."""
-        c = totals_[np.searchsorted(keys, places[0])]
-        base = (c + ADD) / (self.total + ADD * (self.known + 1))
+        c = self.total[self.word]
+        base = (c + ADD) / (rule.total + ADD * (rule.known + 1))
         prob = base.copy()
-        for at, ctx, k in ((where[0], where[1], places[1]), (where[2], where[3], places[2])):
-            use = self.keep[ctx]
-            at, ctx, k = at[use], ctx[use], k[use]
-            joint = totals_[np.searchsorted(keys, k)]
-            prob[at] = (joint + self.types[ctx] * prob[at]) / (self.n[ctx] + self.types[ctx])
+        for x in self.levels:
+            context = x.context[x.at]
+            use = np.flatnonzero(x.types[context])
+            at, t = x.places[use], x.types[context[use]]
+            prob[at] = (x.total[x.at[use]] + t * prob[at]) / (x.n[context[use]] + t)
         return c, np.log10(base), np.log10(prob)
 
 
-def score(docs: DataFrame, train: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document; ``train`` names the boolean column of those to learn from."""
+def score(docs: DataFrame, train: str | Column, key: str = "doc_id", text: str = "text", depth: int = DEPTH, min_count: int = MIN_COUNT, min_divergence: float = MIN_DIVERGENCE) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document; ``train``: those to learn from."""
     spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
-    docs = docs.select(docs[key].alias("doc_id"), docs[text].cast("string"), docs[train].alias("train"))
-    contexts, total = candidates(docs)
-    shared = spark.sparkContext.broadcast(contexts)  # at most 2 / (1 - SLACK) / MIN_SHARE contexts
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = settle(send(docs, shared, parts))
-    answered = settle(totals(sent, shared))
-    sums = summed_contexts(answered).toArrow()
-    at, size = sums["context"].to_numpy(), len(contexts.parent)
-    by = {c: np.bincount(at, weights=sums[c].to_numpy().astype(float), minlength=size) for c in ("term", "n", "types")} if len(at) else dict.fromkeys(("term", "n", "types"), np.zeros(size))
-    tree = spark.sparkContext.broadcast(Tree(contexts, total, int(by["types"][0]), by["n"], by["types"], by["term"]))
+    mark = F.coalesce(docs[train] if isinstance(train, str) else train, F.lit(False)).alias("train")
+    docs = docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text"), mark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rule = Rule(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART), depth, min_count, min_divergence)
+    sent = settle(blocks(docs, rule.parts))
+    texts = sent.where("p = -1").select("block", "body", "ids", "train")
+    known = [settle(sent.where("p >= 0").select("block", "p", "body").groupBy("p").applyInArrow(number_words, ANSWERS))]
+    # One row: distinct words and tokens.
+    rule.known, rule.total = (x or 0 for x in known[0].where("block IS NULL").agg(F.sum("types"), F.sum("n")).first())
+
+    def replies() -> DataFrame:
+        out = known[0]
+        for more in known[1:]:
+            out = out.unionByName(more)
+        return out.where("block IS NOT NULL").select("block", "level", "p", "body")
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = Texts(left, right, rule)
+        rows = own.new.sent(np.repeat(left["train"].combine_chunks().flatten().to_numpy(zero_copy_only=False), own.lens))
+        return pa.table({"block": pa.array([left["block"][0].as_py()] * len(rows), pa.int64()), "p": pa.array([r[0] for r in rows], pa.int32()), "body": pa.array([r[1] for r in rows], pa.binary())})
+
+    def tested(level: int):
+        return lambda group: test_contexts(group, level, rule)
+
+    for level in range(1, depth + 1):
+        asked = texts.groupBy("block").cogroup(replies().groupBy("block")).applyInArrow(ask, "block long, p int, body binary")
+        known.append(settle(asked.groupBy("p").applyInArrow(tested(level), ANSWERS)))
+        sums = known[-1].where("block IS NULL").groupBy("context").agg(F.max("above").alias("above"), *(F.sum(c).alias(c) for c in ("types", "n", "term"))).orderBy("context")
+        c, above, types, n, term = (x.to_numpy() for x in sums.toArrow().columns)  # four contexts a part at most
+        rule.dealt[level] = c, rule.states(types, n, above, term.astype(float))
 
     def of(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        get = lambda c, t: np.frombuffer(left[c][0].as_py(), dtype=t)
-        lens, hashes = get("per", "<i4").astype(np.int64), get("words", "<u8")
-        codes = get("contexts", "<u2").astype(np.int64) + (get("counts", "<u2").astype(np.int64) << 16)
-        order, p, keys, places, where = keys_of(codes, hashes, lens, tree.value.contexts, parts)
-        answers = dict(zip(right["p"].to_pylist(), right["totals"].to_pylist(), strict=True))
-        per = np.bincount(p[keys >> 20], minlength=parts)
-        flat = np.concatenate([np.frombuffer(answers[i], dtype="<u4" if len(answers[i]) == 4 * per[i] else "<u8").astype(np.int64) for i in sorted(answers)])
-        c, base, model = tree.value.score(codes, hashes, lens, order, keys, places, where, flat)
-        start = _bpe.starts_of(lens)
+        own = Texts(left, right, rule)
+        c, base, model = own.logs(rule)
+        start = _bpe.starts_of(own.lens)
+        sums = [own.lens, np.add.reduceat((c > 0).astype(np.int64), start), np.full(len(start), rule.total), np.add.reduceat(base, start), np.add.reduceat(model, start)]
         ids, marks = left["ids"].combine_chunks().flatten(), left["train"].combine_chunks().flatten()
-        sums_ = [lens, np.add.reduceat((c > 0).astype(np.int64), start), np.full(len(lens), tree.value.total), np.add.reduceat(base, start), np.add.reduceat(model, start)]
-        return pa.table([ids, pc.invert(marks), *map(pa.array, sums_)], names=names)
+        return pa.table([ids, pc.invert(marks), *map(pa.array, sums)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    texts = sent.where("p = -1").select("block", "words", "per", "contexts", "counts", "ids", "train")
-    back = answered.where("block IS NOT NULL").select("block", "p", "totals")
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(of, schema)
+    return texts.groupBy("block").cogroup(replies().groupBy("block")).applyInArrow(of, schema)
 
 
 def op1_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return score(docs.withColumn("_train", id_fold("doc_id", 10) != 0), "_train")
+    return score(table(spark, sf_dir, "documents"), id_fold("doc_id", 10) != 0)
