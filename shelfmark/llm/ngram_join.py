@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.operators.graph import connected_components
-from shelfmark.session import settle
+from shelfmark.session import drop_settled, settle
 
 from . import _bpe
 from ._shared import BLANKS, slices, table
@@ -45,7 +45,7 @@ WIDTH = 5
 SMALL_BANDS, SKETCH, SMALL, LEADERS, MORE, CHEAP = 6, 21, 48, 4, 24, 12
 U = np.uint64
 #: Bytes of text that a task handles at once.
-AT_ONCE = 8_000_000
+AT_ONCE = 5_000_000
 INDEX, ASK = 1, 2
 #: Elements of sets in a part of the signature exchange, so that its groups do not grow with the corpus.
 PART = 4_000_000
@@ -452,6 +452,8 @@ def members(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         if not more.isEmpty():
             links = settle(links.unionByName(verified(more, docs, own)))
     comp = connected_components(links, "a", "b")
+    for done in (found, pairs):
+        drop_settled(done)
     return nodes.join(comp, nodes["key"] == comp["id"], "left").select("doc_id", "t1", "t2", "n", F.coalesce("component", "key").alias("c"))
 
 

@@ -6,7 +6,7 @@ being judged by few characters or words. Before that stand base rules: too few w
 many of them in repeated five-word windows. Built-in functions only.
 
 Defined cases: a null text has no words and fails the base rules; a null or unknown language has no word list, and its characters are compared with those of
-all documents of that same language value; repeated rows stay repeated; very long texts are handled in time n log n; an empty table
+all documents of that same language value; other columns, whatever their names, don't matter; repeated rows stay repeated; very long texts are handled in time n log n; an empty table
 gives no rows.
 """
 
@@ -32,6 +32,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_CHARS, MIN_WORDS = 200, 100
 #: Distances beyond which a document differs from its language.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.28, 0.45
+#: References of so many language values are broadcast: at 200 bytes a row no more than 1 MB.
+MOST_SENT = 5_000
 CHAR_BINS = ("lower", "upper", "digit", "blank", "symbol", "rest")
 
 
@@ -75,17 +77,18 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(d, F.lit(0.0))))
 
 
-def counted(docs: DataFrame, keep: Sequence[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` under ``doc``, the words, and a text's counts of words, characters, symbols and repeats."""
-    d = docs.select(F.struct(*[docs[c] for c in keep]).alias("doc"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("t"))
+def counted(docs: DataFrame, keep: Sequence[str], text: str = "text", *more: Column) -> DataFrame:
+    """The columns ``keep`` under ``doc``, ``more`` beside it, the words, and a text's counts of words, characters, symbols and repeats."""
+    d = docs.select(F.struct(*[docs[c] for c in keep]).alias("doc"), *more, F.coalesce(docs[text].cast("string"), F.lit("")).alias("t"))
     d = d.withColumn("words", words_of(F.col("t")))
     lines = F.filter(F.split("t", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     every = sorted({w for ws in COMMON.values() for w in ws})
     # Each step is a projection of its own, so that no array is made twice. A window's hash joins its first four words with its last four.
     d = d.withColumns({"h": F.transform("words", lambda w: F.xxhash64(w)), "few": F.filter("words", lambda w: w.isin(every)), "lines": lines})
     d = d.withColumn("h2", pairs_of("h", 1)).withColumn("h4", pairs_of("h2", 2)).withColumn("at", pairs_of("h4", 1))
+    beside = [c for c in d.columns if c not in ("doc", "t", "words", "h", "few", "lines", "h2", "h4", "at")]
     return d.select(
-        "doc", "few",
+        "doc", *beside, "few",
         F.size("words").cast("long").alias("n_words"),
         F.size(F.array_distinct("h")).alias("n_distinct"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -100,8 +103,7 @@ def counted(docs: DataFrame, keep: Sequence[str], text: str = "text") -> DataFra
 
 def measures(docs: DataFrame, keep: Sequence[str], text: str = "text", lang: str = "lang") -> DataFrame:
     """``counted`` with the two histograms: ``chars`` as in CHAR_BINS, ``common`` for the language's words and the other words."""
-    own = docs.withColumn("_lang", docs[lang].cast("string"))
-    d = counted(own, [*keep, "_lang"], text).withColumn("lang", F.col("doc._lang")).withColumn("doc", F.col("doc").dropFields("_lang"))
+    d = counted(docs, keep, text, docs[lang].cast("string").alias("lang"))
     blank = F.col("n_chars") - F.col("word_chars")
     rest = F.col("word_chars") - F.col("n_lower") - F.col("n_upper") - F.col("n_digit") - F.col("n_symbols")
     bins = [F.col("n_lower"), F.col("n_upper"), F.col("n_digit"), blank, F.col("n_symbols"), rest]
@@ -127,8 +129,10 @@ def judge(docs: DataFrame, keep: Sequence[str], text: str = "text", lang: str =
     The measures are settled, as the references sum them before any document is judged.
     """
     m = settle(measures(docs, keep, text, lang))
-    ref = references(m).withColumnRenamed("lang", "ref_lang")
-    # At most a row per language value; Spark chooses how to join it.
+    ref = settle(references(m).withColumnRenamed("lang", "ref_lang"))
+    # A row per language value, sent to all tasks if they are few; else the documents are dealt by language.
+    if ref.count() <= MOST_SENT:
+        ref = F.broadcast(ref)
     j = m.join(ref, m["lang"].eqNullSafe(ref["ref_lang"]), "left")
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     n_chars = F.aggregate("chars", F.lit(0.0), lambda a, x: a + x)

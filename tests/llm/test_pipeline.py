@@ -1,9 +1,25 @@
-"""The pipeline on the smallest documents: each stage against what it must keep."""
+"""The pipeline's stages: on the smallest documents, against plain readings of what each must keep, and on awkward rows."""
+
+import re
+from collections import Counter
 
 import corpus_pipeline
-from shelfmark.llm import secret_scans
+import pytest
+from shelfmark.llm import quality_rules, secret_scans
 
 SF = "/root/testdata/sf0.001"
+STAGES = dict(corpus_pipeline.STAGES)
+
+
+def words(x):
+    return re.findall(r"[^\x20\x09-\x0D]+", x or "")
+
+
+def fails_base(x):
+    w = words(x)
+    c = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    twice = {j for i in range(len(w) - 4) if c[tuple(w[i : i + 5])] > 1 for j in range(i, i + 5)}
+    return len(w) < 10 or 100 * len(twice) > 20 * len(w)
 
 
 def test_stages(spark, tmp_path):
@@ -20,8 +36,55 @@ def test_stages(spark, tmp_path):
         assert out.columns == columns
         kept = out.count()
         assert 0.6 * before <= kept <= before
+        if name == "quality_classifier":
+            labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+            stays = {r["doc_id"] for r in out.select("doc_id").collect()}
+            known = [d for d in labels if docs.where(f"doc_id = {d}").count()] if len(labels) < 5 else [r["doc_id"] for r in docs.select("doc_id").collect() if r["doc_id"] in labels]
+            assert sum((d in stays) == (labels[d] == 1) for d in known) >= 0.95 * len(known)
+        if name == "quality_rules":
+            # What fails the base rules goes; what stays or goes otherwise lies on its side of the distances.
+            judged = {r["doc"]["doc_id"]: r for r in quality_rules.judge(docs, ["doc_id"]).collect()}
+            stays = {r["doc_id"] for r in out.collect()}
+            for r in docs.collect():
+                j = judged[r["doc_id"]]
+                far = (j["char_distance"] or 0) > quality_rules.MAX_CHAR_DISTANCE or (j["word_distance"] or 0) > quality_rules.MAX_WORD_DISTANCE
+                assert (r["doc_id"] in stays) == (not fails_base(r["text"]) and not far)
         if name == "ngram_join":
             assert out.select("text").distinct().count() == kept
         if name == "secret_scans":
             assert kept == before and all(not secret_scans.base_spans(r["text"]) for r in out.collect())
         docs, before = out, kept
+
+
+def test_the_classifier_counts_words_once(spark):
+    """A filter below the counting projections would write each array out for every use: the plan was 35 times as long."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = STAGES["quality_classifier"](spark, docs, SF)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct(") <= 8 and len(plan) < 40_000
+
+
+@pytest.mark.parametrize("name", list(STAGES))
+def test_awkward_rows(spark, name):
+    """Nulls, empty and very long texts, repeated rows, clashing names, an empty table: no stage fails, drops columns or loses what it must keep."""
+    good = "The committee met on Tuesday to talk about the new bridge, and it was agreed that the work should begin in the spring of the year. " * 2
+    rows = [(1, good, "en", "a", 1), (1, good, "en", "a", 1), (2, None, None, None, None), (None, good + "More was said later by others who came, and nobody could say how long it would take or who was to pay for all of it.", "en", "b", 7), (3, "", "xx", "c", 0), (4, " \n\t", "en", "c", 3), (5, "word " * 200_000, "en", "d", 1_000_000), (6, good.replace("bridge", "token: abcdefgh12345"), "en", "t", 9)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*r, "x", "y", 3) for r in rows], schema + ", words string, `row` string, number int")
+    stage = STAGES[name]
+    got = stage(spark, docs, SF).collect()
+    assert stage(spark, docs.where("doc_id = 99"), SF).count() == 0
+    if name == "packing":
+        assert {(r["doc_id"], r["piece"]) for r in got if r["doc_id"] != 5} == {(d, 0) for d in (1, 2, None, 3, 4, 6)}
+        assert sum(r["doc_id"] == 1 for r in got) == 2 and sum(r["length"] for r in got if r["doc_id"] == 5) == 200_001
+        return
+    assert got == [] or list(got[0].asDict()) == docs.columns
+    ids = Counter(r["doc_id"] for r in got)
+    if name == "quality_rules":
+        assert not {2, 3, 4, 5} & set(ids) and ids[1] in (0, 2)
+    if name == "ngram_join":
+        assert ids == Counter({1: 1, 2: 1, None: 1, 3: 1, 4: 1, 5: 1, 6: 1})
+    if name == "secret_scans":
+        assert ids == Counter(r[0] for r in rows)
+        changed = next(r for r in got if r["doc_id"] == 6)
+        assert "abcdefgh12345" not in changed["text"] and changed["n_chars"] == len(changed["text"]) and next(r for r in got if r["doc_id"] == 2)["text"] is None
