@@ -5,12 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Licence names by tier, tried in this order on upper-cased text: fixed values.
+#: Licence names by tier, tried in this order on trimmed upper-cased text: fixed values. Word bounds are written out, as they know ASCII only.
 LICENCE_TIERS = (
-    ("restricted", r"NONCOMMERCIAL|NON-COMMERCIAL|-NC|\bNC\b|ALL RIGHTS RESERVED|PROPRIETARY"),
-    ("copyleft", r"GPL|GNU GENERAL PUBLIC|SHARE-?ALIKE|-SA\b|MPL|EUPL"),
-    ("permissive", r"\bMIT\b|APACHE|BSD|ISC LICENSE|CC0|CC-BY|CREATIVE COMMONS ATTRIBUTION|PUBLIC DOMAIN|UNLICENSE"),
+    (
+        "restricted",
+        r"NON[\s-]?COMMERCIAL|(?<!\w)(NON|NOT)[\s-]?PUBLIC|(^|[\s-])NC([\s-]|$)|(^|[\s-])ND([\s-]|$)|PROPRIETARY|ACADEMIC|ALL[\s-]RIGHTS[\s-]RESERVED|COMMONS[\s-]CLAUSE|(?<!\w)CUSTOM(?!\w)"
+        r"|CONTROLLED[\s-]?ACCESS|MANAGED[\s-]?ACCESS|REGISTERED[\s-]?ACCESS|ACCESS[\s-]?RESTRICTED|(?<!\w)DBGAP(?!\w)|(?<!\w)EGA(?!\w)|(?<!\w)DUA(?!\w)",
+    ),
+    ("copyleft", r"GPL|MPL|EPL|EUPL|CDDL|OSL|CECILL|(^|[\s-])SA([\s-]|$)|SHARE[\s-]?ALIKE"),
+    ("permissive", r"(?<!\w)MIT(?!\w)|MIT-0|APACHE|BSD|ISC|CC0|PUBLIC[\s-]?DOMAIN|UNLICENSE|WTFPL|ZLIB|0BSD|BOOST|(?<!\w)BSL(?!\w)|POSTGRESQL|PYTHON|ARTISTIC|MS-PL|NCSA|CC-BY"),
 )
+#: Archive accessions: fixed values.
+ACCESSION = r"GSE\d+|GSM\d+|PRJ[A-Z]+\d+|SRP\d+|PXD\d+|CRA\d+|E-MTAB-\d+"
+#: Scopes of commit subjects and the kinds they stand for, verbs of additions, and keywords by area in the order they are tried: fixed values.
+SCOPES = {"papers": "Paper", "data": "Dataset", "datasets": "Dataset", "software": "Software", "databases": "Database", "resources": "Resource"}
+ADDITIONS = ("add", "integrate", "catalogue", "catalog", "inventory")
+AREAS = {
+    "sensory": ["burger", "flavor", "flavour", "aroma", "taste", "sensory", "mass spec", "metabolom", "volatile"],
+    "bioprocess": ["bioreactor", "bioprocess", "scale-up", "scale up", "perfusion", "microcarrier"],
+    "scaffolding": ["scaffold", "biomaterial", "hydrogel"],
+    "media": ["media", "medium", "growth factor", "serum"],
+    "cell": ["knockout", "crispr", "satellite cell", "differentiation", "atlas", "single-cell", "scrna", "rna-seq", "cell line", "cell-line", "lineage", "transcriptom"],
+    "metabolic": ["genome-scale", "genome scale", "metabolic model", "metabolic network", "strain design", "sbml", "gem"],
+    "foodsafety": ["allergen", "allergenic", "immunogenic", "food safety", "ige", "toxicity"],
+    "tooling": ["agent", "mcp", "llm", "foundation model", "framework", "tool", "docs", "pipeline"],
+}
+WHOLE_WORDS = ("gem", "ige")
+#: Item ids: fixed value.
+ITEM_ID = r"^(?:paper:[1-9][0-9]{0,6}|(?:sw|db|ds):[a-z0-9][a-z0-9-]{0,119})$"
 #: Lower bounds of the citation bands, highest first.
 BANDS = ((1000, "1000plus"), (100, "100to999"), (10, "10to99"))
 
@@ -58,15 +80,16 @@ def repo_of(url: Column) -> Column:
 
 
 def author_key(c: Column) -> Column:
-    """``surname|f`` in lower case; without a comma just the name."""
-    surname = F.lower(F.trim(F.substring_index(c, ",", 1)))
-    initial = F.lower(F.regexp_extract(F.substring(c, F.instr(c, ",") + 1, 1000), "[A-Za-z]", 0))
-    return F.when(F.instr(c, ",") > 0, F.concat_ws("|", surname, F.nullif(initial, F.lit("")))).otherwise(surname)
+    """``surname|f`` in lower case, the initial being the first ASCII letter between the first and second comma; just the name without one; null without a surname."""
+    parts = F.split(F.trim(c), ",")
+    surname = F.nullif(F.lower(F.trim(F.get(parts, F.lit(0)))), F.lit(""))
+    initial = F.lower(F.regexp_extract(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), "[A-Za-z]", 0))
+    return F.when(surname.isNotNull(), F.concat_ws("|", surname, F.nullif(initial, F.lit(""))))
 
 
 def licence_tier(c: Column) -> Column:
-    """The first tier whose pattern fits, else ``unknown``, also for null."""
-    up = F.upper(F.coalesce(c, F.lit("")))
+    """The first tier whose pattern fits, else ``unknown``, also for null and blank."""
+    up = F.upper(F.trim(F.coalesce(c, F.lit(""))))
     out = F.lit("unknown")
     for tier, pattern in reversed(LICENCE_TIERS):
         out = F.when(up.rlike(pattern), tier).otherwise(out)
@@ -106,9 +129,19 @@ def first_count(c: Column, fallback: int) -> Column:
 
 
 def compact_count(c: Column) -> Column:
-    """4600 as 4.6k."""
-    k = F.round(c.cast("double") / 1000, 1)
-    return F.when(c < 1000, c.cast("string")).otherwise(F.concat(F.regexp_replace(k.cast("string"), r"\.0$", ""), F.lit("k")))
+    """4626 as 4.6K, 999,999 as 1M: one decimal at most, halves away from zero; numbers below a thousand as they are."""
+    n, out = c.cast("long"), F.lit(None).cast("string")
+
+    def tenths(power: int) -> Column:
+        x = n * 10 + 10**power // 2
+        return ((x - x % 10**power) / 10**power).cast("long")
+
+    for power, letter in ((3, "K"), (6, "M"), (9, "B"), (12, "T")):
+        x = tenths(power)
+        shown = F.concat(((x - x % 10) / 10).cast("long").cast("string"), F.when(x % 10 > 0, F.concat(F.lit("."), (x % 10).cast("string"))).otherwise(F.lit("")), F.lit(letter))
+        # A unit is taken from where the number, rounded in the unit before, reaches it.
+        out = F.when(n >= 1000 if power == 3 else tenths(power - 3) >= 10_000, shown).otherwise(out)
+    return F.when(n < 1000, n.cast("string")).otherwise(out)
 
 
 def site_of(url: Column) -> Column:
@@ -129,24 +162,99 @@ def links_in(c: Column) -> Column:
 
 
 def video_id(url: Column) -> Column:
-    return F.nullif(F.regexp_extract(url, r"(?:youtu\.be/|youtube\.com/(?:watch\?(?:.*&)?v=|embed/))([A-Za-z0-9_-]{11})", 1), F.lit(""))
+    """The id of a video address, null elsewhere."""
+    return F.nullif(F.regexp_extract(url, r"(?:[?&]v=|youtu\.be/|/embed/)([A-Za-z0-9_-]{11})", 1), F.lit(""))
+
+
+def media_kind(url: Column) -> Column:
+    """video, playlist or link."""
+    return F.when(video_id(url).isNotNull(), "video").when(url.rlike(r"(?i)youtube\.com/playlist\?"), "playlist").when(url.isNotNull(), "link")
 
 
 def accession(c: Column) -> Column:
-    """The first archive accession anywhere in a text: project, study or series numbers of seven families."""
-    return F.nullif(F.regexp_extract(c, r"\b(PRJ(?:NA|EB|DB|CA)[0-9]+|GS[EM][0-9]+|SRP[0-9]+|ERP[0-9]+|E-[A-Z]{4}-[0-9]+|PXD[0-9]+|MSV[0-9]+)\b", 1), F.lit(""))
+    """The first archive accession anywhere in a text, upper case only; null without one."""
+    return F.nullif(F.regexp_extract(c, f"({ACCESSION})", 1), F.lit(""))
+
+
+def is_accession(c: Column) -> Column:
+    return c.rlike(f"^(?:{ACCESSION})$")
+
+
+def id_accession(item_id: Column) -> Column:
+    """The accession that the local part of an id (after ``ds:``) starts with, whatever follows; else the local part, both in upper case."""
+    local = F.upper(F.substring(item_id, 4, 1_000_000))
+    return F.coalesce(F.nullif(F.regexp_extract(local, f"^({ACCESSION})", 1), F.lit("")), local)
+
+
+def deposit_accession(item_id: Column, data_cell: Column) -> Column:
+    """The first accession of a row's data cell, in any case, else that of its id."""
+    return F.coalesce(accession(F.upper(data_cell)), id_accession(item_id))
+
+
+def seed_text(cells: Column) -> Column:
+    """What a row's id is made of: the first accession in its cells, else the first three words of the first cell without Markdown marks."""
+    words = F.split(F.regexp_replace(F.get(cells, F.lit(0)), r"[\[\]`*]", ""), r"\s+")
+    return F.coalesce(accession(F.array_join(cells, " ")), F.array_join(F.slice(words, 1, 3), "-"))
+
+
+def is_item_id(c: Column) -> Column:
+    return F.coalesce(c.rlike(ITEM_ID), F.lit(False))
+
+
+def entry_kind(section: Column) -> Column:
+    """gem, atlas or other, by the words of a section's heading; gem goes first."""
+    gem, atlas = r"(?i)metabolic|genome[- ]?scale|(?<!\w)gem(?!\w)", r"(?i)atlas|corpora|single[- ]?cell|perturbation"
+    return F.when(section.rlike(gem), "gem").when(section.rlike(atlas), "atlas").otherwise("other")
+
+
+def area_of(title: Column) -> Column:
+    """The first area with a keyword at the start of a word of the title; those of WHOLE_WORDS must end there as well; ``tooling`` for none."""
+    low, out = F.lower(title), F.lit("tooling")
+    for area, words in reversed(AREAS.items()):
+        stems = "|".join(w + ("(?![a-z0-9])" if w in WHOLE_WORDS else "") for w in words)
+        out = F.when(low.rlike(f"(?<![a-z0-9])(?:{stems})"), area).otherwise(out)
+    return out
+
+
+def without_volume(c: Column) -> Column:
+    """A journal's name without the volume and punctuation that close it."""
+    x = F.regexp_replace(F.regexp_replace(F.trim(c), r"[.,\s]+$", ""), r",\s*\d+$", "")
+    return F.regexp_replace(x, r"[.,\s]+$", "")
+
+
+def works_url(dois: Column, base: str) -> Column:
+    """An address that filters works by any of the DOIs; empty for none."""
+    encoded = F.transform(dois, lambda d: F.replace(F.url_encode(d), F.lit("+"), F.lit("%20")))
+    return F.when(F.size(dois) > 0, F.concat(F.lit(base), F.array_join(encoded, "|"))).otherwise(F.lit(""))
+
+
+def one_line(c: Column, limit: int = 400) -> Column:
+    """A note in one line of at most ``limit`` characters: control characters and runs of blanks become a space."""
+    x = F.regexp_replace(F.regexp_replace(c, r"[\p{Cc}\p{Cf}]", " "), r"\s+", " ")
+    return F.left(F.trim(x), F.lit(limit))
+
+
+def plain_text(cell: Column) -> Column:
+    """What a reader sees of a Markdown cell: links by their text, without emphasis and code marks."""
+    x = F.regexp_replace(F.regexp_replace(cell, r"!?\[([^\]]*)\]\([^)]*\)", "$1"), "<[^>]*>", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(x, r"`|\*\*?|(?<![A-Za-z0-9])_|_(?![A-Za-z0-9])", ""), r"\\([\\`*_{}\[\]()#+.!|-])", "$1"))
+
+
+def string_list(c: Column) -> Column:
+    """A JSON array of strings; empty for null and for what is none."""
+    return F.coalesce(F.from_json(c, "array<string>", {"mode": "PERMISSIVE"}), F.array().cast("array<string>"))
 
 
 def ip_key(c: Column) -> Column:
-    """The limiter's key: an IPv4 address, the first four groups of a written-out IPv6 address, else ``unknown``."""
-    groups = F.split(F.lower(c), ":")
-    left = F.filter(F.split(F.substring_index(F.lower(c), "::", 1), ":"), lambda x: x != "")
-    right = F.filter(F.split(F.substring_index(F.lower(c), "::", -1), ":"), lambda x: x != "")
-    zeros = F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0)))
-    full = F.when(c.contains("::"), F.concat(left, zeros, right)).otherwise(groups)
-    prefix = F.array_join(F.transform(F.slice(full, 1, 4), lambda x: F.when(F.ltrim(x, F.lit("0")) == "", "0").otherwise(F.ltrim(x, F.lit("0")))), ":")
-    v6 = F.when(c.contains("::") | (F.size(groups) == 8), F.concat(prefix, F.lit("::/64")))
-    return F.coalesce(F.when(c.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), c), F.when(F.lower(c).rlike("^[0-9a-f:]+$"), v6), F.lit("unknown"))
+    """The limiter's key: an address without colons whole, else its first four groups, ``::`` filled with zeros; with more than one ``::`` whole; ``unknown`` for none."""
+    halves = F.split(c, "::")
+    none = F.array().cast("array<string>")
+    side = lambda i: F.when(F.coalesce(F.get(halves, F.lit(i)), F.lit("")) == "", none).otherwise(F.split(F.get(halves, F.lit(i)), ":"))
+    left, right = side(0), F.when(F.size(halves) == 2, side(1)).otherwise(none)
+    zeros = F.when(F.size(halves) == 2, F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0)))).otherwise(none)
+    bare = lambda x: F.lower(F.when(F.ltrim(x, F.lit("0")) == "", "0").otherwise(F.ltrim(x, F.lit("0"))))
+    prefix = F.array_join(F.transform(F.slice(F.concat(left, zeros, right), 1, 4), bare), ":")
+    return F.when(F.coalesce(c, F.lit("")) == "", "unknown").when(~F.contains(c, F.lit(":")), c).when(F.size(halves) > 2, F.lower(c)).otherwise(prefix)
 
 
 def contains_text(fields: list[Column], needle: str) -> Column:
@@ -161,9 +269,16 @@ def tag_rules(text: Column, rules: dict[str, str]) -> Column:
 
 
 def commit_subject(c: Column) -> Column:
-    """Subject of a conventional commit line: without type, scope and trailing number, first letter upper case."""
-    x = F.regexp_replace(F.regexp_replace(c, r"^[a-z]+(\([^)]*\))?!?:\s*", ""), r"\s*\(#[0-9]+\)$", "")
-    return F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 100000))
+    """struct(kind, title, area) of a conventional commit line that adds to the catalogue: its first scope is known and an addition's verb leads; null for others."""
+    line = r"(?i)^[a-z]+\(([^)]+)\):\s*(.+)$"
+    scope = F.lower(F.trim(F.substring_index(F.regexp_extract(c, line, 1), ",", 1)))
+    kind = F.lit(None).cast("string")
+    for name, k in SCOPES.items():
+        kind = F.when(scope == name, k).otherwise(kind)
+    rest = F.trim(F.regexp_extract(c, line, 2))
+    title = F.trim(F.regexp_replace(F.regexp_extract(rest, rf"(?is)^(?:{'|'.join(ADDITIONS)})(?!\w)(.*)$", 1), r"\s*\(#\d+\)\s*$", ""))
+    title = F.concat(F.upper(F.substring(title, 1, 1)), F.substring(title, 2, 1_000_000))
+    return F.when(kind.isNotNull() & (title != ""), F.struct(kind.alias("kind"), title.alias("title"), area_of(title).alias("area")))
 
 
 def apa_parts(c: Column) -> Column:

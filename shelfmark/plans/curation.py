@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text as T
 from shelfmark.operators import checks, dml, enrich, graph, sets
-from shelfmark.plans.catalog import CHAIN, GRID, STARS, matrix_full_grid, query, stars, t
+from shelfmark.plans.catalog import GRID, STARS, matrix_full_grid, query, stars, t
 
 
 @query("""WITH m AS (SELECT conv_id, role, turn, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations WHERE role IN ('user', 'assistant'))
@@ -108,11 +108,16 @@ def first_counts(spark, sf):
     return t(spark, sf, "conversations").select("conv_id", "turn", T.first_count(F.col("text"), -1).alias("n"))
 
 
-@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN '10.0.0.' || (user_id % 256) WHEN 1 THEN '2001:db8:' || (user_id % 10) || ':0::/64' ELSE 'unknown' END AS limit_key FROM events""")
+ADDRESS = """CASE event_id % 6 WHEN 0 THEN '10.0.0.' || user_id % 256 WHEN 1 THEN '2001:DB8:00' || user_id % 10 || '::1' WHEN 2 THEN '::ffff:1.2.3.' || user_id % 256 WHEN 3 THEN 'A::b::' || user_id
+WHEN 4 THEN '2001:0db8:1:2:' || user_id END"""
+
+
+@query(f"""WITH a AS (SELECT event_id, {ADDRESS} AS x FROM events), h AS (SELECT *, string_split(x, '::') AS hs FROM a),
+g AS (SELECT *, CASE WHEN hs[1] = '' THEN []::VARCHAR[] ELSE string_split(hs[1], ':') END AS l, CASE WHEN len(hs) = 2 AND hs[2] <> '' THEN string_split(hs[2], ':') ELSE []::VARCHAR[] END AS r FROM h)
+SELECT event_id, CASE WHEN coalesce(x, '') = '' THEN 'unknown' WHEN NOT contains(x, ':') THEN x WHEN len(hs) > 2 THEN lower(x) ELSE array_to_string(list_transform(list_slice(list_concat(list_concat(l,
+CASE WHEN len(hs) = 2 THEN list_transform(range(0, greatest(0, 8 - len(l) - len(r))), lambda i: '0') ELSE []::VARCHAR[] END), r), 1, 4), lambda p: lower(coalesce(nullif(ltrim(p, '0'), ''), '0'))), ':') END AS limit_key FROM g""")
 def limiter_keys(spark, sf):
-    v6 = F.concat(F.lit("2001:DB8:00"), (F.col("user_id") % 10).cast("string"), F.lit("::1"))
-    address = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("10.0.0."), (F.col("user_id") % 256).cast("string"))).when(F.col("event_id") % 3 == 1, v6)
-    return t(spark, sf, "events").select("event_id", T.ip_key(address).alias("limit_key"))
+    return t(spark, sf, "events").select("event_id", T.ip_key(F.expr(ADDRESS)).alias("limit_key"))
 
 
 @query("""SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'other' END AS kind, coalesce(try_cast(props::JSON ->> '$.k' AS DOUBLE), -1.0::DOUBLE) AS number, left(props, 8) AS head FROM events WHERE event_type <> 'error'""")
@@ -125,39 +130,22 @@ def collected_points(spark, sf):
 SITE = r"regexp_replace(lower(regexp_extract(url, '(?i)^https?://([^/?#:]+)', 1)), '^www\.', '')"
 
 
-@query(f"""SELECT p.page_id, coalesce(home::VARCHAR, 'outside') AS target FROM (SELECT page_id, nullif({SITE}, '') AS site FROM pages) p
-LEFT JOIN (SELECT {SITE} AS site, min(page_id) AS home FROM pages WHERE page_id % 2 = 0 GROUP BY 1) r ON r.site = p.site""")
-def resolved_links(spark, sf):
-    p = t(spark, sf, "pages").select("page_id", T.site_of(F.col("url")).alias("site"))
-    homes = p.where("page_id % 2 = 0").groupBy("site").agg(F.min("page_id").cast("string").alias("target"))
-    return enrich.lookup(p, homes, ["site"], {"target": F.lit("outside")}).select("page_id", "target")
-
 
 @query(f"""SELECT p.page_id, coalesce(home::VARCHAR, 'outside') AS target FROM (SELECT page_id, nullif({SITE}, '') AS site FROM pages) p
 LEFT JOIN (SELECT {SITE} AS site, min(page_id) AS home FROM pages GROUP BY 1) r ON r.site = p.site""")
-def resolved_links_whole(spark, sf):
+def resolved_links(spark, sf):
     p = t(spark, sf, "pages").select("page_id", T.site_of(F.col("url")).alias("site"))
     homes = p.groupBy("site").agg(F.min("page_id").cast("string").alias("target"))
     return enrich.lookup(p, homes, ["site"], {"target": F.lit("outside")}).select("page_id", "target")
 
 
-@query(f"""WITH RECURSIVE e AS ({CHAIN}), both_ AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
-r(id, reach) AS (SELECT a, a FROM both_ UNION SELECT r.id, b FROM r JOIN both_ ON a = reach), c AS (SELECT id, min(reach) AS component FROM r GROUP BY 1),
-n AS (SELECT c_custkey AS id FROM customer UNION SELECT dst FROM e)
-SELECT (SELECT count(*) FROM n)::BIGINT AS n_nodes, (SELECT count(*) FROM e)::BIGINT AS n_edges, (SELECT count(*) FROM c)::BIGINT AS n_connected, ((SELECT count(*) FROM n) - (SELECT count(*) FROM c))::BIGINT AS n_isolated,
-coalesce((SELECT max(k) FROM (SELECT count(*) AS k FROM c GROUP BY component)), 1)::BIGINT AS largest_component""")
-def graph_stats(spark, sf):
-    e = t(spark, sf, "orders").where("o_totalprice > 440000").select(F.col("o_custkey").alias("src"), (F.lit(1000000) + F.col("o_orderkey") % 977).alias("dst")).distinct()
-    nodes = t(spark, sf, "customer").select(F.col("c_custkey").alias("id")).unionByName(e.select(F.col("dst").alias("id")))
-    return graph.graph_stats(e, nodes)
-
 
 @query(f"""WITH RECURSIVE e AS ({STARS}), both_ AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
 r(id, reach) AS (SELECT a, a FROM both_ UNION SELECT r.id, b FROM r JOIN both_ ON a = reach), c AS (SELECT id, min(reach) AS component FROM r GROUP BY 1),
 n AS (SELECT c_custkey AS id FROM customer UNION SELECT src FROM e UNION SELECT dst FROM e)
 SELECT (SELECT count(*) FROM n)::BIGINT AS n_nodes, (SELECT count(*) FROM e)::BIGINT AS n_edges, (SELECT count(*) FROM c)::BIGINT AS n_connected, ((SELECT count(*) FROM n) - (SELECT count(*) FROM c))::BIGINT AS n_isolated,
 coalesce((SELECT max(k) FROM (SELECT count(*) AS k FROM c GROUP BY component)), 1)::BIGINT AS largest_component""")
-def graph_stats_whole(spark, sf):
+def graph_stats(spark, sf):
     e = stars(spark, sf)
     nodes = t(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
     for end in ("src", "dst"):

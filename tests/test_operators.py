@@ -1,6 +1,7 @@
 """Operators on small hand-made tables, nulls and ties among them."""
 
-import pandas as pd
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as T
@@ -21,16 +22,34 @@ def test_slugs(spark):
 
 def test_keys(spark):
     assert one(spark, T.doi_key, " HTTPS://dx.doi.org/10.1/A ", "doi: 10.2/b", "", None) == ["10.1/a", "10.2/b", None, None]
-    assert one(spark, T.author_key, "Smith, J. K.", "Plato", "Lee,") == ["smith|j", "plato", "lee"]
+    assert one(spark, T.author_key, "Smith, J. K.", "Plato", "Lee,", " , A", "  ", "O, 3, B", None) == ["smith|j", "plato", "lee", None, None, "o", None]
     assert one(spark, T.repo_of, "https://github.com/A/b.git", "https://x.org/a/b") == ["a/b", None]
-    assert one(spark, T.ip_key, "10.0.0.1", "2001:DB8::1", "2001:db8:0:0:0:0:0:1", "?", None) == ["10.0.0.1", "2001:db8:0:0::/64", "2001:db8:0:0::/64", "unknown", "unknown"]
+    assert one(spark, T.ip_key, "10.0.0.1", "2001:DB8::1", "2001:db8:0:0:0:0:0:1", "?", None) == ["10.0.0.1", "2001:db8:0:0", "2001:db8:0:0", "?", "unknown"]
+    assert one(spark, T.ip_key, "", "::ffff:1.2.3.4", "2001:DB8:1:2:3", "A::b::c", "::", "2001:0db8::ff00:42:8329") == ["unknown", "0:0:0:0", "2001:db8:1:2", "a::b::c", "0:0:0:0", "2001:db8:0:0"]
 
 
 def test_rules(spark):
     assert one(spark, T.licence_tier, "GPL-3.0", "CC BY-NC-SA", "MIT", "?", None) == ["copyleft", "restricted", "permissive", "unknown", "unknown"]
     assert one(spark, T.citation_band, 1000, 999, 10, 0, None, kind="int") == ["1000plus", "100to999", "10to99", "under10", None]
     assert one(spark, T.normal_query, " A  b ", "x", "a@b", "1234567", "123456", "q" * 81) == ["a b", None, None, None, "123456", None]
-    assert one(spark, T.commit_subject, "feat(x): add y (#12)", "Plain") == ["Add y", "Plain"]
+    licences = {"CC-BY-ND-4.0": "restricted", "Controlled access": "restricted", "dbGaP": "restricted", "Non commercial": "restricted", "not public": "restricted", "NCSA": "permissive", "EPL-2.0": "copyleft", "CC BY SA": "copyleft", "Zlib": "permissive", "0BSD": "permissive", "permit": "unknown", " ": "unknown", "egalitarian": "unknown"}
+    assert one(spark, T.licence_tier, *licences) == list(licences.values())
+    subjects = ["feat(papers): add y burger (#12)", "Plain", "feat(x): add y", "feat(datasets, ui): Catalogue a scaffold atlas", "feat(data): additional rows", "fix(software): add  (#3)", "feat(software): integrate iGEM agent", None]
+    assert [r and tuple(r) for r in one(spark, T.commit_subject, *subjects)] == [("Paper", "Y burger", "sensory"), None, None, ("Dataset", "A scaffold atlas", "scaffolding"), None, None, ("Software", "IGEM agent", "tooling"), None]
+    assert one(spark, T.compact_count, 999, 1000, 4626, 999_949, 999_950, 1_234_567, 1_250_000, 12_345, 5_000_000_000, None, kind="long") == ["999", "1K", "4.6K", "999.9K", "1M", "1.2M", "1.3M", "12.3K", "5B", None]
+    assert one(spark, T.accession, "in CRA12 and GSE1", "PRJXYZ9", "xSRP5", "ERP1 MSV2", "E-MTAB-96", None) == ["CRA12", "PRJXYZ9", "SRP5", None, "E-MTAB-96", None]
+    assert one(spark, T.id_accession, "ds:gse158430-2", "ds:e-mtab-9622", "ds:some-title") == ["GSE158430", "E-MTAB-9622", "SOME-TITLE"]
+    assert one(spark, lambda c: T.deposit_accession(F.lit("ds:gse1-2"), c), "see gsm77", "none", None) == ["GSM77", "GSE1", "GSE1"]
+    assert one(spark, lambda c: T.seed_text(F.split(c, r"\|")), "[The] `big` *blue* one|x GSE9", "[The] `big` *blue* one|x") == ["GSE9", "The-big-blue"]
+    assert one(spark, T.is_item_id, "paper:12", "paper:012", "ds:a-1", "ds:-a", None) == [True, False, True, False, False]
+    assert one(spark, T.entry_kind, "Genome-scale atlas", "Single cell", "GEMs", "a GEM") == ["gem", "atlas", "other", "gem"]
+    assert one(spark, T.area_of, "Allergenicity predictors", "Food Intelligence", "iGEM gem", "Gemini", "Multimedia") == ["foodsafety", "tooling", "metabolic", "tooling", "tooling"]
+    assert one(spark, T.without_volume, "Nature, 37", "Cell. ", "Bio 2, 37*(1)") == ["Nature", "Cell", "Bio 2, 37*(1)"]
+    assert one(spark, T.media_kind, "https://youtu.be/abcdefghijk", "https://www.youtube.com/playlist?list=1", "x") == ["video", "playlist", "link"]
+    assert one(spark, lambda c: T.works_url(F.split(c, " "), "w?"), "10.1/a 10.2/b") == ["w?10.1%2Fa|10.2%2Fb"]
+    assert one(spark, lambda c: T.one_line(c, 5), "a\n\tb\u0000c  def") == ["a b c"]
+    assert one(spark, T.plain_text, "[Title](u) `x` **b** _i_ snake_case a\\|b") == ["Title x b i snake_case a|b"]
+    assert one(spark, T.string_list, '["a","b"]', "no", None) == [["a", "b"], [], []]
     assert one(spark, T.links_in, "see https://a.b/c, https://a.b/c and http://d.") == [["https://a.b/c", "http://d"]]
 
 
@@ -74,7 +93,7 @@ def test_checks_and_changes(spark):
 
 
 def test_stream_limiter_agrees_with_batch(spark, tmp_path):
-    rows = [(i, i % 3, pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=7 * i)) for i in range(60)]
+    rows = [(i, i % 3, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=7 * i)) for i in range(60)]
     df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     batch = {r["event_id"]: r["refused"] for r in events.rate_limited(df, "user_id", 2, "60 seconds").collect()}

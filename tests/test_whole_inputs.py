@@ -1,4 +1,4 @@
-"""The queries on whole texts and tables see what those on prefixes and subsets leave out, against plain Python."""
+"""Queries read whole texts and tables: what stands late in a text or is rare in a table counts, against plain Python."""
 
 import re
 from collections import defaultdict
@@ -27,23 +27,23 @@ def rows(spark, sf, name):
 
 
 def test_texts(spark, sf):
-    got = {r[0]: r[1] for r in rows(spark, sf, "slugs_whole")}
+    got = {r[0]: r[1] for r in rows(spark, sf, "slugs")}
     slug = lambda x: re.sub("^-|-$", "", re.sub("-+", "-", re.sub("[^a-z0-9-]", "", re.sub(r"\s+", "-", x.lower()))))
     assert got == {i: slug(x) for i, x in enumerate(sf[1])} and got[1].endswith("last-word-two")
-    assert dict(rows(spark, sf, "tier_histogram_whole")) == {"permissive": 1, "unknown": 3}
+    assert dict(rows(spark, sf, "tier_histogram")) == {"permissive": 1, "unknown": 3}
 
 
 def test_tables(spark, sf):
     ids = sorted(k for k, _, _ in sf[2])
     gaps = [(a + 1, b - 1) for a, b in zip(ids, ids[1:], strict=False) if b > a + 1]
-    assert sorted(rows(spark, sf, "id_gaps_whole")) == gaps
+    assert sorted(rows(spark, sf, "id_gaps")) == gaps
     starts = [i for i in ids if i - 1 not in ids]
-    assert sorted(rows(spark, sf, "id_runs_whole")) == [(a, next(i for i in ids if i >= a and i + 1 not in ids)) for a in starts]
-    assert dict(rows(spark, sf, "resolved_links_whole")) == {1: "1", 3: "1", 5: "5", 6: "outside"}
+    assert sorted(rows(spark, sf, "id_runs")) == [(a, next(i for i in ids if i >= a and i + 1 not in ids)) for a in starts]
+    assert dict(rows(spark, sf, "resolved_links")) == {1: "1", 3: "1", 5: "5", 6: "outside"}
     groups = defaultdict(set)
     for k, c, _ in sf[2]:
         groups[c] |= {c, -1 - k}
-    assert dict(rows(spark, sf, "components_whole")) == {i: min(g) for g in groups.values() for i in g}
+    assert dict(rows(spark, sf, "components")) == {i: min(g) for g in groups.values() for i in g}
     n = sum(map(len, groups.values()))
-    (stats,) = Q["graph_stats_whole"](spark, sf[0]).collect()
+    (stats,) = Q["graph_stats"](spark, sf[0]).collect()
     assert stats.asDict() == {"n_nodes": n + 1, "n_edges": len(ids), "n_connected": n, "n_isolated": 1, "largest_component": max(map(len, groups.values()))}
