@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,9 +29,11 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
 def scratch_dir(spark: SparkSession) -> str:
     """A new path in the folder that ``spark.checkpoint.dir`` names, which all executors share.
 
-    Where nothing is set (tests on one machine) a folder of this machine becomes the setting.
+    Where nothing is set, a folder of this machine becomes the setting if all tasks run on it, as in tests; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: executors of a cluster share no folder of one machine")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="shelfmark-")
         spark.sparkContext.setCheckpointDir(root)

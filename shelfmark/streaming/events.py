@@ -12,18 +12,28 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 NAMES = ("click", "view")
 
 
-def disposed(events: DataFrame) -> DataFrame:
-    """``k`` from the JSON properties and the code of the first gate that stops the event: 405, 400, 403, or 204 for none."""
+def disposed(events: DataFrame, refused: str | None = None) -> DataFrame:
+    """``k`` from the JSON properties and the code of the first gate that stops the event: 405 by its name, 429 where the column ``refused`` says that the limiter did, 400 by its body
+    (no JSON object, no number, or too small a one), 403, or 204 for none. The limiter counts before bodies are read."""
     k = F.get_json_object("props", "$.k").try_cast("long")
-    code = F.when(~F.col("event_type").isin(*NAMES), 405).when(F.col("k") < 10, 400).when(F.col("k") > 90, 403).otherwise(204)
+    code = F.when(~F.coalesce(F.col("event_type").isin(*NAMES), F.lit(False)), 405)
+    if refused:
+        code = code.when(F.col(refused), 429)
+    code = code.when(F.col("k").isNull() | (F.col("k") < 10), 400).when(F.col("k") > 90, 403).otherwise(204)
     return events.withColumn("k", k).withColumn("disposition", code)
 
 
+def dead_letters(events: DataFrame, body: str = "props") -> DataFrame:
+    """Events whose body is no JSON object."""
+    return events.where(~F.coalesce(F.ltrim(F.col(body)).startswith("{") & F.try_parse_json(body).isNotNull(), F.lit(False)))
+
+
 def points(events: DataFrame, head: int = 8) -> DataFrame:
-    """What is kept of an event: a known kind, a number (-1 where there is none) and the start of its properties; works on streams as well."""
+    """What is kept of an event: a known kind, a finite number (-1 where there is none) and the start of its properties; works on streams as well."""
     kind = F.when(F.col("event_type").isin(*NAMES), F.col("event_type")).otherwise("other")
-    number = F.coalesce(F.get_json_object("props", "$.k").try_cast("double"), F.lit(-1.0))
-    return events.withColumn("kind", kind).withColumn("number", number).withColumn("head", F.left("props", F.lit(head)))
+    number = F.get_json_object("props", "$.k").try_cast("double")
+    finite = ~F.isnan(number) & (F.abs(number) != float("inf"))
+    return events.withColumn("kind", kind).withColumn("number", F.when(finite, number).otherwise(-1.0)).withColumn("head", F.left("props", F.lit(head)))
 
 
 def rate_limited(events: DataFrame, key: str, cap: int, window: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
@@ -33,6 +43,13 @@ def rate_limited(events: DataFrame, key: str, cap: int, window: str, ts: str = "
     return events.withColumn("refused", F.row_number().over(w) > cap)
 
 
+def settled_terms(events: DataFrame, key: str, seconds: float = 1.2, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """Events after which their key stays quiet for ``seconds``: what a debounced sender sends."""
+    after = F.lead(ts).over(Window.partitionBy(key).orderBy(ts, tie))
+    gap = (F.unix_micros(after.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))) >= int(seconds * 1_000_000)
+    return events.withColumn("_quiet", F.coalesce(gap, F.lit(True))).where("_quiet").drop("_quiet")
+
+
 def without_repeats(events: DataFrame, key: str, value: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """Events whose value differs from the key's previous one."""
     last = F.lag(value).over(Window.partitionBy(key).orderBy(ts, tie))
@@ -40,26 +57,32 @@ def without_repeats(events: DataFrame, key: str, value: str, ts: str = "ts", tie
 
 
 class _Limiter(StatefulProcessor):
-    """Counts a key's events in the current window of event time; older windows are not reopened."""
+    """Counts a key's events by window of event time. A late event is charged to its own window, as long as that is one of the last ``KEPT``; older ones are refused."""
+
+    KEPT = 4
 
     def __init__(self, cap: int, seconds: int):
         self.cap, self.seconds = cap, seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "start long, n long")
+        self.state = handle.getValueState("windows", "starts array<long>, counts array<long>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        start, n = self.state.get() if self.state.exists() else (-1, 0)
-        own = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        out = []
-        for e in own.itertuples():
-            slot = int(e.ts.timestamp()) // self.seconds * self.seconds
-            if slot > start:
-                start, n = slot, 0
-            n += 1
-            out.append((e.event_id, key[0], bool(n > self.cap)))
-        self.state.update((start, n))
-        yield pd.DataFrame(out, columns=["event_id", "user_id", "refused"])
+        counts = dict(zip(*self.state.get(), strict=True)) if self.state.exists() else {}
+        for part in rows:  # one Arrow batch at a time
+            out = []
+            for e in part.sort_values(["ts", "event_id"]).itertuples():
+                slot = int(e.ts.timestamp()) // self.seconds * self.seconds
+                if slot not in counts and len(counts) == self.KEPT:
+                    oldest = min(counts)
+                    if slot < oldest:
+                        out.append((e.event_id, key[0], True))
+                        continue
+                    del counts[oldest]
+                counts[slot] = counts.get(slot, 0) + 1
+                out.append((e.event_id, key[0], counts[slot] > self.cap))
+            yield pd.DataFrame(out, columns=["event_id", "user_id", "refused"])
+        self.state.update((list(counts), list(counts.values())))
 
     def close(self) -> None:
         pass

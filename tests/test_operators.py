@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as T
@@ -104,3 +105,39 @@ def test_stream_limiter_agrees_with_batch(spark, tmp_path):
     q.stop()
     assert {r["event_id"]: r["refused"] for r in spark.table("limited").collect()} == batch
     assert any(batch.values()) and not all(batch.values())
+
+
+def test_changes_are_checked_before_they_stand(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    gone = spark.createDataFrame([(9,)], "k int")
+    out = dml.remove_with_tombstones({"a": a}, a.where("k = 1").select("k"), {"a": "k"}, gone)
+    assert out["a"].count() == 1 and sorted(r[0] for r in out["tombstones"].collect()) == [1, 9]
+    twice = spark.createDataFrame([(2, "b"), (2, "a"), (3, None)], "k int, v string")
+    assert sorted(map(tuple, dml.upsert(a, twice, "k").collect()), key=str) == [(1, "x"), (2, "a"), (3, None)] and dml.changed(a, twice, "k") == 1
+    assert sorted(map(tuple, dml.insert_ignore(a.where("k = 1"), twice, "k").collect()), key=str) == [(1, "x"), (2, "a"), (3, None)]
+    once = dml.cleared(a, ["v"], twice.where("v IS NOT NULL"), "k")
+    assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, dml.cleared(once, ["v"], twice.where("v IS NOT NULL"), "k").collect()), key=str) == [(1, None), (2, "a")]
+    bad = lambda t: checks.duplicates(t["a"], ["k"], "twice")
+    assert dml.checked({"a": a}, lambda t: t, bad)["a"].count() == 2
+    with pytest.raises(ValueError, match="twice 1"):
+        dml.checked({"a": a}, lambda t: {"a": t["a"].unionByName(t["a"].where("k = 1"))}, bad)
+
+
+def test_faults_of_lists_and_round_trips(spark):
+    rows = spark.createDataFrame([(1, ["A1", "A1", "x"], "A2"), (2, ["A1", "A2"], "A2"), (3, [], "A9"), (4, None, "A8")], "k int, m array<string>, own string")
+    got = sorted(r["violation_key"] for r in checks.members(rows, "k", "m", "^A[0-9]$", "c", own="own").collect())
+    assert got == ["1:shape:x", "1:shared:A1", "1:twice:A1", "2:own:A2", "3:empty:"]
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "k int, v string")
+    assert sorted(r["violation_key"] for r in checks.altered(a, a.distinct().withColumn("k", F.col("k")), "c").collect()) == ['-{"k":1,"v":"x"}']
+    items = spark.createDataFrame([("sw:a", "software", "a"), ("db:b", "software", "b"), ("q:c", "odd", "c"), ("sw:d", "software", None)], "id string, type string, slug string")
+    assert sorted(r["violation_key"] for r in checks.unlike_id(items, {"software": "sw"}, "c").collect()) == ["db:b", "q:c", "sw:d"]
+    v = {r["check_name"]: (r["ok"], r["violations"]) for r in checks.verdicts(["a", "b"], checks.duplicates(a, ["k"], "a")).collect()}
+    assert v == {"a": (False, 1), "b": (True, 0)}
+
+
+def test_events_without_numbers_or_bodies(spark):
+    rows = [(1, "click", '{"k": "NaN"}'), (2, "view", '{"k": "Infinity"}'), (3, "click", "[1]"), (4, "click", "no"), (5, None, None), (6, "click", '{"k": 50}')]
+    e = spark.createDataFrame(rows, "event_id long, event_type string, props string")
+    assert [r["number"] for r in events.points(e).orderBy("event_id").collect()] == [-1.0, -1.0, -1.0, -1.0, -1.0, 50.0]
+    assert [r["disposition"] for r in events.disposed(e).orderBy("event_id").collect()] == [400, 400, 400, 400, 405, 204]
+    assert sorted(r["event_id"] for r in events.dead_letters(e).collect()) == [3, 4, 5]

@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from shelfmark.plans import catalog, curation  # noqa: F401
+from shelfmark.plans import catalog, curation, records  # noqa: F401
 
 Q = catalog.queries()
 
