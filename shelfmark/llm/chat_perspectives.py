@@ -8,13 +8,13 @@ spread over tasks and never gathered in one; the rendering of a conversation is
 
 Defined cases: a null conversation, turn or role is kept as its own value (a null role is the speaker ``unknown``);
 a null text is empty; repeated rows stay repeated; equal turns are ordered by speaker
-and content; a conversation with system turns only has no participants and gives no rows; an empty table gives none.
+and content; marks of the format within a text or a name are broken by a space, so that no text can close its turn or open another, and a name stays in one line; a conversation with system turns only has no participants and gives no rows; an empty table gives none.
 Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import table
@@ -22,6 +22,11 @@ from ._shared import table
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
+def harmless(c: Column) -> Column:
+    """Text without the start of a mark."""
+    return F.replace(c, F.lit("<|"), F.lit("< |"))
+
+
 def rotate(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", system: str = "system") -> DataFrame:
     """One row per participant and message: role, name and content as that participant's model sees them.
 
@@ -38,8 +43,9 @@ def rotate(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", speak
     own = F.col("speaker") == F.col("participant")
     role = F.when(F.col("speaker") == system, F.lit("system")).when(own, F.lit("assistant")).otherwise(F.lit("user"))
     seen = seen.withColumn("role", role).withColumn("name", F.when(F.col("role") == "user", F.col("speaker")))
-    head = F.concat(F.lit(OPEN), F.col("role"), F.when(F.col("name").isNotNull(), F.concat(F.lit(" name="), F.col("name"))).otherwise(F.lit("")), F.lit("\n"))
-    seen = seen.withColumn("head", head).withColumn("rendered", F.concat("head", "content", F.lit(CLOSE)))
+    called = F.translate(harmless(F.col("name")), "\r\n", "  ")
+    head = F.concat(F.lit(OPEN), F.col("role"), F.when(F.col("name").isNotNull(), F.concat(F.lit(" name="), called)).otherwise(F.lit("")), F.lit("\n"))
+    seen = seen.withColumn("head", head).withColumn("rendered", F.concat("head", harmless(F.col("content")), F.lit(CLOSE)))
     end = F.length("rendered") - 1  # the line feed after the mark is not trained
     return seen.select(
         "conv_id", "participant", "turn", "role", "name", "content", "rendered",
@@ -59,9 +65,9 @@ s AS (SELECT m.conv_id, p.participant, m.turn, m.content,
         CASE WHEN m.speaker = 'system' THEN 'system' WHEN m.speaker = p.participant THEN 'assistant' ELSE 'user' END AS role,
         CASE WHEN m.speaker <> 'system' AND m.speaker <> p.participant THEN m.speaker END AS name
       FROM m JOIN p ON m.conv_id IS NOT DISTINCT FROM p.conv_id),
-h AS (SELECT *, '<|im_start|>' || role || CASE WHEN name IS NOT NULL THEN ' name=' || name ELSE '' END || chr(10) AS head FROM s)
-SELECT conv_id, participant, turn, role, name, content, head || content || '<|im_end|>' || chr(10) AS rendered,
-  CASE WHEN role = 'assistant' THEN length(head) ELSE length(head) + length(content) + 10 END::BIGINT AS mask_start,
-  (length(head) + length(content) + 10)::BIGINT AS mask_end, role = 'assistant' AS trained
+h AS (SELECT *, replace(content, '<|', '< |') AS body, '<|im_start|>' || role || CASE WHEN name IS NOT NULL THEN ' name=' || translate(replace(name, '<|', '< |'), chr(13) || chr(10), '  ') ELSE '' END || chr(10) AS head FROM s)
+SELECT conv_id, participant, turn, role, name, content, head || body || '<|im_end|>' || chr(10) AS rendered,
+  CASE WHEN role = 'assistant' THEN length(head) ELSE length(head) + length(body) + 10 END::BIGINT AS mask_start,
+  (length(head) + length(body) + 10)::BIGINT AS mask_end, role = 'assistant' AS trained
 FROM h
 """

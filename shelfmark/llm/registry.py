@@ -24,4 +24,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": quality_rules.ORACLE,
         "op8_chat_perspectives": chat_perspectives.ORACLE,
+        "op9_url_aliases": url_aliases.ORACLE,
     }

@@ -91,3 +91,27 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redir
 
 def op9_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages")).drop("component")
+
+
+def _rule_sql(host: str, path: str, rules: Sequence[tuple[str, str, str]], what: int) -> str:
+    """The longest fitting rule's verdict (0) or name (1); rules are tried from the longest on."""
+    cases = [f"WHEN ({host} = '{h}' OR {host} LIKE '%.{h}') AND starts_with({path}, '{p}') THEN '{(v, h + p)[what]}'" for v, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0]))]
+    return f"CASE {' '.join(cases)} END"
+
+
+_HOST = "coalesce(translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+_PATH = "coalesce(regexp_extract({0}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+_QUOTED = lambda pattern: pattern.replace("'", "''")
+
+#: Aliases by a recursion over all links in both directions.
+ORACLE = rf"""
+WITH RECURSIVE p AS (SELECT page_id, url, coalesce(html, '') AS html, CASE WHEN contains(url, '://') THEN string_split(url, '#')[1] END AS res, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path FROM pages),
+tags AS (SELECT res, url, unnest(regexp_extract_all(html, '{_QUOTED(LINK_TAGS)}')) AS tag FROM p),
+named AS (SELECT res, CASE WHEN starts_with(a, '/') AND NOT starts_with(a, '//') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || a ELSE a END AS a FROM (SELECT res, url, regexp_extract(tag, '{_QUOTED(LINK_HREF)}', 1) AS a FROM tags)),
+e AS (SELECT res AS a, string_split(a, '#')[1] AS b FROM named WHERE contains(a, '://') AND res IS NOT NULL),
+both_ AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+reach(a, b) AS (SELECT a, b FROM both_ UNION SELECT r.a, t.b FROM reach r JOIN both_ t ON t.a = r.b),
+hit AS (SELECT DISTINCT a FROM reach WHERE {_rule_sql(_HOST.format("b"), _PATH.format("b"), RULES, 0)} = 'block')
+SELECT page_id, host, path, {_rule_sql("host", "path", RULES, 1)} AS rule, coalesce({_rule_sql("host", "path", RULES, 0)}, CASE WHEN hit.a IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM p LEFT JOIN hit ON hit.a = p.res
+"""
