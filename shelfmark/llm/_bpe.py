@@ -28,7 +28,7 @@ def _class(cp: int) -> int:
 CLASSES = np.array([_class(i) for i in range(SAFE)], dtype=np.int8)
 #: Words that plain classes do not settle, for either kind of vocabulary.
 ODD_WORD = r"'|<\||[^\x00-\x{22f}]|[\x1c-\x1f\x{85}\x{a0}\x{130}]"
-ODD_PIECE = r"'|<\||[^\x00-\x{22f}]|[\x0b-\x1f\x{85}\x{a0}]|\s\s|^\s|\s$"
+ODD_PIECE = r"'|<\||[^\x00-\x{22f}]|[\x0b-\x1f\x{85}\x{a0}]|\s\s|^[\t\n\f\r]|^ $|[\t\n\f\r]$| $"
 #: A blank after a space: then cutting at single spaces isn't safe.
 ODD_TEXT = r" [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
