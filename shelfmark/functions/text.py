@@ -31,6 +31,8 @@ AREAS = {
     "tooling": ["agent", "mcp", "llm", "foundation model", "framework", "tool", "docs", "pipeline"],
 }
 WHOLE_WORDS = ("gem", "ige")
+#: Particles that may stand among the initials of a name: fixed values.
+PARTICLES = ("de", "del", "della", "der", "den", "da", "das", "dos", "van", "von", "di", "du", "la", "le", "el", "bin", "ibn", "ten", "ter", "af", "av", "zu")
 #: Item ids: fixed value.
 ITEM_ID = r"^(?:paper:[1-9][0-9]{0,6}|(?:sw|db|ds):[a-z0-9][a-z0-9-]{0,119})$"
 #: Lower bounds of the citation bands, highest first.
@@ -282,7 +284,7 @@ def commit_subject(c: Column) -> Column:
 
 
 def apa_parts(c: Column) -> Column:
-    """struct(authors, year, title, doi) of a reference line; parts that aren't there are null."""
+    """struct(authors, year, title, doi) of a reference line without emphasis; parts that aren't there are null."""
     doi = doi_key(F.nullif(F.regexp_extract(c, r"(https?://(?:dx\.)?doi\.org/\S+)", 1), F.lit("")))
     head = F.regexp_replace(c, r"https?://\S+.*$", "")
     year = F.regexp_extract(head, r"\(([0-9]{4})[a-z]?(?:,[^)]*)?\)", 1).try_cast("int")
@@ -296,6 +298,87 @@ def apa_authors(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"(\p{Lu}[\p{L}'’ -]*,(?:\s*\p{Lu}\.[- ]?)+)"), F.lit(1))
 
 
+def author_list(c: Column) -> Column:
+    """struct(authors, dropped) of the text before a reference's year.
+
+    A name is followed by initials, perhaps with particles between; one of several words that isn't is an organisation; a single word alone is dropped and counted. Authors are null where none is left.
+    """
+    initial, particle = r"\p{Lu}\.(?:-\p{Lu}\.)*", "(?i:" + "|".join(PARTICLES) + ")"
+    given = rf"^(?:{particle}\s+)*{initial}(?:\s+(?:{initial}|{particle}))*$"
+    none = F.lit(None).cast("string")
+    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit(0).alias("dropped"), none.alias("open"))
+
+    def closed(s: Column) -> tuple[Column, Column]:
+        whole = F.coalesce(s["open"].rlike(r"\s"), F.lit(False))
+        return F.when(whole, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]), s["dropped"] + (s["open"].isNotNull() & ~whole).cast("int")
+
+    def step(s: Column, piece: Column) -> Column:
+        done, dropped = closed(s)
+        opens = F.nullif(F.trim(F.regexp_replace(piece, r"^[.…\s]+", "")), F.lit(""))
+        paired = s["open"].isNotNull() & F.trim(piece).rlike(given)
+        pair = F.struct(F.concat(s["done"], F.array(F.concat_ws(", ", s["open"], F.trim(piece)))).alias("done"), s["dropped"].alias("dropped"), none.alias("open"))
+        return F.when(paired, pair).otherwise(F.struct(done.alias("done"), dropped.alias("dropped"), opens.alias("open")))
+
+    def finish(s: Column) -> Column:
+        done, dropped = closed(s)
+        return F.struct(F.when(F.size(done) > 0, done).alias("authors"), dropped.alias("dropped"))
+
+    pieces = F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"&\s*", ""), ", ")
+    return F.aggregate(pieces, zero, step, finish)
+
+
+def reference_fields(c: Column) -> Column:
+    """struct(authors, authors_dropped, authors_text, year, title, journal, doi) of a reference line in Markdown.
+
+    The year stands in front of the DOI; without one, all but the DOI is null and the whole line is ``authors_text``. The first emphasis is the journal with its volume, or,
+    where it opens what follows the year, the title, and then the journal is the rest.
+    """
+    line = F.trim(F.regexp_replace(c, r"(?i)^\s*<a\s+id=\"[^\"]*\">[^<]*</a>\s*", ""))
+    address = r"(?i)https?://(?:dx\.)?doi\.org/(\S+)"
+    blank = lambda x: F.nullif(x, F.lit(""))
+    doi = blank(F.regexp_replace(F.regexp_extract(line, address, 1), r"[.,)]+$", ""))
+    parts = r"(?s)^(.*?)\((\d{4})[a-z]?\)(.*)$"
+    head = F.regexp_replace(line, r"(?is)https?://(?:dx\.)?doi\.org/\S.*$", "")
+    dated = head.rlike(parts)
+    # The line is split at the year of its head, so that figures in an address are none.
+    before = F.regexp_extract(head, parts, 1)
+    tail = F.regexp_replace(F.trim(F.substring(line, F.length(before) + F.length(F.regexp_extract(head, r"\(\d{4}[a-z]?\)", 0)) + 1, F.lit(1_000_000))), r"^[.\s]+", "")
+    emphasis = r"(?s)^(.*?)\*([^*]+)\*(.*)$"
+    lead, mid, rest = (F.regexp_extract(tail, emphasis, i) for i in (1, 2, 3))
+    titled = F.trim(lead).isin("", ".")
+    inner = F.regexp_replace(F.trim(mid), r"\.+$", "")
+    venue = F.regexp_replace(F.trim(F.regexp_replace(rest, address, "")), r"^[.\s]+|[.\s]+$", "")
+    found = dated & (mid != "")
+    text = F.when(dated, F.regexp_replace(before, r"[\s,]+$", "")).otherwise(line)
+    people = author_list(F.when(dated, text))
+    return F.when(
+        c.isNotNull(),
+        F.struct(
+            people["authors"].alias("authors"), people["dropped"].alias("authors_dropped"), text.alias("authors_text"),
+            F.when(dated, F.regexp_extract(head, parts, 2).try_cast("int")).alias("year"),
+            F.when(found, F.when(titled, inner).otherwise(blank(F.trim(F.regexp_replace(F.trim(lead), r"\.\s*$", ""))))).alias("title"),
+            F.when(found, blank(F.when(titled, venue).otherwise(without_volume(inner)))).alias("journal"), doi.alias("doi"),
+        ),
+    )
+
+
+def routed_link(url: Column, source: str, pages: list[str], base: str, fallback: str) -> Column:
+    """A relative link to a Markdown file as the address of its page (a folder's is its README), or of the file itself under ``fallback`` if it has no page; others stay as they are."""
+    folder = source.rsplit("/", 1)[0] if "/" in source else ""
+    path, anchor = F.substring_index(url, "#", 1), F.regexp_extract(url, "(#.*)$", 1)
+    path = F.when(F.endswith(path, F.lit("/")), F.concat(path, F.lit("README.md"))).otherwise(path)
+
+    def walk(done: Column, part: Column) -> Column:
+        up = F.when((F.size(done) > 0) & (F.element_at(done, -1) != ".."), F.slice(done, 1, F.size(done) - 1)).otherwise(F.concat(done, F.array(F.lit(".."))))
+        return F.when(part.isin("", "."), done).when(part == "..", F.when(F.size(done) > 0, up).otherwise(F.array(F.lit("..")))).otherwise(F.concat(done, F.array(part)))
+
+    whole = F.array_join(F.aggregate(F.split(F.concat_ws("/", F.lit(folder), path), "/"), F.array().cast("array<string>"), walk), "/")
+    page = F.regexp_replace(whole, r"(?i)\.md$", "")
+    to = F.when(page.isin(pages), F.concat(F.lit(base.rstrip("/") + "/"), page, F.lit("/"))).otherwise(F.concat(F.lit(fallback + "/"), whole, anchor))
+    stays = url.rlike(r"(?i)^(?:[a-z]+:|#|//)") | ~path.rlike(r"(?i)\.md$")
+    return F.when(stays, url).otherwise(to)
+
+
 def first_rule(c: Column, rules: dict[str, str], fallback: str) -> Column:
     """Name of the first rule whose pattern fits, in their order; the fallback for none and for null."""
     out = F.lit(fallback)

@@ -80,3 +80,15 @@ def graph_stats(edges: DataFrame, nodes: DataFrame, key: str = "id") -> DataFram
         "n_nodes", "n_edges", "n_connected", (F.col("n_nodes") - F.col("n_connected")).alias("n_isolated"),
         F.coalesce("largest", floor).cast("long").alias("largest_component"),
     )
+
+
+def induced(edges: DataFrame, nodes: DataFrame, key: str = "id") -> DataFrame:
+    """Distinct edges ``(src, dst)`` whose ends are both in the one set of nodes, without loops."""
+    return directed_edges_in_corpus(edges, nodes, "src", "dst", key).select("src", "dst")
+
+
+def shown(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
+    """Nodes that an edge touches, with their columns and the edges into them (``cited``) and out of them (``citing``); isolated ones are hidden."""
+    ends = edges.select(F.col("dst").alias(key), F.lit(1).alias("_in"), F.lit(0).alias("_out")).unionByName(edges.select(F.col("src").alias(key), F.lit(0).alias("_in"), F.lit(1).alias("_out")))
+    counts = ends.groupBy(key).agg(F.sum("_in").alias("cited"), F.sum("_out").alias("citing"))
+    return nodes.join(counts, key)

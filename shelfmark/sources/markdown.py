@@ -1,4 +1,4 @@
-"""Markdown documents as rows, by built-in functions: headings with their bodies, and table cells. Fenced code is not told apart."""
+"""Markdown documents as rows, by built-in functions: headings with their bodies, and table cells. Lines of fenced code are neither."""
 
 from __future__ import annotations
 
@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, ordinal, line, depth``; depth is that of a heading, else null."""
+    """``key, ordinal, line, code, depth``; ``code`` holds for fences and what they enclose, depth is that of a heading, else null."""
     d = docs.select(key, F.posexplode(F.split(text, r"\r?\n")).alias("ordinal", "line"))
+    fence = F.col("line").rlike(r"^ {0,3}(```|~~~)").cast("int")
+    before = F.sum(fence).over(Window.partitionBy(key).orderBy("ordinal"))
     marks = F.regexp_extract("line", r"^(#{1,6})\s", 1)
-    return d.withColumn("depth", F.when(marks != "", F.length(marks)))
+    d = d.withColumn("code", (fence == 1) | (before % 2 == 1))
+    return d.withColumn("depth", F.when(~F.col("code") & (marks != ""), F.length(marks)))
 
 
 def sections(docs: DataFrame, key: str, text: str, depth: int) -> DataFrame:
@@ -27,7 +30,7 @@ def sections(docs: DataFrame, key: str, text: str, depth: int) -> DataFrame:
 
 def table_cells(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``key, row, col, cell`` of a document's first table; row 0 is the header, the rule under it is left out."""
-    d = lines(docs, key, text).withColumn("in_table", F.col("line").rlike(r"^\s*\|"))
+    d = lines(docs, key, text).withColumn("in_table", ~F.col("code") & F.col("line").rlike(r"^\s*\|"))
     order = Window.partitionBy(key).orderBy("ordinal")
     d = d.withColumn("starts", (F.col("in_table") & ~F.coalesce(F.lag("in_table").over(order), F.lit(False))).cast("int"))
     d = d.withColumn("table", F.sum("starts").over(order)).where("in_table AND table = 1")

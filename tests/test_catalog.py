@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from shelfmark.plans import catalog, curation, records  # noqa: F401
+from shelfmark.plans import catalog, curation, records, scans  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
