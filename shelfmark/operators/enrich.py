@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.session import settle
+
 
 def pick(dim: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row by ``order`` for each key, by a partial aggregation instead of a window."""
@@ -61,6 +63,59 @@ def letter_suffix(rows: DataFrame, base: str, order: Sequence[str], name: str =
     return out.withColumn(name, F.when(n == 0, F.col(base)).otherwise(F.concat(F.col(base), gap, mark))).drop("_n")
 
 
+def free_ids(rows: DataFrame, base: str, order: Sequence[str], taken: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the id that each would get one after the other in ``order`` (unique): its base, or where that is taken the first free of ``-2``, ``-3``, ...; null for a null base.
+
+    ``taken`` has ids in its only column. An id ``x-k`` can go to the base ``x-k`` itself, at its first row, or to a row of the base ``x``; nothing else meets. So of a base's numbers those are
+    closed that are taken before, or whose own base comes earlier than the row that would use them. Numbers that no base spells are free, and rows number them by their place; what is left are the
+    spelled numbers of a base, and these are settled in rounds, each fixing every number whose lower ones are fixed, as many rounds as the most spelled base has numbers that its rows reach.
+    """
+    when = F.struct(*order)
+    own = settle(rows.where(F.col(base).isNotNull()).select(F.col(base).alias("_b"), when.alias("_t"), F.row_number().over(Window.partitionBy(base).orderBy(*order)).cast("long").alias("_m")))
+    old = taken.dropna().distinct().toDF("_id")
+    spelled = r"^(.*)-([1-9][0-9]{0,17})$"
+    apart = lambda c: (F.regexp_extract(c, spelled, 1).alias("_b"), F.regexp_extract(c, spelled, 2).try_cast("long").alias("_k"))
+    firsts = own.where("_m = 1").select(F.col("_b").alias("_id"), "_t")
+    # Closed from the start: ids of ``taken``; closed from their first row on: ids that are bases.
+    named = firsts.join(old.withColumn("_old", F.lit(True)), "_id", "full")
+    sizes = own.groupBy("_b").agg(F.max("_m").alias("_n"))
+    # Number k of a base is its own rows' k-th try at the earliest (the base itself is number 1), one earlier if the base is taken.
+    marks = named.where(F.col("_id").rlike(spelled)).select(*apart(F.col("_id")), "_id", "_t", F.coalesce("_old", F.lit(False)).alias("_old")).where("_k >= 2").join(sizes, "_b")
+    marks = marks.withColumn("_place", F.row_number().over(Window.partitionBy("_b").orderBy("_k")).cast("long"))
+    marks = settle(marks.where("_k - _place <= _n + 1"))
+    lost = settle(named.where("_old").select(F.col("_id").alias("_b"), F.lit(1).cast("long").alias("_lost")))  # bases whose own name is gone before any row
+    closed = marks.limit(0).select("_id", "_b", "_k")
+    wins = marks.limit(0).select("_id")
+    while True:
+        # The base's name is gone also where another base's row has won it.
+        gone = lost.unionByName(wins.select(F.col("_id").alias("_b"), F.lit(1).cast("long").alias("_lost")))
+        done = closed.groupBy("_b").agg(F.count("*").alias("_c"))
+        seen = closed.select("_id").unionByName(wins)
+        open_ = marks.join(seen, "_id", "left_anti")
+        if open_.isEmpty():
+            break
+        # Whether a base's own name is gone is known once the mark that spells it is settled.
+        waiting = open_.select(F.col("_id").alias("_b"))
+        low = open_.join(waiting, "_b", "left_anti").groupBy("_b").agg(F.min(F.struct("_k", "_id", "_t", "_old")).alias("_x")).select("_b", "_x.*")
+        low = low.join(done, "_b", "left").join(gone, "_b", "left")
+        # The row that reaches number k: k - 1 numbers and the base before it, less those closed, one less if the base is gone.
+        low = low.withColumn("_m", F.col("_k") - F.coalesce("_c", F.lit(0)) - F.coalesce("_lost", F.lit(0)))
+        rival = own.select("_b", "_m", F.col("_t").alias("_u"))
+        low = low.join(rival, ["_b", "_m"], "left")
+        won = ~F.col("_old") & F.col("_u").isNotNull() & (F.col("_t").isNull() | (F.col("_u") < F.col("_t")))
+        low = settle(low.select("_id", "_b", "_k", won.alias("_won")))
+        closed = settle(closed.unionByName(low.where("NOT _won").select("_id", "_b", "_k")))
+        wins = settle(wins.unionByName(low.where("_won").select("_id")))
+    gone = lost.unionByName(wins.select(F.col("_id").alias("_b"), F.lit(1).cast("long").alias("_lost")))
+    # The i-th closed number k of a base pushes all rows from try k - i + 1 on by one.
+    step = closed.select("_b", (F.col("_k") - F.row_number().over(Window.partitionBy("_b").orderBy("_k")) + 1).alias("_p"), F.lit(1).cast("long").alias("_w"), F.lit(None).cast(own.schema["_t"].dataType).alias("_t"))
+    tries = own.join(gone, "_b", "left").select("_b", (F.col("_m") + F.coalesce("_lost", F.lit(0))).alias("_p"), F.lit(0).cast("long").alias("_w"), "_t")
+    pushed = F.sum("_w").over(Window.partitionBy("_b").orderBy("_p").rangeBetween(Window.unboundedPreceding, 0))
+    out = step.unionByName(tries).withColumn("_n", F.col("_p") + pushed).where("_w = 0")
+    ids = out.select(F.col("_b").alias(base), "_t", F.when(F.col("_n") == 1, F.col("_b")).otherwise(F.concat_ws("-", "_b", F.col("_n").cast("string"))).alias(name))
+    return rows.withColumn("_t", when).join(ids, [base, "_t"], "left").select(*rows.columns, name)
+
+
 def id_runs(ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Gaps ``(first_missing, last_missing)`` and runs ``(first_id, last_id)`` of an integer id.
 

@@ -212,7 +212,7 @@ def read_cache(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 
 def count_files(spark: SparkSession, root: str, pattern: str = "*.md", exclude: list[str] | None = None) -> DataFrame:
-    """``folder, n`` of the files below ``root`` whose name fits the pattern and is not excluded; contents are not read."""
+    """``folder, n`` of the files below ``root`` whose name fits the pattern and is not excluded; contents are not read. Spark lists no file of zero bytes."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root).select("path")
     name = F.regexp_extract("path", "[^/]*$", 0)
     return f.where(~name.isin(exclude or [])).groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.count("*").alias("n"))

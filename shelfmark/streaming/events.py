@@ -36,6 +36,13 @@ def points(events: DataFrame, head: int = 8) -> DataFrame:
     return events.withColumn("kind", kind).withColumn("number", F.when(finite, number).otherwise(-1.0)).withColumn("head", F.left("props", F.lit(head)))
 
 
+def append_points(stream: DataFrame, path: str, checkpoint: str):
+    """The points of well-formed events of known kinds, appended once each to a folder; a query that takes what there is and ends."""
+    body = F.coalesce(F.ltrim("props").startswith("{") & F.try_parse_json("props").isNotNull(), F.lit(False))
+    p = points(stream.where(F.col("event_type").isin(*NAMES) & body))
+    return p.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def rate_limited(events: DataFrame, key: str, cap: int, window: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """``refused`` for the events of a key beyond ``cap`` in a tumbling window, in the order of time; a window's events of one key share a task."""
     slot = F.window(F.col(ts), window)["start"]
