@@ -55,21 +55,25 @@ def anchored(docs: DataFrame, key: str, text: str) -> DataFrame:
     return g.select(key, "ordinal", "section", F.regexp_extract("raw", ANCHOR, 1).cast("long").alias("id"), "raw", T.plain_text(F.col("raw")).alias("shown"), "quotes")
 
 
+def _labelled(quotes: str) -> Column:
+    """(label, url) of the bold labels with an absolute address, in their order."""
+    pair = F.lit(r"\*\*([^*]+)\*\*(?:(?!\*\*)[^\n])*?(https?://[^\s)>\]]+)")
+    labels = F.transform(F.regexp_extract_all(quotes, pair, F.lit(1)), lambda x: F.trim(F.regexp_replace(x, r":\s*$", "")))
+    return F.arrays_zip(labels.alias("label"), F.regexp_extract_all(quotes, pair, F.lit(2)).alias("url"))
+
+
 def labelled_links(anchors: DataFrame, key: str) -> DataFrame:
     """``key, id, position, label, url`` of the bold labels with an absolute address in the quotes of an anchor; of equal labels, in any case, the first."""
-    pair = r"\*\*([^*]+)\*\*(?:(?!\*\*)[^\n])*?(https?://[^\s)>\]]+)"
-    zipped = F.arrays_zip(F.regexp_extract_all("quotes", F.lit(pair), F.lit(1)).alias("label"), F.regexp_extract_all("quotes", F.lit(pair), F.lit(2)).alias("url"))
-    each = anchors.select(key, "id", F.posexplode(zipped).alias("position", "_p")).select(key, "id", "position", F.trim(F.regexp_replace("_p.label", r":\s*$", "")).alias("label"), "_p.url")
+    each = anchors.select(key, "id", F.posexplode(_labelled("quotes")).alias("position", "_p")).select(key, "id", "position", "_p.label", "_p.url")
     best = each.groupBy(key, "id", F.lower("label").alias("_low")).agg(F.min(F.struct("position", "label", "url")).alias("_b"))
     return best.select(key, "id", "_b.*")
 
 
 def references(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Anchored references with the parts of their line and the addresses labelled Code and Data."""
-    a = anchored(docs, key, text)
-    of = lambda name: F.max(F.when(F.lower("label") == name, F.col("url"))).alias(f"{name}_url")
-    urls = labelled_links(a, key).groupBy(key, "id").agg(of("code"), of("data"))
-    return a.withColumn("_f", T.reference_fields(F.col("raw"))).join(urls, [key, "id"], "left").select(key, "ordinal", "section", "id", "_f.*", "code_url", "data_url", "quotes")
+    """Anchored references with the parts of their line and the addresses labelled Code and Data; all from one pass over the blocks."""
+    of = lambda name: F.get(F.filter(_labelled("quotes"), lambda p: F.lower(p["label"]) == name), F.lit(0))["url"].alias(f"{name}_url")
+    a = anchored(docs, key, text).withColumn("_f", T.reference_fields(F.col("raw")))
+    return a.select(key, "ordinal", "section", "id", "_f.*", of("code"), of("data"), "quotes")
 
 
 def matrix_headers(docs: DataFrame, key: str, text: str) -> DataFrame:
