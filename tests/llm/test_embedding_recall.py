@@ -36,3 +36,31 @@ def test_each_length_links_with_its_own(spark):
     got = {r["vec_id"]: r["n_links"] for r in embedding_forest.dedup(df, leaf=100).collect()}
     assert all(got[i] <= w for i, w in enumerate(want)) and sum(got.values()) >= 0.99 * sum(want)
     assert [got[i] for i in range(10)] == want[:10]
+
+
+def test_crowded_leaves_are_split_further(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    n, dim = 12_000, 32
+    x = rng.standard_normal((n, dim))
+    x[n // 2 :] = x[: n // 2] + rng.standard_normal((n // 2, dim)) * rng.uniform(0.1, 0.5, (n // 2, 1))
+    x[:900] = x[0] + rng.standard_normal((900, dim)) * 0.2  # a group of near copies that no split takes apart
+    x = x.astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = np.concatenate([(u[s : s + 2000] @ u.T >= 0.9).sum(1) - 1 for s in range(0, n, 2000)])
+    monkeypatch.setattr(embedding_forest, "SAMPLE", 800)
+    grown = []
+    monkeypatch.setattr(embedding_forest.Forest, "deepen", lambda self, codes, trees, old=embedding_forest.Forest.deepen: (grown.append(len(codes)), old(self, codes, trees))[1])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = embedding_forest.dedup(df, leaf=40, tile=512).toPandas().set_index("vec_id").sort_index().n_links.to_numpy()
+    assert grown and grown[0] > 50
+    assert (got <= want).all() and got.sum() >= 0.95 * want.sum()
+    assert (got[900:] >= want[900:]).mean() > 0.9
+
+
+def test_codes_in_common():
+    rng = np.random.default_rng(14)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(0, 400))) for _ in range(60)]
+    owner, code = np.repeat(np.arange(60), [len(s) for s in sets]), np.concatenate(sets)
+    a, b = np.arange(0, 40), np.arange(20, 60)
+    want = np.array([[len(np.intersect1d(sets[i], sets[j])) > 0 for j in b] for i in a])
+    assert (embedding_forest.in_common(owner, code, a, b, 60) == want).all()
