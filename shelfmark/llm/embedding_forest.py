@@ -8,8 +8,9 @@ A leaf task returns sums and spanning edges, a row for each vector, never the pa
 counted with their number. Leaves with more than ``TILE`` vectors are cut into tiles, and each pair of tiles is a task of its own. Each length of vector has a forest of its own.
 
 The first trees are grown on a sample of about ``SAMPLE`` vectors, which bounds their depth. Leaves that are still crowded then are split further, each by a tree that a task
-grows from about ``PART`` of the leaf's own vectors. All nodes of both levels are broadcast: three numbers each, for at most ``TREES * SAMPLE / 16`` leaves with ``PART / 16``
-nodes, about 30 MB. Recall against brute force is measured in the tests (0.9 at least), with one level and with two.
+grows from about ``PART`` of the leaf's own vectors. All nodes of both levels are broadcast: three numbers each, for at most ``SAMPLE / 16`` leaves a tree with ``PART / 16``
+nodes, about 30 MB for six trees. There are as many trees as leave ``MISS`` of the pairs just at the threshold without a common leaf, estimated with partners made for the sample; so
+the recall does not fall with depth. Recall against brute force is measured in the tests (0.9 at least), with one level and with two.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, link with nothing; vectors link with those of their own
 length only; repeated rows are vectors of their own; an empty table gives no rows; other columns, such as labels, don't matter.
@@ -30,7 +31,9 @@ from shelfmark.session import settle
 
 from ._shared import table
 
-THRESHOLD, TREES, LEAF, SAMPLE, TILE, SEED = 0.9, 6, 800, 20_000, 2048, 29
+THRESHOLD, LEAF, SAMPLE, TILE, SEED = 0.9, 800, 20_000, 2048, 29
+#: Share of pairs just at the threshold that may be in no common leaf of any tree, which says how many trees there are.
+MISS = 0.003
 #: A leaf with more than ``CROWD`` times ``LEAF`` vectors gets a tree of its own, from about ``PART`` of its vectors.
 CROWD, PART = 4, 4096
 #: Random directions for each length of vector; every node tries some of them, so that a tree is three numbers a node.
@@ -100,18 +103,45 @@ class Trees:
 class Forest:
     """The trees for vectors of one length, and the trees that split their crowded leaves further."""
 
-    def __init__(self, sample: np.ndarray, n: int, trees: int = TREES, leaf: int = LEAF, threshold: float = THRESHOLD):
+    def __init__(self, sample: np.ndarray, n: int, leaf: int = LEAF, threshold: float = THRESHOLD):
         self.dim, self.below, self.deeper = sample.shape[1], None, None
         self.normals = np.random.default_rng((SEED, self.dim)).standard_normal((self.dim, POOL))
         rng = np.random.default_rng((SEED, self.dim, 1))
-        top = [grown(sample, n, self.normals, rng, leaf, threshold) for _ in range(trees)]
-        if any(len(low) == 0 or low[0] > high[0] for _, low, high in top):
+        grow = lambda k: [grown(sample, n, self.normals, rng, leaf, threshold) for _ in range(k)]
+        top = grow(2)
+        split = all(len(low) and low[0] <= high[0] for _, low, high in top)
+        if split:
+            top += grow(self.enough(Trees(top), sample, n, leaf, threshold, rng) - len(top))
+            split = all(low[0] <= high[0] for _, low, high in top)
+        if not split:
             top = [(np.zeros(0), np.zeros(0), np.zeros(0))]  # a tree of one leaf compares all
         self.top = Trees(top)
         _, code = self.codes(sample)
         #: About how many vectors each leaf has.
         self.sizes = np.bincount(code, minlength=self.top.leaves) * (n / max(1, len(sample)))
 
+    def enough(self, two: Trees, sample: np.ndarray, n: int, leaf: int, threshold: float, rng: np.random.Generator) -> int:
+        """How many trees leave ``MISS`` of the pairs at the threshold without a common leaf, from partners made for the sample.
+
+        Where the sample bounds the depth, the leaves will be split further: the share of pairs that a tree keeps together falls by as much again for as much depth.
+        """
+        x = sample[:4096]
+        aside = rng.standard_normal(x.shape)
+        aside -= np.einsum("ij,ij->i", aside, x)[:, None] * x
+        aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-300)
+        y = threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * aside
+        row, tree = np.repeat(np.arange(len(x)), 2), np.tile(np.arange(2), len(x))
+        (r, c), (r2, c2) = (two.reached(v @ self.normals, row, tree) for v in (x, y))
+        both = np.intersect1d(r * two.leaves + c, r2 * two.leaves + c2)
+        of = np.searchsorted(two.first, both % two.leaves, "right") - 1
+        kept = len(np.unique(both // two.leaves * 2 + of)) / (2 * len(x))
+        size = np.bincount(c, minlength=two.leaves)[c] * (n / len(x))
+        last = c - two.first[np.searchsorted(two.first, c, "right") - 1] >= two.inner[0]
+        done = np.log(np.maximum(1, n / size)).mean()
+        to_do = np.where(last & (size > CROWD * leaf), np.log(np.maximum(1, size / leaf)), 0).mean()
+        kept **= 1 + to_do / max(done, 0.1)
+        return max(2, math.ceil(math.log(MISS) / math.log(min(0.98, max(1e-9, 1 - kept)))))
+
     def deepen(self, codes: np.ndarray, trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
         self.below, self.deeper = Trees(trees), np.full(self.top.leaves, -1, dtype=np.int64)
         self.deeper[codes] = np.arange(len(codes))
