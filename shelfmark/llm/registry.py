@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_perspectives, conversation_trie, embedding_forest, lexicon_bpe, ngram_join, packing, quality_ranking, quality_rules, secret_scans, spelling_groups, suffix_tree_lm, url_aliases
+from . import chat_perspectives, conversation_trie, embedding_forest, lexicon_bpe, ngram_join, packing, quality_ranking, quality_rules, secret_scans, spelling_groups, suffix_tree_lm, toxicity_grammar, url_aliases
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_chat_perspectives": chat_perspectives.op8_chat_perspectives,
         "op9_url_aliases": url_aliases.op9_url_aliases,
         "op10_packing": packing.op10_packing,
+        "op11_toxicity_grammar": toxicity_grammar.op11_toxicity_grammar,
         "op12_conversation_trie": conversation_trie.op12_conversation_trie,
         "op13_spelling_groups": spelling_groups.op13_spelling_groups,
     }
