@@ -94,7 +94,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_neighbourhoods_are_counted_once_for_copies(spark):
-    rows = [(1, "a blorp b"), (1, "a blorp b"), (1, "c blorp d blorp e"), (0, "x blorp y blorp")]
+    rows = [(1, "one blorp two"), (1, "one blorp two"), (1, "three blorp four blorp five"), (0, "six blorp seven blorp")]
     e = {r["unit"]: r for r in g.evidence(spark.createDataFrame(rows, "label int, text string")).collect()}
     assert bin(e["=blorp"]["mask"]).count("1") == 3 and (e["=blorp"]["n"], e["=blorp"]["clean"]) == (4, 2)
     assert e["blo"]["n"] == 4
