@@ -118,10 +118,10 @@ def share(part: Column, whole: Column) -> Column:
 
 
 def normal_query(c: Column) -> Column:
-    """Search terms fit to keep: trimmed, blanks joined, lower case; null if too short or long, with an @, or long digits without letters."""
+    """Search terms fit to keep: trimmed, blanks joined, lower case; null if too short or long, with an @, or seven digits and more without a letter from a to z."""
     x = F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
     digits = F.length(F.regexp_replace(x, "[^0-9]", ""))
-    private = x.contains("@") | (~x.rlike(r"\p{L}") & (digits >= 7))
+    private = x.contains("@") | (~x.rlike("[a-z]") & (digits >= 7))
     return F.when((F.length(x) >= 2) & (F.length(x) <= 80) & ~private, x)
 
 

@@ -54,6 +54,24 @@ def numbered(rows: DataFrame, by: str, order: Sequence[str], name: str) -> DataF
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1)
 
 
+def places(rows: DataFrame, order: Sequence[str | Column], name: str, by: str | None = None) -> DataFrame:
+    """``rows`` with their place from 0 in the whole order, or in that of each ``by``, without a window over them: rows are sorted in ranges, each is numbered in its range, and the ranges' sizes are added up.
+
+    What is in one place is a row for each range and, with ``by``, for each group that goes on in it. Rows that are alike in ``order`` are numbered in any order. Settled.
+    """
+    keys = [by] if by else []
+    d = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_m", F.monotonically_increasing_id())
+    d = settle(d.withColumn("_part", F.shiftright("_m", 33)))
+    sizes = d.groupBy("_part", *keys).agg(F.count("*").alias("_c"), F.min("_m").alias("_first"))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", *keys, "_first", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"))
+    if not by:
+        out = d.join(F.broadcast(starts), "_part")  # a row for each range
+    else:
+        out = d.join(starts.withColumnRenamed(by, "_by"), (d["_part"] == starts["_part"]) & F.col(by).eqNullSafe(F.col("_by"))).drop(starts["_part"])
+    return out.withColumn(name, F.col("_m") - F.col("_first") + F.col("_b")).select(*rows.columns, name)
+
+
 def letter_suffix(rows: DataFrame, base: str, order: Sequence[str], name: str = "slug", dash: bool = True) -> DataFrame:
     """Unique names: the first keeps its base, later ones get b, c, ..., from the 27th on the number."""
     n = F.col("_n")

@@ -257,7 +257,7 @@ def url_classify(spark, sf):
     return t(spark, sf, "pages").select("page_id", T.site_of(F.col("url")).alias("site"), T.url_kind(F.col("url")).alias("kind"))
 
 
-@query(r"""SELECT conv_id, turn, CASE WHEN length(x) BETWEEN 2 AND 80 AND NOT (contains(x, '@') OR (NOT regexp_matches(x, '\p{L}') AND length(regexp_replace(x, '[^0-9]', '', 'g')) >= 7)) THEN x END AS term
+@query(r"""SELECT conv_id, turn, CASE WHEN length(x) BETWEEN 2 AND 80 AND NOT (contains(x, '@') OR (NOT regexp_matches(x, '[a-z]') AND length(regexp_replace(x, '[^0-9]', '', 'g')) >= 7)) THEN x END AS term
 FROM (SELECT conv_id, turn, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS x FROM conversations)""")
 def redact_query(spark, sf):
     return t(spark, sf, "conversations").select("conv_id", "turn", T.normal_query(F.col("text")).alias("term"))
@@ -351,16 +351,6 @@ def components(spark, sf):
     return graph.connected_components(stars(spark, sf))
 
 
-EV = "SELECT *, (props::JSON ->> '$.k')::BIGINT AS k FROM events"
-
-
-@query(f"SELECT event_id, k, CASE WHEN event_type IN ('click', 'view') THEN (CASE WHEN k < 10 THEN 400 WHEN k > 90 THEN 403 ELSE 204 END) ELSE 405 END AS disposition FROM ({EV})")
-def event_disposition(spark, sf):
-    from shelfmark.streaming import events
-
-    return events.disposed(t(spark, sf, "events")).select("event_id", "k", "disposition")
-
-
 @query("""SELECT event_id, rn > 2 AS refused FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL 1 HOUR, ts) ORDER BY ts, event_id) AS rn FROM events)""")
 def rate_limit_windows(spark, sf):
     from shelfmark.streaming import events

@@ -120,13 +120,6 @@ def limiter_keys(spark, sf):
     return t(spark, sf, "events").select("event_id", T.ip_key(F.expr(ADDRESS)).alias("limit_key"))
 
 
-@query("""SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'other' END AS kind, coalesce(try_cast(props::JSON ->> '$.k' AS DOUBLE), -1.0::DOUBLE) AS number, left(props, 8) AS head FROM events WHERE event_type <> 'error'""")
-def collected_points(spark, sf):
-    from shelfmark.streaming import events
-
-    return events.points(t(spark, sf, "events").where("event_type <> 'error'")).select("event_id", "kind", "number", "head")
-
-
 SITE = r"regexp_replace(lower(regexp_extract(url, '(?i)^https?://([^/?#:]+)', 1)), '^www\.', '')"
 
 

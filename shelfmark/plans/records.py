@@ -90,13 +90,6 @@ def check_verdicts(spark, sf):
     )
 
 
-@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL 1 HOUR, ts) ORDER BY ts, event_id) > 2 AS refused, (props::JSON ->> '$.k')::BIGINT AS k FROM events)
-SELECT disposition, count(*)::BIGINT AS n FROM (SELECT CASE WHEN event_type NOT IN ('click', 'view') THEN 405 WHEN refused THEN 429 WHEN k < 10 THEN 400 WHEN k > 90 THEN 403 ELSE 204 END AS disposition FROM r) GROUP BY 1""")
-def gated_events(spark, sf):
-    e = events.rate_limited(t(spark, sf, "events"), "user_id", cap=2, window="1 hour")
-    return events.disposed(e, "refused").groupBy("disposition").agg(F.count("*").alias("n"))
-
-
 @query("SELECT event_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NULL OR nxt - ts >= INTERVAL 2 HOUR")
 def quiet_terms(spark, sf):
     return events.settled_terms(t(spark, sf, "events"), "user_id", seconds=7200).select("event_id")

@@ -5,41 +5,90 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-NAMES = ("click", "view")
+from shelfmark.functions.text import normal_query
 
+NAMES = ("search", "outbound_click")
+#: Longest domain and address that are kept.
+DOMAIN, ADDRESS = 253, 2048
+#: What Javascript reads as a decimal number.
+DECIMAL, HEX = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$", r"^0[xX][0-9A-Fa-f]{1,15}$"
 
-def disposed(events: DataFrame, refused: str | None = None) -> DataFrame:
-    """``k`` from the JSON properties and the code of the first gate that stops the event: 405 by its name, 429 where the column ``refused`` says that the limiter did, 400 by its body
-    (no JSON object, no number, or too small a one), 403, or 204 for none. The limiter counts before bodies are read."""
-    k = F.get_json_object("props", "$.k").try_cast("long")
-    code = F.when(~F.coalesce(F.col("event_type").isin(*NAMES), F.lit(False)), 405)
-    if refused:
-        code = code.when(F.col(refused), 429)
-    code = code.when(F.col("k").isNull() | (F.col("k") < 10), 400).when(F.col("k") > 90, 403).otherwise(204)
-    return events.withColumn("k", k).withColumn("disposition", code)
+
+def _parsed(body: Column) -> Column:
+    """The body as a VARIANT if it is a JSON object, else null; an object that names a key twice is none."""
+    v = F.try_parse_json(body)
+    return F.when(_kind(v).startswith("OBJECT"), v)
+
+
+def _kind(v: Column) -> Column:
+    """OBJECT, ARRAY, STRING, BOOLEAN, VOID or a type of numbers; null for what is not there."""
+    return F.substring_index(F.schema_of_variant(v), "<", 1)
 
 
-def dead_letters(events: DataFrame, body: str = "props") -> DataFrame:
-    """Events whose body is no JSON object."""
-    return events.where(~F.coalesce(F.ltrim(F.col(body)).startswith("{") & F.try_parse_json(body).isNotNull(), F.lit(False)))
+def _text(v: Column, path: str) -> Column:
+    """The string at a path, null if there is something else."""
+    return F.when(_kind(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
 
 
-def points(events: DataFrame, head: int = 8) -> DataFrame:
-    """What is kept of an event: a known kind, a finite number (-1 where there is none) and the start of its properties; works on streams as well."""
-    kind = F.when(F.col("event_type").isin(*NAMES), F.col("event_type")).otherwise("other")
-    number = F.get_json_object("props", "$.k").try_cast("double")
-    finite = ~F.isnan(number) & (F.abs(number) != float("inf"))
-    return events.withColumn("kind", kind).withColumn("number", F.when(finite, number).otherwise(-1.0)).withColumn("head", F.left("props", F.lit(head)))
+def _name(v: Column) -> Column:
+    return F.coalesce(_text(v, "$.name"), F.lit(""))
 
 
-def append_points(stream: DataFrame, path: str, checkpoint: str):
-    """The points of well-formed events of known kinds, appended once each to a folder; a query that takes what there is and ends."""
-    body = F.coalesce(F.ltrim("props").startswith("{") & F.try_parse_json("props").isNotNull(), F.lit(False))
-    p = points(stream.where(F.col("event_type").isin(*NAMES) & body))
+def number_of(v: Column) -> Column:
+    """A JSON value as Javascript's ``Number`` has it, with -1 for what is no finite number: null, empty and blank texts and empty lists are 0, what is not there is -1. Longer lists and objects are -1."""
+    kind, text = _kind(v), F.regexp_replace(v.try_cast("string"), r"^\s+|\s+$", "")
+    of_text = F.when(text == "", 0.0).when(text.rlike(DECIMAL), text.try_cast("double")).when(text.rlike(HEX), F.conv(F.substring(text, 3, 15), 16, 10).try_cast("double"))
+    n = F.when(kind == "VOID", 0.0).when(kind == "BOOLEAN", v.try_cast("boolean").cast("double")).when(kind == "STRING", of_text).when(kind == "ARRAY", F.when(F.to_json(v) == "[]", 0.0)).when(kind != "OBJECT", v.try_cast("double"))
+    return F.when(n.isNotNull() & ~F.isnan(n) & (F.abs(n) != float("inf")), n).otherwise(-1.0)
+
+
+def disposed(posts: DataFrame, allowed: str, refused: str | None = None) -> DataFrame:
+    """``disposition``, the code of the first gate that answers a post (``method, origin, body``): 204 for OPTIONS, 405 for another method than POST, 429 where the column ``refused`` says that the
+    limiter did, 403 for a foreign origin, 400 for a body that is no JSON object, and 204 for the rest, whether something is kept of it (``points``) or not. No origin is none that is foreign."""
+    v = _parsed(F.col("body"))
+    code = F.when(F.col("method") == "OPTIONS", 204).when(F.coalesce(F.col("method") != "POST", F.lit(True)), 405)
+    if refused:
+        code = code.when(F.col(refused), 429)
+    code = code.when(F.coalesce((F.col("origin") != "") & (F.col("origin") != allowed), F.lit(False)), 403)
+    return posts.withColumn("disposition", code.when(v.isNull(), 400).otherwise(204))
+
+
+def limited_posts(posts: DataFrame, key: str, cap: int, window: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """``refused`` for posts beyond the cap; only posts are charged, whatever else is wrong with them."""
+    posted = rate_limited(posts.where("method = 'POST'"), key, cap, window, ts, tie)
+    return posted.unionByName(posts.where("method IS NULL OR method <> 'POST'").withColumn("refused", F.lit(False)))
+
+
+def dead_letters(posts: DataFrame, body: str = "body") -> DataFrame:
+    """Posts whose body is no JSON object."""
+    return posts.where(_parsed(F.col(body)).isNull())
+
+
+def points(posts: DataFrame) -> DataFrame:
+    """What is kept of posts that passed the gates: ``index``, ``blobs`` and ``number``. A search keeps its term, redacted again, with its count, and is dropped if no term is left; a click keeps its kind (``doi``, ``repo``, else ``external``),
+    domain and address, cut to size, and 1. Other names are dropped. Works on streams as well."""
+    # A generator, so that the body is read once and not once for each use of its parts.
+    at = lambda v, name: _text(v, f"$.props.{name}")
+    parts = lambda v: F.struct(
+        _name(v).alias("index"), at(v, "search_term").alias("_term"), F.try_variant_get(v, "$.props.result_count", "variant").alias("_count"),
+        at(v, "resource_kind").alias("_kind"), at(v, "link_domain").alias("_domain"), at(v, "link_url").alias("_url"),
+    )
+    v = posts.select("*", F.inline(F.transform(F.array(F.try_parse_json("body")), parts))).where(F.col("index").isin(*NAMES))
+    search = F.col("index") == "search"
+    kind = F.when(F.col("_kind").isin("doi", "repo"), F.col("_kind")).otherwise("external")
+    click = [kind, F.left(F.coalesce("_domain", F.lit("")), F.lit(DOMAIN)), F.left(F.coalesce("_url", F.lit("")), F.lit(ADDRESS))]
+    v = v.withColumn("_term", normal_query(F.col("_term"))).where(~search | F.col("_term").isNotNull())
+    v = v.withColumn("blobs", F.when(search, F.array("index", "_term")).otherwise(F.array("index", *click)))
+    return v.withColumn("number", F.when(search, number_of(F.col("_count"))).otherwise(1.0)).drop("_term", "_count", "_kind", "_domain", "_url")
+
+
+def append_points(stream: DataFrame, path: str, checkpoint: str, allowed: str):
+    """The points of posts that pass the gates, appended once each to a folder; a query that takes what there is and ends. The limiter is a stream of its own (``rate_limit_stream``)."""
+    p = points(disposed(stream, allowed).where("disposition = 204 AND method = 'POST'"))
     return p.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -135,9 +135,26 @@ def test_faults_of_lists_and_round_trips(spark):
     assert v == {"a": (False, 1), "b": (True, 0)}
 
 
-def test_events_without_numbers_or_bodies(spark):
-    rows = [(1, "click", '{"k": "NaN"}'), (2, "view", '{"k": "Infinity"}'), (3, "click", "[1]"), (4, "click", "no"), (5, None, None), (6, "click", '{"k": 50}')]
-    e = spark.createDataFrame(rows, "event_id long, event_type string, props string")
-    assert [r["number"] for r in events.points(e).orderBy("event_id").collect()] == [-1.0, -1.0, -1.0, -1.0, -1.0, 50.0]
-    assert [r["disposition"] for r in events.disposed(e).orderBy("event_id").collect()] == [400, 400, 400, 400, 405, 204]
-    assert sorted(r["event_id"] for r in events.dead_letters(e).collect()) == [3, 4, 5]
+def test_gates_in_order(spark):
+    ok, site = '{"name":"search","props":{"search_term":"beef","result_count":3}}', "https://site.example"
+    rows = [
+        (1, "OPTIONS", None, None, True), (2, "GET", site, ok, False), (3, None, site, ok, False), (4, "POST", "https://x.example", "no", True), (5, "POST", "https://x.example", "no", False),
+        (6, "POST", "", "no", False), (7, "POST", None, "null", False), (8, "POST", site, "[1]", False), (9, "POST", site, '{"name":"other"}', False), (10, "POST", site, ok, False), (11, "POST", site, None, False),
+    ]
+    p = events.disposed(spark.createDataFrame(rows, "event_id int, method string, origin string, body string, refused boolean"), site, "refused")
+    assert [r["disposition"] for r in p.orderBy("event_id").collect()] == [204, 405, 405, 429, 403, 400, 400, 400, 204, 204, 400]
+    assert sorted(r["event_id"] for r in events.dead_letters(p).collect()) == [1, 4, 5, 6, 7, 8, 11]
+    assert [tuple(r) for r in events.points(p.where("disposition = 204")).select("event_id", "index", "blobs", "number").collect()] == [(10, "search", ["search", "beef"], 3.0)]
+
+
+def test_only_posts_are_charged(spark):
+    rows = [(i, 1, m, f"2024-01-01 00:00:0{i}") for i, m in enumerate(["GET", "POST", None, "POST", "OPTIONS", "POST"])]
+    e = spark.createDataFrame(rows, "event_id int, user_id int, method string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert [r["event_id"] for r in events.limited_posts(e, "user_id", 2, "1 hour").where("refused").collect()] == [5]
+
+
+def test_numbers_as_a_script_reads_them(spark):
+    given = {"null": 0.0, '""': 0.0, '" \\t"': 0.0, '"12"': 12.0, '" .5e1 "': 5.0, '"0x1F"': 31.0, '"1_0"': -1.0, '"NaN"': -1.0, '"Infinity"': -1.0, "true": 1.0, "false": 0.0, "[]": 0.0, "{}": -1.0, "[1, 2]": -1.0, "-2.25": -2.25, "1e400": -1.0}
+    df = spark.createDataFrame([(i, f'{{"x": {v}}}') for i, v in enumerate([*given, "7"])], "i int, j string")
+    got = df.select("i", events.number_of(F.try_variant_get(F.try_parse_json("j"), "$.x", "variant")).alias("n"), events.number_of(F.try_variant_get(F.try_parse_json("j"), "$.y", "variant")).alias("none")).orderBy("i").collect()
+    assert [r["n"] for r in got] == [*given.values(), 7.0] and {r["none"] for r in got} == {-1.0}

@@ -77,11 +77,12 @@ def test_cache_and_files(spark, tmp_path):
 
 
 def test_points_are_appended_from_a_stream(spark, tmp_path):
-    spark.createDataFrame([(1, "click", '{"k": 3}'), (2, "other", "no"), (3, "view", '{"k": 4}')], "event_id long, event_type string, props string").write.json(str(tmp_path / "in"))
-    s = spark.readStream.schema("event_id long, event_type string, props string").json(str(tmp_path / "in"))
+    good, schema = '{"name": "outbound_click", "props": {"link_domain": "x.example"}}', "event_id long, method string, origin string, body string"
+    spark.createDataFrame([(1, "POST", None, good), (2, "POST", None, "no"), (3, "POST", "https://site.example", good), (4, "GET", None, good), (5, "POST", "https://x.example", good), (6, "POST", None, '{"name": "x"}')], schema).write.json(str(tmp_path / "in"))
+    s = spark.readStream.schema(schema).json(str(tmp_path / "in"))
     for _ in range(2):
-        events.append_points(s, str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination(60)
-    assert sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 3]
+        events.append_points(s, str(tmp_path / "out"), str(tmp_path / "mark"), "https://site.example").awaitTermination(60)
+    assert sorted((r["event_id"], r["blobs"][1]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "external"), (3, "external")]
 
 
 def test_free_ids(spark):
