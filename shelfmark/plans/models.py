@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfmark.operators import payload
+from shelfmark.operators import additions, payload
 from shelfmark.plans.catalog import query, t
 
 #: The payload of an order, and faults planted by its key.
@@ -52,3 +52,67 @@ SELECT k AS o_orderkey, count(*)::BIGINT AS n_faults, array_to_string((list(line
 def payload_summaries(spark, sf):
     s = payload.summary(payload.violations(payload_frame(spark, sf), "o_orderkey", "body", SCHEMA), "o_orderkey", shown=2)
     return s.select("o_orderkey", "n_faults", F.concat_ws("; ", "first_faults").alias("first_faults"))
+
+
+SPECS = """SELECT c_custkey AS spec, CASE c_custkey % 4 WHEN 0 THEN 'paper' WHEN 1 THEN 'software' WHEN 2 THEN 'database' ELSE 'dataset' END AS type,
+CASE WHEN c_custkey % 4 IN (1, 2) THEN 'Tool ' || c_mktsegment || ' ' || chr(65 + c_nationkey) END AS name, CASE WHEN c_custkey % 4 IN (1, 2) THEN 'https://t.example/' || c_custkey END AS url, c_mktsegment AS grp,
+CASE WHEN c_custkey % 8 = 0 THEN 'Notes' END AS section, CASE WHEN c_custkey % 4 = 0 THEN CASE WHEN c_custkey % 3 = 0 THEN '<a id="7">7</a> ' ELSE '' END || c_name || ' (2001).' END AS raw, 'P' || c_nationkey AS label,
+CASE WHEN c_custkey % 12 = 0 THEN 'https://c.example/' || c_custkey ELSE '' END AS code_url, CASE WHEN c_nationkey % 2 = 0 THEN 'cell' ELSE 'Media Optimization' END AS area,
+CASE WHEN c_custkey % 4 = 3 THEN CASE WHEN c_nationkey % 3 = 0 THEN 'see PRJNA' || c_nationkey ELSE '[Herd *' || c_mktsegment || '*](u) of cows' END END AS first_cell, CASE WHEN c_nationkey % 5 = 0 THEN 'protein' ELSE 'beef' END AS topic FROM customer"""
+
+
+def spec_frame(spark, sf):
+    """A descriptor for each customer, of four types."""
+    s = spark.sql(SPECS.replace("FROM customer", "FROM {c}"), c=t(spark, sf, "customer"))
+    cell = F.struct(F.lit("Learning").alias("method"), "area")
+    return s.select(
+        "spec", "type", "name", "url", "grp", F.lit(None).cast("string").alias("body"), "section", "raw", "label", "code_url", F.lit(None).cast("string").alias("data_url"),
+        F.when(F.col("spec") % 12 == 0, F.array(F.lit("> **Models**: m"))).alias("blockquotes"), F.when(F.col("type") == "paper", F.array(cell, cell)).alias("cells"), F.when(F.col("type") == "dataset", F.lit("Cow")).alias("page"),
+        F.when(F.col("type") == "dataset", F.array("first_cell", F.lit("x"))).alias("row"), F.array(F.lit("beef"), "topic").alias("topics"),
+    )
+
+
+def store(spark, sf):
+    """Tables that suppliers fill: papers, a few tools and rows, and retired numbers beyond the papers'."""
+    s = t(spark, sf, "supplier")
+    none = {name: spark.createDataFrame([], schema) for name, schema in additions.TABLES.items()}
+    paper = s.select(F.concat(F.lit("paper:"), "s_suppkey").alias("item_id"), F.col("s_suppkey").alias("ref_id"), F.when(F.col("s_suppkey") % 2 == 0, "Notes").otherwise("References").alias("section"), F.col("s_name").alias("raw"), F.lit(None).cast("string").alias("blockquotes_md"), F.col("s_suppkey").alias("ordinal"))
+    taken = t(spark, sf, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("sw:tool-building-"), F.expr("chr(97 + n_nationkey)")).alias("id"), F.lit("software").alias("type"), F.lit("x").alias("slug"), "n_nationkey")
+    catalog = taken.select(F.col("id").alias("item_id"), F.lit("n").alias("name"), F.lit("u").alias("url"), F.lit("g").alias("grp"), F.lit("h").alias("heading_md"), F.lit("b").alias("body_md"), F.col("n_nationkey").cast("long").alias("ordinal"))
+    return none | {
+        "items": paper.select(F.col("item_id").alias("id"), F.lit("paper").alias("type"), F.col("ref_id").cast("string").alias("slug")).unionByName(taken.drop("n_nationkey")),
+        "papers": paper, "catalog": catalog, "retired_paper_ids": spark.createDataFrame([(5000,)], "ref_id long"), "methods": spark.createDataFrame([("Learning",)], "label string"),
+        "areas": spark.createDataFrame([("cell", "Cells"), ("media", "Media Optimization")], "key string, label string"), "topics": spark.createDataFrame([("topic:beef", "beef"), ("topic:protein", "protein")], "item_id string, slug string"),
+    }
+
+
+ADDED = f"""WITH s AS ({SPECS}), paper AS (SELECT *, greatest(5000, (SELECT max(s_suppkey) FROM supplier)) + row_number() OVER (ORDER BY spec) AS ref, (SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY spec) AS ord FROM s WHERE type = 'paper'),
+seeded AS (SELECT *, CASE type WHEN 'software' THEN 'sw:' WHEN 'database' THEN 'db:' ELSE 'ds:' END || lower(replace(CASE WHEN type <> 'dataset' THEN name WHEN first_cell LIKE 'see%' THEN substr(first_cell, 5) ELSE 'Herd ' || grp || 'u of' END, ' ', '-')) AS base0 FROM s WHERE type <> 'paper'),
+based AS (SELECT *, CASE WHEN type = 'dataset' AND first_cell NOT LIKE 'see%' THEN 'ds:herd-' || lower(grp) || 'u-of' ELSE base0 END AS base FROM seeded),
+named AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY spec) + (base IN (SELECT 'sw:tool-building-' || chr(97 + n_nationkey) FROM nation WHERE n_nationkey % 2 = 0))::INT AS k, row_number() OVER (PARTITION BY type ORDER BY spec) AS m FROM based)
+"""
+
+
+@query(ADDED + """SELECT 'papers' AS tbl, 'paper:' || ref AS item_id, coalesce(section, 'References') || '|<a id="' || ref || '">' || ref || '</a> ' || regexp_replace(raw, '^<a id="7">7</a> ', '') || CASE WHEN spec % 12 = 0 THEN '|> **Code**: ' || code_url || chr(10) || chr(10) || '> **Models**: m' ELSE '' END AS detail, ord AS ordinal FROM paper
+UNION ALL SELECT 'catalog', CASE WHEN k = 1 THEN base ELSE base || '-' || k END, grp || '|[' || name || '](' || url || ')', m + CASE WHEN type = 'software' THEN (SELECT max(n_nationkey) FROM nation WHERE n_nationkey % 2 = 0) ELSE 0 END FROM named WHERE type <> 'dataset'
+UNION ALL SELECT 'dataset_rows', CASE WHEN k = 1 THEN base ELSE base || '-' || k END, 'Cow|["' || first_cell || '","x"]', m FROM named WHERE type = 'dataset'""")
+def added_items(spark, sf):
+    new, _ = additions.rows_of(store(spark, sf), spec_frame(spark, sf))
+    one = lambda name, *parts: new[name].select(F.lit(name).alias("tbl"), "item_id", F.concat_ws("|", *parts).alias("detail"), "ordinal")
+    return one("papers", "section", "raw", "blockquotes_md").unionByName(one("catalog", "grp", "heading_md")).unionByName(one("dataset_rows", "page", "cells_json"))
+
+
+@query(ADDED + """SELECT CASE WHEN area = 'cell' THEN 'cell' ELSE 'media' END AS area_key, ref AS ref_id, label, (row_number() OVER (ORDER BY spec) - 1) * 2 + i AS ordinal FROM paper, (VALUES (1), (2)) v(i)""".replace("(row_number() OVER (ORDER BY spec) - 1) * 2 + i", "(dense_rank() OVER (ORDER BY spec) - 1) * 2 + i"))
+def added_cells(spark, sf):
+    return additions.rows_of(store(spark, sf), spec_frame(spark, sf))[0]["matrix_cells"].drop("method")
+
+
+@query(f"""WITH s AS ({SPECS}) SELECT f.check_name, spec || CASE WHEN f.detail IS NULL THEN ':' ELSE ':' || f.detail END AS violation_key FROM s, LATERAL (VALUES (spec % 5 = 0 AND type = 'paper', 'section', 'Gone'), (spec % 7 = 0 AND type = 'paper', 'method', 'Guess'), (spec % 7 = 0 AND type = 'paper', 'area', 'none'), (spec % 11 = 0, 'topic', 'odd'),
+  (spec % 13 = 0 AND type = 'dataset', 'page', 'Pig'), (spec % 9 = 0 AND type = 'dataset', 'no cells', NULL), (spec % 17 = 0 AND type IN ('software', 'database'), 'missing', 'url')) f(bad, check_name, detail) WHERE f.bad""")
+def refused_additions(spark, sf):
+    s, at = spec_frame(spark, sf), lambda n: F.col("spec") % n == 0
+    s = s.withColumns({
+        "section": F.when(at(5), "Gone").otherwise(F.col("section")), "cells": F.when(at(7) & (F.col("type") == "paper"), F.array(F.struct(F.lit("Guess").alias("method"), F.lit("none").alias("area")))).otherwise(F.col("cells")),
+        "topics": F.when(at(11), F.array(F.lit("odd"))).otherwise(F.col("topics")), "page": F.when(at(13), "Pig").otherwise(F.col("page")), "row": F.when(at(9), F.array().cast("array<string>")).otherwise(F.col("row")), "url": F.when(at(17), F.lit(None)).otherwise(F.col("url")),
+    })
+    return additions.refused(store(spark, sf), s, spark.createDataFrame([("Cow",)], "page string"))
