@@ -72,7 +72,8 @@ def is_doi(c: Column) -> Column:
 
 
 def last_segment(c: Column) -> Column:
-    return F.lower(F.substring_index(c, "/", -1))
+    """What follows the last slash of an address, in lower case."""
+    return F.lower(F.substring_index(F.trim(c), "/", -1))
 
 
 def repo_of(url: Column) -> Column:
@@ -184,7 +185,7 @@ def is_accession(c: Column) -> Column:
 
 def id_accession(item_id: Column) -> Column:
     """The accession that the local part of an id (after ``ds:``) starts with, whatever follows; else the local part, both in upper case."""
-    local = F.upper(F.substring(item_id, 4, 1_000_000))
+    local = F.upper(F.substring(item_id, F.lit(4), F.length(item_id)))
     return F.coalesce(F.nullif(F.regexp_extract(local, f"^({ACCESSION})", 1), F.lit("")), local)
 
 

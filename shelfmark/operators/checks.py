@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -62,6 +62,21 @@ def verdicts(names: Sequence[str], *violations: DataFrame) -> DataFrame:
     return found.select("check_name", F.col("violations").isNull().alias("ok"), F.coalesce("violations", F.lit(0)).cast("long").alias("violations"), "example")
 
 
+def observed(df: DataFrame, metrics: dict[str, Column]) -> tuple[Observation, DataFrame]:
+    """``df`` with metrics that the job which writes it collects on the way; they are there, in the observation's ``get``, when that job has ended.
+
+    Watch what is written, not what is sorted or cut by ranges afterwards: that is read more than once.
+    """
+    seen = Observation()
+    return seen, df.observe(seen, *[c.alias(name) for name, c in metrics.items()])
+
+
+def drift(spark: SparkSession, claims: Sequence[tuple[str, int, int]]) -> DataFrame:
+    """``check_name, violation_key`` of claims ``(name, one count, other count)`` whose counts differ; a missing count counts as 0. Counts are single numbers, from ``observed`` models."""
+    rows = [(name, f"{a or 0} <> {b or 0}") for name, a, b in claims if (a or 0) != (b or 0)]
+    return spark.createDataFrame(rows, "check_name string, violation_key string")
+
+
 def unlike_id(items: DataFrame, prefixes: dict[str, str], check: str, key: str = "id", kind: str = "type", slug: str = "slug") -> DataFrame:
     """Ids that are not the prefix of their type, a colon and their slug; an unknown type has none that fits."""
     want = F.lit(None).cast("string")

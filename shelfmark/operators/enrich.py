@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.functions.text import doi_key, licence_tier, slugify
 from shelfmark.session import settle
 
 
@@ -135,25 +136,54 @@ def free_ids(rows: DataFrame, base: str, order: Sequence[str], taken: DataFrame,
 
 
 def id_runs(ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Gaps ``(first_missing, last_missing)`` and runs ``(first_id, last_id)`` of an integer id.
+    """Gaps ``(first_missing, last_missing)`` and runs ``(first_id, last_id)`` of an integer id; repeated ids count once, nulls not.
 
-    A range-partitioned sort would put neighbours in one task each; here the ids are cut in blocks of 2**16, and the ends of blocks meet again in a second, small window.
+    An id less its place among all ids is the same throughout a run, so runs are sums by that; a gap lies between a run and the one at the next place.
     """
-    one = ids.select(F.col(key).alias("id")).dropna().distinct().withColumn("_b", F.shiftright("id", 16))
-    w = Window.partitionBy("_b").orderBy("id")
-    local = one.withColumn("prev", F.lag("id").over(w))
-    heads = local.where("prev IS NULL").select("id", "_b")
-    ends = one.groupBy("_b").agg(F.max("id").alias("last")).withColumn("_s", F.shiftright("_b", 16))
-    before = ends.select("_b", F.lag("last").over(Window.partitionBy(F.lit(0)).orderBy("_b")).alias("prev"))
-    full = local.where("prev IS NOT NULL").select("id", "prev").unionByName(heads.join(before, "_b").select("id", "prev"))
-    gaps = full.where("prev IS NOT NULL AND id > prev + 1").select((F.col("prev") + 1).alias("first_missing"), (F.col("id") - 1).alias("last_missing"))
-    starts = full.where("prev IS NULL OR id > prev + 1").select("id", F.lit(1).alias("is_start"))
-    marked = one.select("id").join(starts, "id", "left").withColumn("_b", F.shiftright("id", 16))
-    filled = marked.withColumn("s", F.max(F.when(F.col("is_start") == 1, F.col("id"))).over(w))
-    carry = filled.groupBy("_b").agg(F.max("s").alias("c"))
-    carry = carry.select("_b", F.max("c").over(Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    runs = filled.join(carry, "_b").select("id", F.coalesce("s", "carried").alias("first_id")).groupBy("first_id").agg(F.max("id").alias("last_id"))
-    return gaps, runs
+    one = places(ids.select(F.col(key).cast("long").alias("id")).dropna().distinct(), ["id"], "_n")
+    runs = one.groupBy((F.col("id") - F.col("_n")).alias("_r")).agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).drop("_r")
+    at = places(runs, ["first_id"], "_n")
+    after = at.select((F.col("_n") - 1).alias("_n"), F.col("first_id").alias("_next"))
+    gaps = at.join(after, "_n").select((F.col("last_id") + 1).alias("first_missing"), (F.col("_next") - 1).alias("last_missing"))
+    return gaps, at.select("first_id", "last_id")
+
+
+def segment(first: Column, last: Column) -> Column:
+    """``#5`` for one number, ``#5–#9`` for several."""
+    return F.concat(F.lit("#"), first.cast("string"), F.when(first == last, F.lit("")).otherwise(F.concat(F.lit("–#"), last.cast("string"))))
+
+
+def cited(rows: DataFrame, key: str, doi: Column, related: Column, counts: DataFrame) -> DataFrame:
+    """``key, citation_count, citation_sources, citation_dois`` of every row: the counts (``doi, n``) of its distinct DOIs, its own first, then the related ones in their order; the DOIs that have a count are listed in that order, and
+    where none has one the sum is null. Of several counts of one DOI the largest is taken."""
+    each = rows.select(key, F.posexplode(F.concat(F.array(doi), F.coalesce(related, F.array().cast("array<string>")))).alias("_i", "_d")).withColumn("_d", doi_key(F.col("_d"))).where("_d IS NOT NULL")
+    each = each.groupBy(key, "_d").agg(F.min("_i").alias("_i"))
+    known = counts.select(doi_key(F.col("doi")).alias("_d"), F.col("n").alias("_c")).where("_d IS NOT NULL AND _c IS NOT NULL").groupBy("_d").agg(F.max("_c").alias("_c"))
+    sums = each.join(known, "_d").groupBy(key).agg(F.sum("_c").alias("citation_count"), F.count("*").alias("citation_sources"), F.array_sort(F.collect_list(F.struct("_i", "_d")))["_d"].alias("citation_dois"))
+    out = rows.select(key).join(sums, key, "left")
+    return out.select(key, "citation_count", F.coalesce("citation_sources", F.lit(0)).cast("long").alias("citation_sources"), F.coalesce("citation_dois", F.array().cast("array<string>")).alias("citation_dois"))
+
+
+def page_anchors(rows: DataFrame, page: str, name: str, order: Sequence[str], out: str = "anchor", prefix: str = "ds-") -> DataFrame:
+    """``rows`` with an id for each that is unique on its page: the prefix and the slug of the name (``entry`` where nothing is left of it), or its first free ``-2``, ``-3``, ... One run of ``free_ids`` settles all pages, as the page
+    is a part of what is compared. ``order`` is unique."""
+    base = F.concat(F.coalesce(F.col(page), F.lit("")), F.lit("/" + prefix), F.coalesce(F.nullif(slugify(F.col(name)), F.lit("")), F.lit("entry")))
+    d = rows.withColumn("_page_base", base)
+    none = rows.sparkSession.createDataFrame([], "id string")
+    d = free_ids(d, "_page_base", order, none, "_page_id")
+    return d.select(*rows.columns, F.substring("_page_id", F.length(F.coalesce(F.col(page), F.lit(""))) + 2, F.length("_page_id")).alias(out))
+
+
+def curated_model(entries: DataFrame, topics: DataFrame, counts: DataFrame) -> DataFrame:
+    """The model of curated entries: ``item_id, place, name, url, page, section, kind, license, license_source, doi, doi_source, related_dois`` with ``anchor`` (unique on its page, by ``place``), ``topics`` (of ``item_id, slug, theme``, in that order),
+    ``tier`` of the licence, and the citations of ``cited``. ``related_dois`` is a JSON list; null and malformed ones are empty."""
+    own = topics.where("slug IS NOT NULL").groupBy("item_id").agg(F.array_sort(F.collect_set(F.struct("slug", "theme"))).alias("topics"))
+    related = F.coalesce(F.from_json("related_dois", "array<string>"), F.array().cast("array<string>"))
+    # The citations follow the row's place, so that rows of one item keep their own.
+    found = cited(entries, "place", F.col("doi"), related, counts)
+    d = page_anchors(entries, "page", "name", ["place"]).join(found, "place").join(own, "item_id", "left")
+    none = F.array().cast(own.schema["topics"].dataType)
+    return d.withColumn("tier", licence_tier(F.col("license"))).withColumn("topics", F.coalesce("topics", none)).drop("related_dois")
 
 
 def last_known(rows: DataFrame, by: str, order: str, value: Column, name: str) -> DataFrame:

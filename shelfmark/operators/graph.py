@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions import text as T
 from shelfmark.session import drop_settled, settle
 
 
@@ -47,8 +48,24 @@ def degree(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst
     return nodes.select(key).join(counts, key, "left").select(key, F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
-def shared_key_pairs(rows: DataFrame, key: str, node: str, max_group: int | None = None) -> DataFrame:
-    """Edges ``(src, dst, weight)`` between nodes that share a key, src < dst; weight counts the shared keys.
+def _pairs(own: DataFrame, block: int) -> DataFrame:
+    """``k, src, dst``, src < dst, of all pairs of nodes with a key, for distinct ``k, n``.
+
+    Members of a key with more than ``block`` of them are dealt into blocks by hash, and each pair of blocks is a join key of its own; so no task pairs more than ``block`` with ``block`` members, whatever a key holds.
+    """
+    sizes = own.groupBy("k").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
+    d = own.join(sizes, "k").where("nb >= 1").withColumn("b", F.pmod(F.xxhash64("n"), F.col("nb")).cast("int"))
+    d = d.select("k", "n", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    d = d.select("k", "n", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    left = d.where("b = i").select("k", "i", "j", F.col("n").alias("x"))
+    right = d.where("b = j").select("k", "i", "j", F.col("n").alias("y"))
+    # Within one block each pair is met in both orders, across two in one.
+    both = left.join(right, ["k", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
+    return both.select("k", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
+
+
+def shared_key_pairs(rows: DataFrame, key: str, node: str, max_group: int | None = None, block: int = 4096) -> DataFrame:
+    """Edges ``(src, dst, weight)`` between nodes that share a key, src < dst; weight counts the shared keys. Keys with many nodes are split (``_pairs``).
 
     ``max_group`` leaves out keys held by more nodes than that (hubs, whose pairs grow with the square).
     """
@@ -56,8 +73,35 @@ def shared_key_pairs(rows: DataFrame, key: str, node: str, max_group: int | None
     if max_group is not None:
         small = own.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") <= max_group).select("k")
         own = own.join(small, "k", "left_semi")
-    a, b = own.withColumnRenamed("n", "src"), own.withColumnRenamed("n", "dst")
-    return a.join(b, "k").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    return _pairs(own, block).groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
+
+def shared_names(rows: DataFrame, key: str, node: str, shown: str, order: list[str], block: int = 4096) -> DataFrame:
+    """Edges ``(src, dst, shared)`` between nodes that share a key, with the sorted names of the keys; a key is shown as the trimmed ``shown`` of its first row by ``order``."""
+    known = rows.where(F.col(key).isNotNull() & F.col(node).isNotNull())
+    names = known.groupBy(F.col(key).alias("k")).agg(F.min_by(F.trim(shown), F.struct(*order)).alias("name"))
+    pairs = _pairs(known.select(F.col(key).alias("k"), F.col(node).alias("n")).distinct(), block)
+    return pairs.join(names, "k").groupBy("src", "dst").agg(F.array_sort(F.collect_set("name")).alias("shared"))
+
+
+def citations(refs: DataFrame, works: DataFrame, key: str = "id", doi: str = "doi") -> DataFrame:
+    """Edges ``(src, dst)`` between references: src cites dst if the work of src (``works``: ``doi, work_id, referenced``) names the work of dst. DOIs and work ids are normalised on both sides.
+
+    Work ids are addresses or bare; of references that share a work the one of the largest key stands for it; of works of one DOI the one of the smallest id counts. Repeated mentions count once, a reference to itself not at all.
+    """
+    bare = lambda c: F.nullif(T.last_segment(c), F.lit(""))
+    w = works.select(T.doi_key(F.col("doi")).alias("_d"), bare(F.col("work_id")).alias("_w"), F.col("referenced").alias("_r")).where("_d IS NOT NULL")
+    w = w.groupBy("_d").agg(F.min_by(F.struct("_w", "_r"), "_w").alias("_x")).select("_d", "_x.*")
+    own = refs.select(F.col(key).alias("src"), T.doi_key(F.col(doi)).alias("_d")).where("_d IS NOT NULL").join(w, "_d")
+    target = own.where("_w IS NOT NULL").groupBy("_w").agg(F.max("src").alias("dst"))
+    named = own.select("src", F.explode(F.array_distinct(F.transform("_r", bare))).alias("_w"))
+    return named.join(target, "_w").where("src <> dst").select("src", "dst").distinct()
+
+
+def overall_stats(edges: DataFrame, nodes: DataFrame, key: str = "id", lone: int = 1) -> DataFrame:
+    """``graph_stats`` with the size of the largest component where no node has an edge given by ``lone``: 1 counts a node by itself (shared keys), 0 counts connected ones only (citations)."""
+    s = graph_stats(edges, nodes, key)
+    return s.withColumn("largest_component", F.when(F.col("n_connected") == 0, F.least(F.lit(lone).cast("long"), F.col("n_nodes"))).otherwise(F.col("largest_component")))
 
 
 def directed_edges_in_corpus(refs: DataFrame, nodes: DataFrame, src: str, dst: str, key: str) -> DataFrame:

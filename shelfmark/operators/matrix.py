@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import share
@@ -35,3 +35,21 @@ def zero_filled(cells: DataFrame, dim: DataFrame, key: str, item: str, name: str
 def pivoted(cells: DataFrame, row: str, col: str, values: Sequence[str]) -> DataFrame:
     """Counts by row with a column for each of the given values."""
     return cells.groupBy(row).pivot(col, list(values)).agg(F.count(F.lit(1))).na.fill(0)
+
+
+def subject_grid(items: DataFrame, topics: str, kind: str, kinds: Sequence[str], tree: DataFrame) -> DataFrame:
+    """Themes and their tags with the items that have them, in all and by kind: ``row, slug, label, level, theme, total`` and a column for each of ``kinds``.
+
+    ``topics`` is an array of structs with ``slug`` and ``theme``; ``tree`` has ``slug, label, theme, place``, where ``theme`` is null for a theme. An item counts once in each row, also in a theme several of whose tags it has, or whose tag
+    and theme. Rows without items have zeros; kinds that are not named count in the total only. ``row`` is the order: themes by their place, each followed by its tags, those with most items first, then by place.
+
+    Each item makes one row for each of its distinct slugs and themes, and these are counted once, by a partial aggregation; then the counts meet the tree, whose size is that of a vocabulary.
+    """
+    both = F.array_distinct(F.concat(F.transform(topics, lambda x: F.struct(F.lit("tag").alias("level"), x["slug"].alias("slug"))), F.transform(topics, lambda x: F.struct(F.lit("theme").alias("level"), x["slug"].alias("slug"))), F.transform(topics, lambda x: F.struct(F.lit("theme").alias("level"), x["theme"].alias("slug")))))
+    own = items.select(F.col(kind).alias("_k"), F.explode(both).alias("_s")).select("_k", "_s.level", "_s.slug")
+    counts = own.groupBy("level", "slug").agg(F.count("*").alias("total"), *[F.count_if(F.col("_k") == k).alias(k) for k in kinds])
+    places = tree.select("slug", F.col("place").alias("_p"))
+    rows = tree.withColumn("level", F.when(F.col("theme").isNull(), "theme").otherwise("tag")).join(counts, ["level", "slug"], "left")
+    rows = rows.join(places.withColumnRenamed("slug", "theme"), "theme", "left").na.fill(0, ["total", *kinds])
+    order = Window.orderBy(F.coalesce("_p", "place"), F.col("theme").isNotNull(), F.when(F.col("theme").isNotNull(), -F.col("total")), "place")
+    return rows.select((F.row_number().over(order) - 1).alias("row"), "slug", "label", "level", "theme", "total", *kinds)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfmark.operators import additions, payload
+from shelfmark.functions import text as T
+from shelfmark.operators import additions, checks, enrich, graph, matrix, payload
 from shelfmark.plans.catalog import query, t
+from shelfmark.session import scratch_dir, settle
+from shelfmark.sources import ndjson
 
 #: The payload of an order, and faults planted by its key.
 SCHEMA = {
@@ -116,3 +119,124 @@ def refused_additions(spark, sf):
         "topics": F.when(at(11), F.array(F.lit("odd"))).otherwise(F.col("topics")), "page": F.when(at(13), "Pig").otherwise(F.col("page")), "row": F.when(at(9), F.array().cast("array<string>")).otherwise(F.col("row")), "url": F.when(at(17), F.lit(None)).otherwise(F.col("url")),
     })
     return additions.refused(store(spark, sf), s, spark.createDataFrame([("Cow",)], "page string"))
+
+
+CURATED = """SELECT p_partkey AS place, CASE WHEN p_partkey % 40 = 1 THEN '!!' ELSE p_type || ' ' || (CASE WHEN p_partkey % 3 = 0 THEN 'Atlas' ELSE 'atlas.' END) END AS name, p_brand AS page, CASE WHEN p_partkey % 6 < 5 THEN p_partkey % 6 END AS lic,
+CASE WHEN p_partkey % 7 > 0 THEN 'https://doi.org/10.1/X' || p_size END AS doi, CASE p_partkey % 4 WHEN 0 THEN '["10.1/x' || (p_size + 1) || '","doi:10.1/X' || p_size || '",null]' WHEN 1 THEN 'not json' WHEN 2 THEN '["10.1/x3"]' END AS related FROM part"""
+
+
+def curated(spark, sf):
+    e = spark.sql(CURATED.replace("FROM part", "FROM {p}"), p=t(spark, sf, "part"))
+    licence = F.when(F.col("lic") == 0, "MIT").when(F.col("lic") == 1, "CC-BY-NC-4.0").when(F.col("lic") == 2, "GPL-3.0").when(F.col("lic") == 3, "odd terms").when(F.col("lic") == 4, "")
+    item = F.concat(F.lit("ds:"), F.col("place").cast("string"))
+    e = e.select("place", item.alias("item_id"), "name", F.lit("u").alias("url"), "page", F.lit("Atlases").alias("section"), F.lit("atlas").alias("kind"), licence.alias("license"), F.lit("auto").alias("license_source"), "doi", F.lit("manual").alias("doi_source"), F.col("related").alias("related_dois"))
+    li = t(spark, sf, "lineitem").where("l_quantity > 30").select(F.concat(F.lit("ds:"), F.col("l_partkey").cast("string")).alias("item_id"), F.col("l_returnflag").alias("slug"), F.col("l_linestatus").alias("theme"))
+    counts = t(spark, sf, "nation").where("n_nationkey <> 7").select(F.concat(F.lit("10.1/x"), F.col("n_nationkey").cast("string")).alias("doi"), F.col("n_nationkey").cast("long").alias("n"))
+    return enrich.curated_model(e, li, counts)
+
+
+@query(f"""WITH e AS ({CURATED}), a AS (SELECT *, 'ds-' || CASE WHEN name = '!!' THEN 'entry' ELSE lower(replace(replace(name, ' ', '-'), '.', '')) END AS base FROM e),
+d AS (SELECT place, CASE WHEN doi IS NOT NULL THEN TRY_CAST(regexp_extract(doi, 'X(.*)$', 1) AS BIGINT) END AS k, 0 AS i FROM e UNION ALL SELECT place, TRY_CAST(regexp_extract(related, 'x([0-9]+)', 1) AS BIGINT), 1 FROM e WHERE place % 4 IN (0, 2) UNION ALL SELECT place, TRY_CAST(regexp_extract(related, 'X([0-9]+)', 1) AS BIGINT), 2 FROM e WHERE place % 4 = 0),
+f AS (SELECT place, k, min(i) AS i FROM d WHERE k < 25 AND k <> 7 AND k IS NOT NULL GROUP BY 1, 2), c AS (SELECT place, sum(k)::BIGINT AS total, count(*)::BIGINT AS n, string_agg('10.1/x' || k, ',' ORDER BY i, k) AS dois FROM f GROUP BY 1),
+tp AS (SELECT l_partkey AS place, string_agg(DISTINCT l_returnflag || '/' || l_linestatus, ',' ORDER BY l_returnflag || '/' || l_linestatus) AS topics FROM lineitem WHERE l_quantity > 30 GROUP BY 1),
+nb AS (SELECT *, row_number() OVER (PARTITION BY page, base ORDER BY place) AS m FROM a)
+SELECT nb.place, page, CASE WHEN m = 1 THEN base ELSE base || '-' || m END AS anchor, CASE lic WHEN 0 THEN 'permissive' WHEN 1 THEN 'restricted' WHEN 2 THEN 'copyleft' ELSE 'unknown' END AS tier, c.total AS citation_count, coalesce(c.n, 0) AS citation_sources, coalesce(c.dois, '') AS citation_dois, coalesce(topics, '') AS topics
+FROM nb LEFT JOIN c USING (place) LEFT JOIN tp USING (place)""")
+def curated_entries(spark, sf):
+    topics = F.array_join(F.transform("topics", lambda x: F.concat_ws("/", x["slug"], x["theme"])), ",")
+    return curated(spark, sf).select("place", "page", "anchor", "tier", "citation_count", "citation_sources", F.array_join("citation_dois", ",").alias("citation_dois"), topics.alias("topics"))
+
+
+AUTHORED = """SELECT o_orderkey AS id, unnest([CASE WHEN o_orderkey % 2 = 0 THEN '  ' || 'Cook' || o_custkey || ', Ann' ELSE 'cook' || o_custkey || ', a. B.' END, CASE WHEN o_orderkey % 997 < 2 THEN 'Hub, H.' END, CASE WHEN o_orderkey % 5 = 0 THEN 'Guild' || (o_custkey + 1) END]) AS author FROM orders"""
+
+
+def authored(spark, sf):
+    names = F.array(F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("  Cook"), F.col("o_custkey").cast("string"), F.lit(", Ann"))).otherwise(F.concat(F.lit("cook"), F.col("o_custkey").cast("string"), F.lit(", a. B."))), F.when(F.col("o_orderkey") % 997 < 2, "Hub, H."), F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("Guild"), (F.col("o_custkey") + 1).cast("string"))))
+    a = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.posexplode(names).alias("i", "author"))
+    return a.withColumn("key", T.author_key(F.col("author")))
+
+
+@query(f"""WITH a AS ({AUTHORED}), k AS (SELECT id, trim(author) AS name, CASE WHEN author LIKE '%,%' THEN lower(split_part(trim(author), ',', 1)) || '|' || lower(left(trim(split_part(author, ',', 2)), 1)) ELSE lower(author) END AS key FROM a WHERE author IS NOT NULL),
+n AS (SELECT key, arg_min(name, id) AS name FROM k GROUP BY 1), d AS (SELECT DISTINCT id, key FROM k)
+SELECT x.id AS src, y.id AS dst, string_agg(DISTINCT n.name, '; ' ORDER BY n.name) AS shared FROM d x JOIN d y ON x.key = y.key AND x.id < y.id JOIN n ON n.key = x.key GROUP BY 1, 2""")
+def coauthor_edges(spark, sf):
+    return graph.shared_names(authored(spark, sf), "key", "id", "author", ["id", "i"]).select("src", "dst", F.array_join("shared", "; ").alias("shared"))
+
+
+def works(spark, sf):
+    """A work for each part of an even key, named in an address or bare, with the suppliers' and parts' numbers of its lines as works that it names."""
+    li = t(spark, sf, "lineitem").groupBy("l_partkey").agg(F.collect_list(F.concat(F.when(F.col("l_linenumber") % 2 == 0, "https://works.example/w").otherwise(" W"), (F.col("l_suppkey") * 2).cast("string"))).alias("referenced"))
+    w = t(spark, sf, "part").where("p_partkey % 2 = 0").join(li, F.col("p_partkey") == F.col("l_partkey"), "left")
+    key = F.col("p_partkey").cast("string")
+    return w.select(F.concat(F.lit("10.5/w"), key).alias("doi"), F.concat(F.lit("https://works.example/W"), key).alias("work_id"), "referenced")
+
+
+@query("""WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey * 2 AS dst FROM lineitem WHERE l_partkey % 2 = 0 AND l_partkey % 10 <> 0 AND l_suppkey * 2 <> l_partkey AND (l_suppkey * 2) % 10 <> 0 AND l_suppkey * 2 IN (SELECT p_partkey FROM part))
+SELECT * FROM e WHERE src IN (SELECT p_partkey FROM part)""")
+def citation_edges(spark, sf):
+    doi = F.when(F.col("p_partkey") % 10 > 0, F.concat(F.lit("HTTPS://DOI.org/10.5/W"), F.col("p_partkey").cast("string")))
+    return graph.citations(t(spark, sf, "part").select(F.col("p_partkey").alias("id"), doi.alias("doi")), works(spark, sf))
+
+
+TREE = """SELECT 't' || r_regionkey AS slug, r_name AS label, NULL AS theme, r_regionkey AS place FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, 't' || n_regionkey, n_nationkey FROM nation"""
+TAGGED = "SELECT c_custkey AS id, c_mktsegment AS kind, c_nationkey AS n, (c_custkey % 25)::INT AS m, c_custkey % 9 = 0 AS whole FROM customer"
+
+
+@query(f"""WITH tree AS ({TREE}), c AS ({TAGGED}), s AS (SELECT id, kind, 'n' || n AS slug FROM c UNION SELECT id, kind, 'n' || m FROM c UNION SELECT id, kind, 't' || n_regionkey FROM c JOIN nation ON n_nationkey IN (n, m) UNION SELECT id, kind, 't' || (id % 5) FROM c WHERE whole),
+g AS (SELECT slug, count(*) AS total, count(*) FILTER (kind = 'BUILDING') AS building, count(*) FILTER (kind = 'MACHINERY') AS machinery FROM s GROUP BY 1), x AS (SELECT tree.*, coalesce(total, 0) AS total, coalesce(building, 0) AS building, coalesce(machinery, 0) AS machinery FROM tree LEFT JOIN g USING (slug))
+SELECT (row_number() OVER (ORDER BY coalesce(p.place, x.place), x.theme IS NOT NULL, CASE WHEN x.theme IS NOT NULL THEN -x.total END, x.place) - 1)::INT AS "row", x.slug, x.theme, x.total::BIGINT AS total, x.building::BIGINT AS building, x.machinery::BIGINT AS machinery FROM x LEFT JOIN tree p ON p.slug = x.theme""")
+def overlapping_grid(spark, sf):
+    """Customers under two nations each, often of one region, and some under a region itself."""
+    c, n, r = (t(spark, sf, x) for x in ("customer", "nation", "region"))
+    tag = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    tree = r.select(F.concat(F.lit("t"), F.col("r_regionkey").cast("string")).alias("slug"), F.col("r_name").alias("label"), F.lit(None).cast("string").alias("theme"), F.col("r_regionkey").alias("place"))
+    tree = tree.unionByName(n.select(tag(F.col("n_nationkey")).alias("slug"), F.col("n_name").alias("label"), F.concat(F.lit("t"), F.col("n_regionkey").cast("string")).alias("theme"), F.col("n_nationkey").alias("place")))
+    up = F.broadcast(n.select(F.col("n_nationkey").alias("k"), F.concat(F.lit("t"), F.col("n_regionkey").cast("string")).alias("theme")))  # 25 nations
+    each = c.select("c_custkey", "c_mktsegment", F.explode(F.array(F.col("c_nationkey"), (F.col("c_custkey") % 25).cast("int"))).alias("k")).join(up, "k")
+    own = each.groupBy("c_custkey", "c_mktsegment").agg(F.collect_list(F.struct(tag(F.col("k")).alias("slug"), "theme")).alias("topics"))
+    whole = F.concat(F.lit("t"), (F.col("c_custkey") % 5).cast("string"))
+    own = own.withColumn("topics", F.when(F.col("c_custkey") % 9 == 0, F.concat("topics", F.array(F.struct(whole.alias("slug"), whole.alias("theme"))))).otherwise(F.col("topics")))
+    own = own.withColumn("kind", F.lower("c_mktsegment"))
+    return matrix.subject_grid(own, "topics", "kind", ["building", "machinery"], tree).drop("label", "level")
+
+
+@query("""SELECT CASE WHEN a = b THEN '#' || a ELSE '#' || a || '–#' || b END AS segment FROM (SELECT prev + 1 AS a, id - 1 AS b FROM (SELECT id, lag(id) OVER (ORDER BY id) AS prev FROM (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_totalprice > 400000)) WHERE id > prev + 1)""")
+def gap_segments(spark, sf):
+    gaps = enrich.id_runs(t(spark, sf, "orders").where("o_totalprice > 400000"), "o_custkey")[0]
+    return gaps.select(enrich.segment(F.col("first_missing"), F.col("last_missing")).alias("segment"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderpriority AS licence FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) WHERE k = 1")
+def last_lines(spark, sf):
+    """Orders written as lines in the order of their dates and read again: of each customer the last line counts."""
+    path = scratch_dir(spark)
+    rows = t(spark, sf, "orders").select("o_custkey", "o_orderkey", F.col("o_orderpriority").alias("licence"), F.col("o_orderdate").cast("string").alias("day"))
+    ndjson.write(rows, path, ["day", "o_orderkey"])
+    back = ndjson.read(spark, path, "o_custkey long, o_orderkey long, licence string, day string", at="at")
+    return ndjson.last_of_file(back, ["o_custkey"], "at").drop("day")
+
+
+@query("""SELECT CASE k WHEN 0 THEN 'does not fit' WHEN 1 THEN 'no JSON' ELSE 'unknown fields: more, odd' END AS fault, count(*)::BIGINT AS n FROM (SELECT CASE WHEN c_custkey % 7 = 0 THEN 2 WHEN c_custkey % 5 = 0 THEN 1 WHEN c_custkey % 11 = 0 THEN 0 END AS k FROM customer) WHERE k IS NOT NULL GROUP BY k""")
+def refused_lines(spark, sf):
+    path, key = scratch_dir(spark), F.col("c_custkey")
+    line = F.when(key % 7 == 0, F.concat(F.lit('{"odd": 1, "k": '), key.cast("string"), F.lit(', "more": null}'))).when(key % 5 == 0, F.lit('{"k": ')).when(key % 11 == 0, F.lit('{"k": "many"}')).otherwise(F.concat(F.lit('{"k": '), key.cast("string"), F.lit("}\n")))
+    t(spark, sf, "customer").select(line.alias("value")).write.text(path)
+    return ndjson.faults(spark, path, "k long, v string").groupBy("fault").agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT (SELECT count(*) FROM orders) AS o, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS l, (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS p, (SELECT count(DISTINCT o_custkey) FROM orders) AS k)
+SELECT v.check_name, v.a || ' <> ' || v.b AS violation_key FROM c, LATERAL (VALUES ('orders', o, l), ('orders again', o, o), ('customers', p, k)) v(check_name, a, b) WHERE v.a <> v.b""")
+def model_drift(spark, sf):
+    """Counts of three models, taken while each is written, held against each other."""
+    o, li, c = (t(spark, sf, n) for n in ("orders", "lineitem", "customer"))
+    models = {
+        "orders": (o, {"n": F.count(F.lit(1)), "again": F.count_if(F.col("o_orderkey").isNotNull())}),
+        "lines": (li.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q")), {"n": F.count(F.lit(1))}),
+        "customers": (c.join(o.select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("used", F.lit(True)), "c_custkey", "left"), {"n": F.count_if(F.col("c_acctbal") > 0), "used": F.count_if(F.col("used"))}),
+    }
+    seen = {}
+    for name, (df, metrics) in models.items():
+        seen[name], watched = checks.observed(df, metrics)
+        settle(watched)
+    n = {name: s.get for name, s in seen.items()}
+    return checks.drift(spark, [("orders", n["orders"]["n"], n["lines"]["n"]), ("orders again", n["orders"]["n"], n["orders"]["again"]), ("customers", n["customers"]["n"], n["customers"]["used"])])

@@ -168,7 +168,7 @@ def list_items(docs: DataFrame, key: str, text: str) -> DataFrame:
     item = F.regexp_replace("line", mark, "")
     d = d.where(F.col("section").isNotNull() & ~F.col("code") & F.col("line").rlike(mark)).withColumn("url", _link(item, 2)).where("url IS NOT NULL")
     title, full = T.plain_text(_link(item, 1)), T.plain_text(item)
-    note = F.when(F.startswith(full, title), F.trim(F.regexp_replace(F.substring(full, F.length(title) + 1, F.lit(1_000_000)), r"^[\s—–-]+", ""))).otherwise("")
+    note = F.when(F.startswith(full, title), F.trim(F.regexp_replace(F.substring(full, F.length(title) + 1, F.length(full)), r"^[\s—–-]+", ""))).otherwise("")
     return d.select(key, "ordinal", "section", title.alias("title"), "url", note.alias("note"), T.media_kind(F.col("url")).alias("kind"))
 
 
