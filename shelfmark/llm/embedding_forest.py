@@ -262,8 +262,9 @@ def deepen(classes: DataFrame, forests: dict[int, Forest], leaf: int, threshold:
         schema = pa.schema([("dim", pa.int32()), ("code", pa.int32()), ("pick", pa.list_(pa.int32())), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64()))])
         return pa.table(columns, schema).slice(0, 1 if split else 0)
 
-    place = F.pmod(F.xxhash64(F.lit(SEED + 1), "rep"), F.lit(1_000_003)) / 1_000_003
-    some = classes.select("embedding", place.alias("place")).mapInArrow(crowded, "dim int, code int, embedding array<float>")
+    place = F.pmod(F.xxhash64(F.lit(SEED + 1), "embedding"), F.lit(1_000_003)) / 1_000_003
+    numbers = classes.schema["embedding"].dataType.simpleString()
+    some = classes.select("embedding", place.alias("place")).mapInArrow(crowded, f"dim int, code int, embedding {numbers}")
     trees = some.groupBy("dim", "code").applyInArrow(tree, "dim int, code int, pick array<int>, low array<double>, high array<double>").toArrow()
     dims = trees["dim"].to_numpy()
     for d in np.unique(dims).tolist():
@@ -273,18 +274,21 @@ def deepen(classes: DataFrame, forests: dict[int, Forest], leaf: int, threshold:
 
 def dedup(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, tile: int = TILE, leaf: int = LEAF) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row."""
-    spark, kind = vectors.sparkSession, vectors.schema[key].dataType.simpleString()
-    v = vectors.select(vectors[key].alias("vec_id"), vectors[embedding].cast("array<float>").alias("embedding"))
+    spark = vectors.sparkSession
+    numbers = "array<float>" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "array<double>"
+    v = vectors.select(vectors[key].alias("vec_id"), vectors[embedding].cast(numbers).alias("embedding"))
     finite = lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf"))
     usable = F.coalesce(F.forall("embedding", finite) & F.exists("embedding", lambda e: e != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     good = v.where(usable)
-    classes = settle(good.groupBy("embedding").agg(F.min("vec_id").cast("long").alias("rep"), F.count("*").alias("weight")))
+    # Equal vectors are one class with a number of its own, since an id may stand for several vectors.
+    classes = good.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    classes = settle(classes.withColumn("rep", F.monotonically_increasing_id()))
     # A row for each length of vector; a length of up to LEAF vectors has one leaf and needs no forest.
     lengths = classes.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).where(F.col("n") > leaf)
     n = {r["dim"]: r["n"] for r in lengths.collect()}
     share = F.least(F.lit(1.0), F.lit(SAMPLE / max(1, len(n))) / F.col("n"))
-    some = classes.select("rep", "embedding", F.size("embedding").alias("dim")).join(F.broadcast(lengths), "dim")
-    some = some.where(F.pmod(F.xxhash64(F.lit(SEED), "rep"), F.lit(1_000_003)) < F.lit(1_000_003) * share).select("embedding").limit(2 * SAMPLE).toArrow()
+    some = classes.select("embedding", F.size("embedding").alias("dim")).join(F.broadcast(lengths), "dim")
+    some = some.where(F.pmod(F.xxhash64(F.lit(SEED), "embedding"), F.lit(1_000_003)) < F.lit(1_000_003) * share).select("embedding").limit(2 * SAMPLE).toArrow()
     lists = some["embedding"].combine_chunks()
     lens = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, dtype=np.int64)
     forests = {int(d): Forest(matrix(lists.filter(pa.array(lens == d))), n[d], leaf=leaf, threshold=threshold) for d in np.unique(lens)}
@@ -302,7 +306,7 @@ def dedup(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding",
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per)), pa.int32()), pa.array(code, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["embedding", "rep", "weight", "codes"])
 
-    placed = settle(classes.mapInArrow(codes, "embedding array<float>, rep long, weight long, codes array<int>"))
+    placed = settle(classes.select("embedding", "rep", "weight").mapInArrow(codes, f"embedding {numbers}, rep long, weight long, codes array<int>"))
     placed = placed.withColumn("dim", F.size("embedding"))
     # Rows for leaves of several tiles only; at most as many as the forests have leaves.
     sizes = placed.select("dim", F.explode("codes").alias("code")).groupBy("dim", "code").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).where("tiles > 1")
@@ -312,9 +316,11 @@ def dedup(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding",
     found = settle(each.groupBy("dim", "code", "i", "j").applyInArrow(lambda g: linked_in_leaf(g, threshold), "rep long, links long, label long"))
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = connected_components(found.select("rep", "label"), "rep", "label")
-    fate = classes.join(sums, "rep", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-    fate = fate.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = good.join(fate, "embedding").select("vec_id", "n_links", F.col("component_id").cast(kind).alias("component_id"))
+    comp = settle(comp.withColumnRenamed("id", "rep").join(classes.select("rep", "least"), "rep"))
+    named = comp.groupBy("component").agg(F.min("least").alias("component_id"))
+    fate = classes.join(sums, "rep", "left").join(comp.select("rep", "component").join(named, "component"), "rep", "left")
+    fate = fate.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+    linked = good.join(fate, "embedding").select("vec_id", "n_links", "component_id")
     alone = v.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

@@ -64,3 +64,22 @@ def test_codes_in_common():
     a, b = np.arange(0, 40), np.arange(20, 60)
     want = np.array([[len(np.intersect1d(sets[i], sets[j])) > 0 for j in b] for i in a])
     assert (embedding_forest.in_common(owner, code, a, b, 60) == want).all()
+
+
+def test_repeated_ids_double_vectors_and_any_kind_of_id(spark):
+    rng = np.random.default_rng(15)
+    e, f = np.eye(6)[0], np.eye(6)[1]
+    edge = 0.9 * e + np.sqrt(1 - 0.9**2) * f
+    over, under = edge + 1e-9 * e, edge - 1e-9 * e  # cosines just above and below 0.9, alike as floats
+    rows = [("1", e), ("1", f), ("2", e), ("3", f), ("4", over), ("4", under), ("5", None), ("5", e * 0), ("x", -e)]
+    rows += [(str(rng.integers(0, 30)), rng.standard_normal(6)) for _ in range(60)]
+    df = spark.createDataFrame([(k, v if v is None else v.tolist(), 1.0, "w") for k, v in rows], "vec_id string, embedding array<double>, rep double, least string")
+    good = [v is not None and np.abs(v).sum() > 0 for _, v in rows]
+    unit = [v / np.linalg.norm(v) if g else np.zeros(6) for (_, v), g in zip(rows, good)]
+    linked = np.array([[i != j and good[i] and good[j] and unit[i] @ unit[j] >= 0.9 for j in range(len(rows))] for i in range(len(rows))])
+    least = [k for k, _ in rows]
+    for _ in rows:
+        least = [min([least[i], *(least[j] for j in np.flatnonzero(linked[i]))]) for i in range(len(rows))]
+    want = sorted((k, int(linked[i].sum()), least[i], k == least[i]) for i, (k, _) in enumerate(rows))
+    assert sorted(map(tuple, embedding_forest.dedup(df).collect())) == want
+    assert linked[4, 0] and not linked[5, 0]
