@@ -35,6 +35,9 @@ WHOLE_WORDS = ("gem", "ige")
 PARTICLES = ("de", "del", "della", "der", "den", "da", "das", "dos", "van", "von", "di", "du", "la", "le", "el", "bin", "ibn", "ten", "ter", "af", "av", "zu")
 #: Item ids: fixed value.
 ITEM_ID = r"^(?:paper:[1-9][0-9]{0,6}|(?:sw|db|ds):[a-z0-9][a-z0-9-]{0,119})$"
+#: Characters that are not seen, those that a query carries as they are, and the longest DOI: fixed values.
+INVISIBLE, UNRESERVED = r"[\x00-\x1F\x7F-\x{9F}\x{200B}-\x{200F}\x{FEFF}]", r"[A-Za-z0-9_.!~*'()-]"
+DOI_LENGTH, DOI_ENCODED = 200, 600
 #: Lower bounds of the citation bands, highest first.
 BANDS = ((1000, "1000plus"), (100, "100to999"), (10, "10to99"))
 
@@ -68,7 +71,15 @@ def doi_key(c: Column) -> Column:
 
 
 def is_doi(c: Column) -> Column:
-    return c.rlike(r"^10\.[0-9]{4,9}/[^\s?#]+$")
+    """Whether a DOI, once bare, has the shape of one and is no longer than ``DOI_LENGTH`` characters and ``DOI_ENCODED`` encoded ones; false for null."""
+    x = doi_key(c)
+    return F.coalesce(x.rlike(r"^10\.[0-9]{4,9}/[^\s?#]+$") & ~x.rlike(INVISIBLE) & (F.length(x) <= DOI_LENGTH) & (encoded_length(x) <= DOI_ENCODED), F.lit(False))
+
+
+def encoded_length(c: Column) -> Column:
+    """How many characters a text has when it is percent-encoded for a query: three for each byte of what is not unreserved."""
+    plain = F.regexp_replace(c, UNRESERVED, "")
+    return F.length(c) - F.length(plain) + 3 * F.octet_length(plain)
 
 
 def last_segment(c: Column) -> Column:
@@ -221,8 +232,7 @@ def area_of(title: Column) -> Column:
 
 def without_volume(c: Column) -> Column:
     """A journal's name without the volume and punctuation that close it."""
-    x = F.regexp_replace(F.regexp_replace(F.trim(c), r"[.,\s]+$", ""), r",\s*\d+$", "")
-    return F.regexp_replace(x, r"[.,\s]+$", "")
+    return F.regexp_replace(F.trim(c), r"[.,\s]*(?:,\s*\d+[.,\s]*)?$", "")
 
 
 def works_url(dois: Column, base: str) -> Column:
@@ -231,10 +241,34 @@ def works_url(dois: Column, base: str) -> Column:
     return F.when(F.size(dois) > 0, F.concat(F.lit(base), F.array_join(encoded, "|"))).otherwise(F.lit(""))
 
 
-def one_line(c: Column, limit: int = 400) -> Column:
-    """A note in one line of at most ``limit`` characters: control characters and runs of blanks become a space."""
-    x = F.regexp_replace(F.regexp_replace(c, r"[\p{Cc}\p{Cf}]", " "), r"\s+", " ")
-    return F.left(F.trim(x), F.lit(limit))
+def one_line(c: Column, limit: int = 400, encoded: int = 1400) -> Column:
+    """A note in one line of at most ``limit`` characters and ``encoded`` percent-encoded ones: invisible characters and runs of blanks become a space; what is too long ends before the first character that does not fit."""
+    x = F.left(F.trim(F.regexp_replace(F.regexp_replace(c, INVISIBLE, " "), r"\s+", " ")), F.lit(limit))
+    start = F.struct(F.lit("").alias("kept"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("open"))
+
+    def add(done: Column, ch: Column) -> Column:
+        n = done["n"] + encoded_length(ch)
+        fits = done["open"] & (n <= encoded)
+        return F.struct(F.when(fits, F.concat(done["kept"], ch)).otherwise(done["kept"]).alias("kept"), n.cast("long").alias("n"), fits.alias("open"))
+
+    return F.when(encoded_length(x) <= encoded, x).otherwise(F.aggregate(F.split(x, ""), start, add, lambda done: done["kept"]))
+
+
+def outbound(url: Column, site: str, drop: tuple[str, ...] = ()) -> Column:
+    """struct(url, domain, kind) of a link that leaves ``site`` (scheme and host): the address without its fragment and without the parameters ``drop``, its domain in lower case without ``www.``, and doi, repo or external. Null for relative
+    links, for other schemes than http and https, and for links to the site itself. Host and scheme are in lower case, default ports are dropped, and an address without a path gets ``/``; the rest is as written."""
+    x = F.trim(url)
+    x = F.when(F.startswith(x, F.lit("//")), F.concat(F.lit(site.split(":", 1)[0] + ":"), x)).otherwise(x)
+    part = lambda i: F.regexp_extract(x, r"(?i)^(https?)://(?:[^/?#@]*@)?([^/?#:@]+)(:\d*)?([^?#]*)(\?[^#]*)?", i)
+    scheme, host, port, path, query = F.lower(part(1)), F.lower(part(2)), part(3), part(4), part(5)
+    port = F.when(port.isin(":", "") | (scheme == "http") & (port == ":80") | (scheme == "https") & (port == ":443"), "").otherwise(port)
+    kept = F.filter(F.split(F.substring(query, F.lit(2), F.length(query)), "&"), lambda p: ~F.substring_index(p, "=", 1).isin(list(drop)))
+    kept = F.array_join(kept, "&") if drop else F.substring(query, F.lit(2), F.length(query))
+    origin = F.concat(scheme, F.lit("://"), host, port)
+    whole = F.concat(origin, F.when(path == "", "/").otherwise(path), F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
+    domain = F.regexp_replace(host, r"^www\.", "")
+    kind = F.when(domain.isin("doi.org", "dx.doi.org"), "doi").when(domain.isin("github.com", "gitlab.com", "bitbucket.org"), "repo").otherwise("external")
+    return F.when((host != "") & (origin != site.lower().rstrip("/")), F.struct(whole.alias("url"), domain.alias("domain"), kind.alias("kind")))
 
 
 def plain_text(cell: Column) -> Column:
@@ -250,14 +284,11 @@ def string_list(c: Column) -> Column:
 
 def ip_key(c: Column) -> Column:
     """The limiter's key: an address without colons whole, else its first four groups, ``::`` filled with zeros; with more than one ``::`` whole; ``unknown`` for none."""
-    halves = F.split(c, "::")
-    none = F.array().cast("array<string>")
-    side = lambda i: F.when(F.coalesce(F.get(halves, F.lit(i)), F.lit("")) == "", none).otherwise(F.split(F.get(halves, F.lit(i)), ":"))
-    left, right = side(0), F.when(F.size(halves) == 2, side(1)).otherwise(none)
-    zeros = F.when(F.size(halves) == 2, F.array_repeat(F.lit("0"), F.greatest(8 - F.size(left) - F.size(right), F.lit(0)))).otherwise(none)
-    bare = lambda x: F.lower(F.when(F.ltrim(x, F.lit("0")) == "", "0").otherwise(F.ltrim(x, F.lit("0"))))
-    prefix = F.array_join(F.transform(F.slice(F.concat(left, zeros, right), 1, 4), bare), ":")
-    return F.when(F.coalesce(c, F.lit("")) == "", "unknown").when(~F.contains(c, F.lit(":")), c).when(F.size(halves) > 2, F.lower(c)).otherwise(prefix)
+    groups = F.size(F.filter(F.split(c, ":"), lambda g: g != ""))
+    padded = F.replace(c, F.lit("::"), F.concat(F.lit(":"), F.repeat(F.lit("0:"), F.greatest(8 - groups, F.lit(0)))))
+    whole = F.when(c.contains("::"), F.btrim(padded, F.lit(":"))).otherwise(c)
+    bare = F.transform(F.slice(F.split(F.lower(whole), ":"), 1, 4), lambda g: F.regexp_replace(F.lpad(g, F.greatest(F.length(g), F.lit(1)), "0"), "^0+(?=.)", ""))
+    return F.when(F.coalesce(c, F.lit("")) == "", "unknown").when(~c.contains(":"), c).when(F.size(F.split(c, "::")) > 2, F.lower(c)).otherwise(F.array_join(bare, ":"))
 
 
 def contains_text(fields: list[Column], needle: str) -> Column:
@@ -280,25 +311,10 @@ def commit_subject(c: Column) -> Column:
         kind = F.when(scope == name, k).otherwise(kind)
     rest = F.trim(F.regexp_extract(c, line, 2))
     title = F.trim(F.regexp_replace(F.regexp_extract(rest, rf"(?is)^(?:{'|'.join(ADDITIONS)})(?!\w)(.*)$", 1), r"\s*\(#\d+\)\s*$", ""))
-    title = F.concat(F.upper(F.substring(title, 1, 1)), F.substring(title, 2, 1_000_000))
+    title = F.concat(F.upper(F.substring(title, 1, 1)), F.substring(title, F.lit(2), F.length(title)))
     return F.when(kind.isNotNull() & (title != ""), F.struct(kind.alias("kind"), title.alias("title"), area_of(title).alias("area")))
 
 
-def apa_parts(c: Column) -> Column:
-    """struct(authors, year, title, doi) of a reference line without emphasis; parts that aren't there are null."""
-    doi = doi_key(F.nullif(F.regexp_extract(c, r"(https?://(?:dx\.)?doi\.org/\S+)", 1), F.lit("")))
-    head = F.regexp_replace(c, r"https?://\S+.*$", "")
-    year = F.regexp_extract(head, r"\(([0-9]{4})[a-z]?(?:,[^)]*)?\)", 1).try_cast("int")
-    title = F.nullif(F.trim(F.regexp_extract(head, r"\([0-9]{4}[^)]*\)\.\s*([^.?!]+[?!]?)", 1)), F.lit(""))
-    authors = F.nullif(F.trim(F.regexp_extract(head, r"^(.*?)\s*\([0-9]{4}", 1)), F.lit(""))
-    return F.struct(authors.alias("authors"), year.alias("year"), title.alias("title"), doi.alias("doi"))
-
-
-def apa_authors(c: Column) -> Column:
-    """``Surname, I.`` entries of an author list, in order."""
-    return F.regexp_extract_all(c, F.lit(r"(\p{Lu}[\p{L}'’ -]*,(?:\s*\p{Lu}\.[- ]?)+)"), F.lit(1))
-
-
 def author_list(c: Column) -> Column:
     """struct(authors, dropped) of the text before a reference's year.
 
@@ -343,7 +359,7 @@ def reference_fields(c: Column) -> Column:
     dated = head.rlike(parts)
     # The line is split at the year of its head, so that figures in an address are none.
     before = F.regexp_extract(head, parts, 1)
-    tail = F.regexp_replace(F.trim(F.substring(line, F.length(before) + F.length(F.regexp_extract(head, r"\(\d{4}[a-z]?\)", 0)) + 1, F.lit(1_000_000))), r"^[.\s]+", "")
+    tail = F.regexp_replace(F.trim(F.substring(line, F.length(before) + F.length(F.regexp_extract(head, r"\(\d{4}[a-z]?\)", 0)) + 1, F.length(line))), r"^[.\s]+", "")
     emphasis = r"(?s)^(.*?)\*([^*]+)\*(.*)$"
     lead, mid, rest = (F.regexp_extract(tail, emphasis, i) for i in (1, 2, 3))
     titled = F.trim(lead).isin("", ".")
@@ -363,9 +379,9 @@ def reference_fields(c: Column) -> Column:
     )
 
 
-def routed_link(url: Column, source: str, pages: list[str], base: str, fallback: str) -> Column:
-    """A relative link to a Markdown file as the address of its page (a folder's is its README), or of the file itself under ``fallback`` if it has no page; others stay as they are."""
-    folder = source.rsplit("/", 1)[0] if "/" in source else ""
+def link_parts(url: Column, source: Column) -> Column:
+    """struct(stays, whole, page, anchor) of a link in the file ``source``: whether it stays as it is (addresses with a scheme, anchors, files other than Markdown), else the file it leads to (a folder's is its README), that without ``.md``, and the anchor."""
+    folder = F.when(F.instr(source, "/") > 0, F.regexp_replace(source, "/[^/]*$", "")).otherwise("")
     path, anchor = F.substring_index(url, "#", 1), F.regexp_extract(url, "(#.*)$", 1)
     path = F.when(F.endswith(path, F.lit("/")), F.concat(path, F.lit("README.md"))).otherwise(path)
 
@@ -373,11 +389,9 @@ def routed_link(url: Column, source: str, pages: list[str], base: str, fallback:
         up = F.when((F.size(done) > 0) & (F.element_at(done, -1) != ".."), F.slice(done, 1, F.size(done) - 1)).otherwise(F.concat(done, F.array(F.lit(".."))))
         return F.when(part.isin("", "."), done).when(part == "..", F.when(F.size(done) > 0, up).otherwise(F.array(F.lit("..")))).otherwise(F.concat(done, F.array(part)))
 
-    whole = F.array_join(F.aggregate(F.split(F.concat_ws("/", F.lit(folder), path), "/"), F.array().cast("array<string>"), walk), "/")
-    page = F.regexp_replace(whole, r"(?i)\.md$", "")
-    to = F.when(page.isin(pages), F.concat(F.lit(base.rstrip("/") + "/"), page, F.lit("/"))).otherwise(F.concat(F.lit(fallback + "/"), whole, anchor))
+    whole = F.array_join(F.aggregate(F.split(F.concat_ws("/", folder, path), "/"), F.array().cast("array<string>"), walk), "/")
     stays = url.rlike(r"(?i)^(?:[a-z]+:|#|//)") | ~path.rlike(r"(?i)\.md$")
-    return F.when(stays, url).otherwise(to)
+    return F.struct(stays.alias("stays"), whole.alias("whole"), F.regexp_replace(whole, r"(?i)\.md$", "").alias("page"), anchor.alias("anchor"))
 
 
 def first_rule(c: Column, rules: dict[str, str], fallback: str) -> Column:

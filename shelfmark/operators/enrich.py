@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import doi_key, licence_tier, slugify
+from shelfmark.functions.text import doi_key, licence_tier, link_parts, slugify
 from shelfmark.session import settle
 
 
@@ -148,6 +148,23 @@ def id_runs(ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return gaps, at.select("first_id", "last_id")
 
 
+def routed(rows: DataFrame, url: str, source: str, pages: DataFrame, base: str, fallback: str, name: str = "link") -> DataFrame:
+    """``rows`` with the address of each relative link to a Markdown file: that of its page, if the table ``pages`` (one column) has it, else of the file itself under ``fallback``; other links stay as they are."""
+    d = rows.withColumn("_p", F.explode(F.array(link_parts(F.col(url), F.col(source)))))
+    known = pages.toDF("_page").dropna().distinct().withColumn("_known", F.lit(True))
+    d = d.join(known, (F.col("_p.page") == F.col("_page")) & ~F.col("_p.stays"), "left")
+    own = F.concat(F.lit(base.rstrip("/") + "/"), F.col("_p.page"), F.lit("/"))
+    to = F.when(F.col("_p.stays") | F.col(url).isNull(), F.col(url)).when(F.col("_known"), own).otherwise(F.concat(F.lit(fallback + "/"), F.col("_p.whole"), F.col("_p.anchor")))
+    return d.select(*rows.columns, to.alias(name))
+
+
+def by_doi(rows: DataFrame, doi: str, works: DataFrame) -> DataFrame:
+    """``rows`` with the columns of the work of the same DOI, both normalised; of works of one DOI the smallest by its columns counts, a row without a DOI has none."""
+    rest = [c for c in works.columns if c != "doi"]
+    known = works.select(doi_key(F.col("doi")).alias("_d"), F.struct(*rest).alias("_w")).where("_d IS NOT NULL").groupBy("_d").agg(F.min("_w").alias("_w"))
+    return rows.withColumn("_k", doi_key(F.col(doi))).join(known, F.col("_k") == F.col("_d"), "left").select(*rows.columns, "_w.*")
+
+
 def segment(first: Column, last: Column) -> Column:
     """``#5`` for one number, ``#5–#9`` for several."""
     return F.concat(F.lit("#"), first.cast("string"), F.when(first == last, F.lit("")).otherwise(F.concat(F.lit("–#"), last.cast("string"))))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as T
-from shelfmark.operators import checks, graph
+from shelfmark.operators import checks, enrich, graph
 from shelfmark.plans.catalog import facets, query, t
 from shelfmark.sources import catalogue, markdown
 
@@ -106,17 +106,17 @@ WORD = "'### ' || p_name || ' ' || (p_partkey % 97) || chr(10) || 'First *line*'
 
 
 def vocabulary(spark, sf):
-    p = t(spark, sf, "part").where("p_size < 49")
+    p = t(spark, sf, "part")
     head = "CASE p_partkey % 4 WHEN 0 THEN '## Areas' WHEN 1 THEN '## Methods' WHEN 2 THEN '## Themes' ELSE '## Prose' END || chr(10) || "
     return catalogue.definitions(pages(p, "p_partkey", F.expr(head + WORD)), "page", "text", {"Areas": "area", "Methods": "method", "Themes": "theme"})
 
 
-@query("SELECT floor(p_partkey / 100)::BIGINT AS page, CASE p_partkey % 4 WHEN 0 THEN 'area' WHEN 1 THEN 'method' ELSE 'theme' END AS axis, p_name || ' ' || (p_partkey % 97) AS label, 'First line of ' || p_partkey || '. Last.' AS definition FROM part WHERE p_size < 49 AND p_partkey % 4 < 3")
+@query("SELECT floor(p_partkey / 100)::BIGINT AS page, CASE p_partkey % 4 WHEN 0 THEN 'area' WHEN 1 THEN 'method' ELSE 'theme' END AS axis, p_name || ' ' || (p_partkey % 97) AS label, 'First line of ' || p_partkey || '. Last.' AS definition FROM part WHERE p_partkey % 4 < 3")
 def axis_definitions(spark, sf):
     return vocabulary(spark, sf)[0]
 
 
-@query("""WITH d AS (SELECT floor(p_partkey / 100)::BIGINT AS page, p_partkey % 4 AS a, p_name || ' ' || (p_partkey % 97) AS label FROM part WHERE p_size < 49)
+@query("""WITH d AS (SELECT floor(p_partkey / 100)::BIGINT AS page, p_partkey % 4 AS a, p_name || ' ' || (p_partkey % 97) AS label FROM part)
 SELECT 'label twice' AS check_name, page || ':' || label AS violation_key FROM d WHERE a < 3 GROUP BY page, a, label HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'no axis', page || ':Prose' FROM d WHERE a = 3
 UNION ALL SELECT 'area and method', page || ':' || label FROM d WHERE a < 2 GROUP BY page, label HAVING count(DISTINCT a) > 1""")
 def axis_faults(spark, sf):
@@ -162,14 +162,16 @@ URL = "CASE event_id % 6 WHEN 0 THEN 'https://a' WHEN 1 THEN '../data/' || event
 @query(f"""SELECT event_id, CASE event_id % 6 WHEN 1 THEN CASE WHEN event_type = 'click' THEN '/b/data/click/' ELSE 'https://blob/data/' || event_type || '.md#x' END WHEN 2 THEN CASE WHEN event_type = 'view' THEN '/b/docs/view/README/' ELSE 'https://blob/docs/' || event_type || '/README.md' END
 WHEN 5 THEN 'https://blob/../up/z.MD' ELSE {URL} END AS link FROM events""")
 def routed_links(spark, sf):
-    return t(spark, sf, "events").select("event_id", T.routed_link(F.expr(URL), "docs/page.md", ["data/click", "docs/view/README"], "/b/", "https://blob").alias("link"))
+    e = t(spark, sf, "events").select("event_id", F.expr(URL).alias("url"), F.lit("docs/page.md").alias("source"))
+    known = spark.createDataFrame([("data/click",), ("docs/view/README",)], "page string")
+    return enrich.routed(e, "url", "source", known, "/b/", "https://blob").select("event_id", "link")
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY coalesce(y, 0) DESC, o_orderkey)::INT AS place FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN year(o_orderdate) END AS y FROM orders) ORDER BY place LIMIT 500")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY coalesce(y, 0) DESC, o_orderkey)::BIGINT AS place FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN year(o_orderdate) END AS y FROM orders)")
 def newest_years(spark, sf):
     y = F.coalesce(F.when(F.col("o_orderstatus") != "P", F.year("o_orderdate")), F.lit(0))
-    top = t(spark, sf, "orders").select("o_orderkey", y.alias("y")).orderBy(F.desc("y"), "o_orderkey").limit(500)
-    return top.select("o_orderkey", F.row_number().over(Window.orderBy(F.desc("y"), "o_orderkey")).alias("place"))
+    o = t(spark, sf, "orders").select("o_orderkey", y.alias("y"))
+    return enrich.places(o, [F.desc("y"), "o_orderkey"], "n").select("o_orderkey", (F.col("n") + 1).alias("place"))
 
 
 @query("""SELECT title, kind, ts FROM (SELECT 'T' || user_id AS title, event_type AS kind, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type <> 'error') WHERE k = 1 ORDER BY ts DESC, event_id DESC LIMIT 5""")
@@ -184,10 +186,10 @@ def newest_of_kind(spark, sf):
     return t(spark, sf, "events").groupBy(F.col("event_type").alias("kind")).agg(F.max("ts").alias("newest"))
 
 
-@query("SELECT p_partkey, row_number() OVER (ORDER BY lower(p_type), lower(p_brand), p_partkey)::INT AS place FROM part ORDER BY place LIMIT 300")
+@query("SELECT p_partkey, row_number() OVER (ORDER BY lower(p_type), lower(p_brand), p_partkey)::BIGINT AS place FROM part")
 def collated_order(spark, sf):
     by = [F.collate("p_type", "UNICODE_CI"), F.collate("p_brand", "UNICODE_CI"), F.col("p_partkey")]
-    return t(spark, sf, "part").orderBy(*by).limit(300).select("p_partkey", F.row_number().over(Window.orderBy(*by)).alias("place"))
+    return enrich.places(t(spark, sf, "part").select("p_partkey", "p_type", "p_brand"), by, "n").select("p_partkey", (F.col("n") + 1).alias("place"))
 
 
 @query("""SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY coalesce(r, 99), p_type, p_partkey)::INT AS place FROM part LEFT JOIN (VALUES ('STANDARD', 0), ('ECONOMY', 1)) v(k, r) ON k = p_type""")

@@ -54,13 +54,6 @@ def test_rules(spark):
     assert one(spark, T.links_in, "see https://a.b/c, https://a.b/c and http://d.") == [["https://a.b/c", "http://d"]]
 
 
-def test_references(spark):
-    line = "Smith, J., & Doe, A. B. (2020). A title here. Journal, 3(1), 1-2. https://doi.org/10.1000/XyZ"
-    (p,) = one(spark, T.apa_parts, line)
-    assert (p.year, p.title, p.doi) == (2020, "A title here", "10.1000/xyz")
-    assert one(spark, T.apa_authors, p.authors) == [["Smith, J.", "Doe, A. B."]]
-
-
 def test_components_ignore_loops_and_nulls(spark):
     e = spark.createDataFrame([(1, 2), (3, 2), (5, 6), (7, 7), (None, 1), (9, 8), (8, 10), (10, 6)], "src long, dst long")
     got = {r["id"]: r["component"] for r in graph.connected_components(e).collect()}
