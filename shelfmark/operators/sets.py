@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,14 @@ def examples(rows: DataFrame, group: str, key: str, most: int) -> DataFrame:
     total = rows.groupBy(group).agg(F.count("*").alias("total"))
     few = rows.select(group, key).withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(key))).where(F.col("_k") <= most)
     return total.join(ordered_list(few, group, ["_k"], key, "examples"), group)
+
+
+def inverted(rows: DataFrame, tag: str, kind: str, key: str, kinds: Sequence[str]) -> DataFrame:
+    """Each tag with the sorted ids of each kind, an empty list where it has none; only tags that any row has. For lists too long for a row take ``rows`` themselves, sorted by tag, kind and id."""
+    lists = [F.array_sort(F.collect_list(F.when(F.col(kind) == k, F.col(key)))).alias(k) for k in kinds]
+    return rows.groupBy(tag).agg(*lists)
+
+
+def nested_size(lists: Column) -> Column:
+    """Members of a list of lists in all; null lists have none."""
+    return F.coalesce(F.aggregate(lists, F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.array_size(x), F.lit(0))), F.lit(0).cast("long"))

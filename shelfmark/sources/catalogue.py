@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from shelfmark.functions import text as T
+from shelfmark.session import settle
 from shelfmark.sources import markdown
 
 ANCHOR = r'^<a\s+id="(\d+)">'
@@ -140,6 +141,40 @@ def inventory_model(rows: DataFrame, tables: DataFrame, key: str, row_key: str)
     return model, r.where("_fault IS NOT NULL").select(F.col("_fault").alias("check_name"), F.col(row_key).cast("string").alias("violation_key"))
 
 
+def inventory_books(rows: DataFrame, tables: DataFrame, pages: DataFrame, topics: DataFrame, data: str = "Data") -> tuple[DataFrame, DataFrame]:
+    """``inventory_model`` of ``rows`` (``item_id, page, ordinal, cells, subseries``) in full: with the links of the cells, the sorted topics (``item_id, slug``), the ``rank`` of the page (``page, rank``; pages that have none go last, by
+    name) and the members of a series, each with the row that catalogues its accession.
+
+    An accession belongs to the first row that deposits it, by rank, page and place over all pages, so that a row added later changes nothing; accessions that no row deposits have a null id. ``subseries`` is a JSON list.
+    """
+    model, faults = inventory_model(rows, tables, "page", "item_id")
+    d = rows.drop("page").join(model, "item_id").join(pages, "page", "left")
+    claim = d.select(T.deposit_accession(F.col("item_id"), F.try_element_at("columns", F.lit(data))).alias("accession"), "item_id", F.struct(F.coalesce("rank", F.lit(2**31 - 1)).alias("r"), F.col("page").cast("string").alias("p"), "ordinal", "item_id").alias("_at"))
+    first = claim.groupBy("accession").agg(F.min_by("item_id", "_at").alias("_id"))
+    named = rows.select("item_id", F.posexplode(T.string_list(F.col("subseries"))).alias("_i", "accession")).join(first, "accession", "left")
+    found = named.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "accession", F.col("_id").alias("id")))), lambda x: F.struct(x["accession"].alias("accession"), x["id"].alias("id"))).alias("_members"))
+    own = topics.groupBy("item_id").agg(F.array_sort(F.collect_set("slug")).alias("topics"))
+    out = d.join(found, "item_id", "left").join(own, "item_id", "left")
+    members = F.coalesce("_members", F.array().cast("array<struct<accession:string,id:string>>"))
+    return out.select("item_id", "page", "rank", "ordinal", "name", "columns", T.links_in(F.array_join("cells", " ")).alias("links"), F.coalesce("topics", F.array().cast("array<string>")).alias("topics"), members.alias("subseries")), faults
+
+
+def matrix_table(cells: DataFrame, areas: DataFrame, methods: DataFrame) -> DataFrame:
+    """``place, line`` of a grid as a Markdown table: the header (areas ``key, header_md, ordinal``), its rule, and a line for each of the methods (``label, header_md, ordinal``) whose cells are the links of ``cells`` (``method, area_key, ref_id, label,
+    ordinal``) in their order; cells of other areas or methods are left out. ``place`` orders lines: 0, 1, and 2 and more by the methods' places. What meets in one row is one method's links."""
+    link = F.concat(F.lit("["), "label", F.lit("](#"), F.col("ref_id").cast("string"), F.lit(")"))
+    cell = cells.groupBy("method", "area_key").agg(F.array_join(F.array_sort(F.collect_list(F.struct("ordinal", link.alias("l"))))["l"], "<br>").alias("cell"))
+    row = cell.groupBy("method").agg(F.map_from_entries(F.collect_list(F.struct("area_key", "cell"))).alias("_cells"))
+    heads = areas.agg(F.array_sort(F.collect_list(F.struct("ordinal", "key", "header_md"))).alias("_heads"))  # one row, of a vocabulary
+    line = lambda parts: F.concat(F.lit("| "), F.array_join(parts, " | "), F.lit(" |"))
+    body = methods.join(row, methods["label"] == row["method"], "left").join(F.broadcast(heads))
+    filled = F.transform("_heads", lambda h: F.coalesce(F.try_element_at("_cells", h["key"]), F.lit("")))
+    lines = body.select((F.col("ordinal") + 2).cast("long").alias("place"), line(F.concat(F.array("header_md"), filled)).alias("line"))
+    top = heads.select(F.lit(0).cast("long").alias("place"), F.concat(F.lit("| | "), F.array_join("_heads.header_md", " | "), F.lit(" |")).alias("line"))
+    rule = heads.select(F.lit(1).cast("long").alias("place"), F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.size("_heads") + 1)).alias("line"))
+    return top.unionByName(rule).unionByName(lines)
+
+
 def definitions(docs: DataFrame, key: str, text: str, axes: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """``key, axis, label, definition`` of the third-level headings under the second-level ones that ``axes`` maps, paragraphs only, and the violations:
     a label twice in an axis, definitions under a heading that is no axis, and a label that ``area`` and ``method`` share."""
@@ -206,7 +241,7 @@ def read_cache(spark: SparkSession, path: str, schema: StructType | str) -> Data
     none = spark.createDataFrame([], schema)
     declared = StructType(none.schema.fields).add("_bad", "string")
     try:
-        rows = spark.read.schema(declared).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path).cache()
+        rows = settle(spark.read.schema(declared).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path))
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             return none
