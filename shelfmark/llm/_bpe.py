@@ -75,6 +75,13 @@ def starts_of(lens: np.ndarray) -> np.ndarray:
     return out
 
 
+def runs_of(*columns: np.ndarray) -> np.ndarray:
+    """Where the runs of rows begin that agree in all columns."""
+    if not len(columns[0]):
+        return np.zeros(0, dtype=np.int64)
+    return np.flatnonzero(np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in columns])))
+
+
 def take_runs(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Places start, start+1, ... of each run, one run after the other."""
     total = int(lens.sum())

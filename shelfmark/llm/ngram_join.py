@@ -11,7 +11,8 @@ documents share get no budget while other segments suffice. One-deletion neighbo
 document's segments can't sum to more than H without; a document that even so falls short is compared with its whole band. Any choice of budgets gives the same pairs in the end.
 Where single budgets go to C segments, C - H of them at least are equal in both sets, and pairs that agree in fewer are no candidates.
 
-Signatures travel packed, a row for each batch of documents and partition. Signature groups of up to ``SMALL`` sets give all their pairs; larger ones first give pairs with a few leaders
+Signatures travel packed, a row for each batch of documents and partition. Where there are more than ``FAN`` partitions, a batch sends a row to each of ``FAN`` coarse ones instead, and
+tasks of these deal them on, as much as ``RELAY`` bytes at once: up to FAN * FAN partitions, rows grow with the text and not with its square. Signature groups of up to ``SMALL`` sets give all their pairs; larger ones first give pairs with a few leaders
 only, and once these are verified and joined into components, just the pairs that cross components. The latter are compared in blocks of members by parity bitmaps: the bits in which
 two sets' bitmaps differ are no more than the elements in which the sets do, so that a pair with more than (n + n') / 7 of them has no link, and only the others become rows.
 Candidates are verified exactly on the whole sets; copies share one set and are represented once.
@@ -49,6 +50,8 @@ AT_ONCE = 5_000_000
 INDEX, ASK = 1, 2
 #: Elements of sets in a part of the signature exchange, so that its groups do not grow with the corpus.
 PART = 4_000_000
+#: Rows that a batch of signatures is dealt to at most in one step, and bytes of signatures that a task between two steps deals on at once; partitions for each such task.
+FAN, RELAY, RELAYED = 4096, 32_000_000, 8
 #: Bits of a set's parity bitmap are 2**MARK; members of a large group are compared by pairs of blocks of about BLOCK members; CELLS pairs are compared at once.
 MARK, BLOCK, CELLS = 11, 2048, 1 << 16
 
@@ -256,9 +259,54 @@ def merged_counters(surveyed: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
     return sketch.ravel(), {-1 - r["chunk"]: int(np.frombuffer(r["counters"], dtype="<i4")[0]) for r in rows if r["chunk"] < 0}
 
 
+SENT = "p int, salt int, places binary, keys binary, sizes binary, needs binary, counts binary, sigs binary"
+
+
+def parcels(to: np.ndarray, places: np.ndarray, keys: np.ndarray, sizes: np.ndarray, needs: np.ndarray, counts: np.ndarray, sigs: np.ndarray, salts: int = 1) -> pa.RecordBatch:
+    """A row for each run of equal ``to``: partition, key, size and need of its sets and their numbers of signatures, and these one after the other."""
+    cut, at = np.append(_bpe.runs_of(to), len(to)), np.append(0, np.cumsum(counts))
+    types = ("<i4", "<i8", "<i4", "<u1", "<i4")
+    columns = [x.astype(t) for x, t in zip((places, keys, sizes, needs, counts), types, strict=True)]
+    ends = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+    cols = [pa.array([x[a:b].tobytes() for a, b in ends], pa.binary()) for x in columns]
+    body = pa.array([sigs[at[a] : at[b]].tobytes() for a, b in ends], pa.binary())
+    salt = pa.array((keys[cut[:-1]].astype(np.int64) % salts).astype(np.int32)) if len(to) else pa.array([], pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(to[cut[:-1]].astype(np.int32)), salt, *cols, body], [c.split()[0] for c in SENT.split(", ")])
+
+
+def relay(rows: list[tuple]) -> pa.RecordBatch:
+    """The sets and signatures of rows ``places, keys, sizes, needs, counts, sigs``, dealt on to their partitions."""
+    types = ("<i4", "<i8", "<i4", "<u1", "<i4", "<u4")
+    places, keys, sizes, needs, counts, sigs = (np.frombuffer(b"".join(x), dtype=t) for x, t in zip(zip(*rows, strict=True), types, strict=True))
+    order = np.argsort(places, kind="stable")
+    own = _bpe.take_runs(_bpe.starts_of(counts)[order], counts[order])
+    return parcels(places[order], places[:0], keys[order], sizes[order], needs[order], counts[order], sigs[own])
+
+
+def relayed(sent: DataFrame, tasks: int) -> DataFrame:
+    """Rows of coarse partitions dealt on to their partitions; a coarse one's rows are spread over tasks by ``salt``."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in range(2, 8)), strict=True):
+                held.append(row)
+                size += sum(map(len, row))
+                if size >= RELAY:
+                    yield relay(held)
+                    held, size = [], 0
+        if held:
+            yield relay(held)
+
+    return sent.repartition(tasks, "p", "salt").mapInArrow(of, SENT)
+
+
 def packed(docs: DataFrame, sketch: np.ndarray, short: dict[int, int], parts: int) -> DataFrame:
     """Second pass: signatures of each batch by partition; 30 bits of a signature and its flags in four bytes."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.int32))
+    fan = min(parts, FAN)
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(least, parts // RELAYED)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, AT_ONCE):
@@ -272,18 +320,15 @@ def packed(docs: DataFrame, sketch: np.ndarray, short: dict[int, int], parts: in
             size = np.array([len(x) for x in sets], dtype=np.int32)
             doc, sig, flag, needs = signatures(sets, shared.value.astype(np.int64), short)
             p = (sig % U(parts)).astype(np.int64)
-            order = np.lexsort((doc, p))
+            order = np.lexsort((doc, p, p % fan))
             doc, p = doc[order], p[order]
             small = ((((sig[order] >> U(32)) << U(2)) & U(0xFFFFFFFC)) | flag[order].astype(np.uint64)).astype("<u4")
-            cut = np.append(np.flatnonzero(np.append(True, p[1:] != p[:-1])), len(p))
-            rows = []
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                own, n = np.unique(doc[a:b], return_counts=True)
-                rows.append((p[a], keys[own].astype("<i8").tobytes(), size[own].astype("<i4").tobytes(), needs[own].astype("<u1").tobytes(), n.astype("<i4").tobytes(), small[a:b].tobytes()))
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["p", "keys", "sizes", "needs", "counts", "sigs"])
-
-    return docs.mapInArrow(of, "p int, keys binary, sizes binary, needs binary, counts binary, sigs binary")
+            at = _bpe.runs_of(p, doc)
+            own, place = doc[at], p[at]
+            yield parcels(place % fan, place if parts > fan else place[:0], keys[own], size[own], needs[own], np.diff(np.append(at, len(p))), small, -(-tasks // fan))
+
+    sent = docs.mapInArrow(of, SENT)
+    return (relayed(sent, tasks) if parts > fan else sent).drop("places", "salt")
 
 
 def feasible(na, nb, fa, fb) -> np.ndarray:
