@@ -1,7 +1,8 @@
 """Byte-pair merging of many words at once, with the vocabularies of public tokenizer files.
 
-Texts are cut at blanks that always end a token, each distinct piece of an Arrow batch is merged once, and ids are gathered back to the texts. Pieces and texts whose cutting depends on more
-than plain character classes (apostrophes, runs of blanks, characters past U+022F, special tokens) go to the tokenizers library as they are.
+Texts are cut at blanks that always end a token, each distinct piece of an Arrow batch is merged once, and ids are gathered back to the texts. Pieces whose cutting depends on more than settled character classes go to the
+tokenizers library as they are: for byte-level vocabularies those with characters whose class is not the same in old and new Unicode databases and those that may hold a special token; for vocabularies with word ends also those with
+apostrophes or with characters past U+022F.
 """
 
 from __future__ import annotations
@@ -28,11 +29,62 @@ def _class(cp: int) -> int:
 CLASSES = np.array([_class(i) for i in range(SAFE)], dtype=np.int8)
 #: Words that plain classes do not settle, for either kind of vocabulary.
 ODD_WORD = r"'|<\||[^\x00-\x{22f}]|[\x1c-\x1f\x{85}\x{a0}\x{130}]"
-ODD_PIECE = r"'|<\||[^\x00-\x{22f}]|[\x0b-\x1f\x{85}\x{a0}]|\s\s|^[\t\n\f\r]|^ $|[\t\n\f\r]$| $"
-#: A blank after a space: then cutting at single spaces isn't safe.
+ODD_PIECE = r"<\||[\x1c-\x1f\x{180e}]"
+#: A blank after a space: then only spaces before something else are safe to cut at.
 ODD_TEXT = r" [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+#: Characters that byte-level vocabularies take for blanks: Unicode's White_Space.
+WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+#: The class of characters that are newer than Unicode 3.2 or have changed since: the library's database may differ from Python's.
+UNSETTLED, LAST = 4, 0x30000
+
+
+@lru_cache(maxsize=1)
+def settled_classes() -> np.ndarray:
+    """Classes by code point up to ``LAST``, which stands for all beyond."""
+    old, kinds = unicodedata.ucd_3_2_0.category, {"L": LETTER, "N": NUMBER}
+    out = np.full(LAST + 1, UNSETTLED, dtype=np.int8)
+    for cp in range(LAST):
+        c = chr(cp)
+        was, now = old(c), unicodedata.category(c)
+        if was not in ("Cn", "Cs") and kinds.get(was[0], OTHER) == kinds.get(now[0], OTHER):
+            out[cp] = kinds.get(now[0], OTHER)
+    out[list(WHITE)] = SPACE
+    return out
+
+
+def classes_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By byte the class of its character, and the place where that character begins."""
+    cp, begin = data.astype(np.int32), np.arange(len(data))
+    far = np.flatnonzero(data >= 0xC0)
+    if len(far):
+        d = np.append(data, np.zeros(3, dtype=np.uint8)).astype(np.int32)
+        a, b, c, e = d[far], d[far + 1] & 0x3F, d[far + 2] & 0x3F, d[far + 3] & 0x3F
+        cp[far] = np.where(a < 0xE0, (a & 0x1F) << 6 | b, np.where(a < 0xF0, (a & 0x0F) << 12 | b << 6 | c, (a & 0x07) << 18 | b << 12 | c << 6 | e))
+        begin = np.maximum.accumulate(np.where((data & 0xC0) == 0x80, 0, begin))
+    return settled_classes()[np.minimum(cp, LAST)][begin], begin
+
+
+def leading(data: np.ndarray, cls: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By byte of strings laid end to end: whether it begins one, whether it ends one, and whether it is a space right before something else than a blank."""
+    first, final, starts = np.zeros(len(data), dtype=bool), np.zeros(len(data), dtype=bool), starts_of(lens)
+    first[starts[lens > 0]] = True
+    final[(starts + lens - 1)[lens > 0]] = True
+    return first, final, (data == 0x20) & ~final & (np.append(cls[1:], SPACE) != SPACE)
+
+
+def spaced_pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Texts cut before every space that stands right before something else than a blank, and pieces by text. Runs of blanks stay with what is before them."""
+    data, lens = bytes_of(texts)
+    first, _, lead = leading(data, classes_of(data)[0], lens)
+    cut = first | lead
+    seen, starts = np.append(0, np.cumsum(cut)), starts_of(lens)
+    offsets = np.append(np.flatnonzero(cut), len(data)).astype(np.int64)
+    pieces = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes()))
+    return pieces, seen[starts + lens] - seen[starts]
+
+
 class PairTable:
     """Integers by pairs (a, b), b < 2**16, in open addressing that looks up whole arrays."""
 
@@ -123,7 +175,7 @@ class Vocabulary:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def tokens(self, data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols of the first byte level and their number by token, and tokens by word, of plain words laid end to end."""
+        """Symbols of the first byte level and their number by token, and tokens by word, of plain words laid end to end; for vocabularies with word ends."""
         n = len(data)
         cont = (data & 0xC0) == 0x80
         cp = data.astype(np.int32)
@@ -134,17 +186,34 @@ class Vocabulary:
         back = np.flatnonzero(cont)
         cls[back] = cls[back - 1]
         starts = starts_of(lens)
-        if not self.suffix:  # a leading space belongs to what follows it
-            lead = starts[(data[starts] == 0x20) & (lens > 1)]
-            cls[lead] = cls[lead + 1]
         cut = np.ones(n, dtype=bool)
-        cut[1:] = (cls[1:] != cls[:-1]) | (cls[1:] == SPACE)
-        if self.suffix:
-            cut[1:] |= cls[1:] == NUMBER
+        cut[1:] = (cls[1:] != cls[:-1]) | (cls[1:] == SPACE) | (cls[1:] == NUMBER)
         cut[back] = False
         cut[starts] = True
+        return self.symbols(data, cut, starts)
+
+    def byte_tokens(self, data: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for byte-level vocabularies and any settled strings: a token is a contraction, or characters of one class with a space before, or blanks; of blanks before something else the last is a token of its own."""
+        cls, begin = classes_of(data)
+        first, final, lead = leading(data, cls, lens)
+        after = np.append(cls[1:], SPACE)
+        own = np.where(lead, after, cls)
+        cut = first | lead
+        cut[1:] |= own[1:] != own[:-1]
+        cut[begin[(own == SPACE) & ~final & (after != SPACE)]] = True
+        # An apostrophe that begins a token may begin a contraction, which ends where it ends, whatever follows.
+        at = np.flatnonzero((data == 0x27) & cut & ~final)
+        a, b = data[at + 1], np.where(final[at + 1], 0, np.append(data, 0)[at + 2])
+        one = np.isin(a, np.frombuffer(b"stmd", dtype=np.uint8))
+        two = (np.isin(a, np.frombuffer(b"rv", dtype=np.uint8)) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l")))
+        cut[at[one | two] + 1] = False
+        ends = np.concatenate([at[one] + 2, at[two] + 3])
+        cut[ends[ends < len(data)]] = True
+        return self.symbols(data, cut, starts_of(lens))
+
+    def symbols(self, data: np.ndarray, cut: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.flatnonzero(cut)
-        sizes = np.diff(np.append(at, n))
+        sizes = np.diff(np.append(at, len(data)))
         sym = self.first[data]
         ends = at + sizes - 1
         sym[ends] = self.last[data[ends]]
@@ -196,6 +265,10 @@ class Vocabulary:
     def merge_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their number by word, of distinct strings; an empty word has none."""
         odd = pc.match_substring_regex(words, ODD_WORD if self.suffix else ODD_PIECE).to_numpy(zero_copy_only=False)
+        if not self.suffix:
+            far = np.flatnonzero(~odd & pc.match_substring_regex(words, r"[^\x00-\x{22f}]").to_numpy(zero_copy_only=False))
+            data, lens = bytes_of(words.take(pa.array(far)))
+            odd[np.unique(np.repeat(far, lens)[classes_of(data)[0] == UNSETTLED])] = True
         size = pc.binary_length(words).to_numpy().astype(np.int64)
         plain, strange = np.flatnonzero(~odd & (size > 0)), np.flatnonzero(odd)
         counts = np.zeros(len(words), dtype=np.int64)
@@ -203,7 +276,7 @@ class Vocabulary:
         if len(plain):
             own = words.take(pa.array(plain))
             data, lens = bytes_of(pc.utf8_lower(own) if self.suffix else own)
-            sym, sizes, per = self.tokens(data, lens)
+            sym, sizes, per = (self.tokens if self.suffix else self.byte_tokens)(data, lens)
             flat, got = self.merge(sym, sizes)
             counts[plain] = np.add.reduceat(got, starts_of(per))
         if len(strange):

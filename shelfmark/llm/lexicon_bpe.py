@@ -37,8 +37,24 @@ AT_ONCE = 8_000_000
 
 
 def pieces_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct pieces (all but a text's first with the space before them), each piece's number among them, and pieces by text."""
-    lists = pc.split_pattern(texts.cast(pa.large_string()), " ")
+    """Distinct pieces (all but a text's first with the space before them), each piece's number among them, and pieces by text. Texts with a blank after a space are cut where that is safe."""
+    texts = texts.cast(pa.large_string())
+    odd = pc.match_substring_regex(texts, _bpe.ODD_TEXT)
+    where = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+    if not len(where):
+        return single_spaced(texts)
+    words, codes, per = single_spaced(pc.if_else(odd, pa.scalar("", pa.large_string()), texts))
+    more, n = _bpe.spaced_pieces(texts.take(pa.array(where)))
+    both = pa.concat_arrays([words, more]).dictionary_encode()
+    at = np.concatenate([codes, len(words) + np.arange(len(more))])
+    src, out = _bpe.starts_of(per), per.astype(np.int64)
+    src[where], out[where] = len(codes) + _bpe.starts_of(n), n
+    return both.dictionary, both.indices.to_numpy().astype(np.int64)[at[_bpe.take_runs(src, out)]], out
+
+
+def single_spaced(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The same for texts in which no blank follows a space."""
+    lists = pc.split_pattern(texts, " ")
     per = np.diff(lists.offsets.to_numpy())
     codes = lists.flatten().dictionary_encode()
     plain, place = codes.dictionary, codes.indices.to_numpy().astype(np.int64)
@@ -200,10 +216,11 @@ def compile_from(docs: DataFrame, vocabulary: str, text: str = "text") -> Lexico
 
 def encode_texts(texts: pa.Array, lexicon: Lexicon, v: _bpe.Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts laid end to end, and their number by text."""
-    odd = pc.match_substring_regex(texts, _bpe.ODD_TEXT).to_numpy(zero_copy_only=False)
-    words, codes, per = pieces_of(pc.if_else(pa.array(odd), pa.scalar(""), texts))
+    # With runs of blanks around what may be a special token, the library reads the whole text.
+    odd = pc.and_(pc.match_substring_regex(texts, _bpe.ODD_TEXT), pc.match_substring_regex(texts, _bpe.ODD_PIECE))
+    words, codes, per = pieces_of(pc.if_else(odd, pa.scalar("", pa.large_string()), texts.cast(pa.large_string())))
     ids, lens = _bpe.gather(codes, per, *lexicon.encode(words, v))
-    where = np.flatnonzero(odd)
+    where = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
     # An empty text is one empty piece: no ids.
     return _bpe.replace_texts(ids, lens, where, v.by_library(texts.take(pa.array(where)).to_pylist()))
 
