@@ -277,6 +277,29 @@ def plain_text(cell: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"`|\*\*?|(?<![A-Za-z0-9])_|_(?![A-Za-z0-9])", ""), r"\\([\\`*_{}\[\]()#+.!|-])", "$1"))
 
 
+def inline_markdown(cell: Column) -> Column:
+    """A Markdown cell in one form: links and images without titles, emphasis and strong words by stars, struck ones by two tildes, code in single backticks, line breaks as spaces, escaped marks as they are meant.
+
+    Code spans are kept as written; marks inside words stay. A cell in this form that has no bare marks stays as it is.
+    """
+    forms = [
+        (r'\]\(\s*<?([^)\s>]*)>?(?:\s+"[^"]*")?\s*\)', "]($1)"), (r"(?<![\w\\])__(?=\S)(.+?)(?<=\S)__(?!\w)", "**$1**"), (r"(?<![\w\\])_(?=[^\s_])(.+?)(?<=[^\s_\\])_(?![\w])", "*$1*"),
+        (r"(?<![~\\])~(?=[^\s~])(.+?)(?<=[^\s~])~(?!~)", "~~$1~~"), (r"(?: {2,}|\\)\n", " "), (r"\\([!-/:-@\[-`{-~])", "$1"),
+    ]
+
+    def shown(part: Column) -> Column:
+        inner = F.regexp_extract(part, r"(?s)^`+(.*?)`+$", 1)
+        spaced = F.startswith(inner, F.lit(" ")) & F.endswith(inner, F.lit(" ")) & (F.trim(inner) != "")
+        bare = F.when(spaced, F.substring(inner, F.lit(2), F.length(inner) - 2)).otherwise(inner)
+        words = part
+        for pattern, form in forms:
+            words = F.regexp_replace(words, pattern, form)
+        return F.when(part.rlike(r"(?s)^`.+`$"), F.concat(F.lit("`"), bare, F.lit("`"))).otherwise(words)
+
+    parts = F.regexp_extract_all(cell, F.lit(r"(?s)(?<!`)(`+)(?!`).*?(?<!`)\1(?!`)|[^`]+|`+"), F.lit(0))
+    return F.when(cell == "", "").otherwise(F.array_join(F.transform(parts, shown), ""))
+
+
 def string_list(c: Column) -> Column:
     """A JSON array of strings; empty for null and for what is none."""
     return F.coalesce(F.from_json(c, "array<string>", {"mode": "PERMISSIVE"}), F.array().cast("array<string>"))

@@ -5,6 +5,10 @@ All scans take ``docs`` with a key and a text and never gather more than one doc
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -236,6 +240,49 @@ def json_rows(df: DataFrame, keys: list[str], pretty: bool = False) -> DataFrame
     return df.orderBy(*keys).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false", "pretty": str(pretty).lower()}).alias("value"))
 
 
+#: The parts of compact JSON: empty lists and objects, strings, marks, and all else.
+JSON_PART = re.compile(r'\{\}|\[\]|"(?:[^"\\]|\\.)*"|[\[\]{}:,]|[^\[\]{}:,"]+')
+
+
+def indented(value: str, depth: int = 0) -> str:
+    """Compact JSON with two spaces a level; numbers and strings stay as they are written."""
+    out = []
+    for part in JSON_PART.findall(value):
+        depth += (part in ("{", "[")) - (part in ("}", "]"))
+        line = "\n" + "  " * depth
+        out.append(line + part if part in ("}", "]") else part + line if part in ("{", "[", ",") else ": " if part == ":" else part)
+    return "".join(out)
+
+
+def write_pretty(df: DataFrame, folder: str, keys: list[str], files: int | None = None) -> None:
+    """Files that each hold one JSON array, indented by two spaces, nulls written; rows are in the order of the keys within files and from file to file. ``files`` fixes their number, else it follows the size of the rows.
+
+    Rows are written as they come, so that no file is held whole. A file without rows is an empty array; of a table without rows the file may be empty, which reads as no rows as well.
+    """
+    rows = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
+    compact = rows.sortWithinPartitions(*keys).select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            lines = [last] if last is not None else ["["]
+            for value in batch.column(0).to_pylist():
+                lines[-1] += "," if lines[-1] != "[" else ""
+                lines.append("  " + indented(value, 1))
+            last = lines.pop()
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        end = [last, "]"] if last not in (None, "[") else ["[]"]
+        yield pa.RecordBatch.from_arrays([pa.array(end, pa.string())], ["value"])
+
+    compact.mapInArrow(arrays, "value string").write.text(folder)
+
+
+def read_pretty(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
+    """The rows of files that each hold one JSON array; what does not fit the schema ends the job that reads it."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(folder)
+
+
 def read_cache(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A JSON file that may be missing: empty if it is absent or does not fit the schema."""
     none = spark.createDataFrame([], schema)
