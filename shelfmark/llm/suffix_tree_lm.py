@@ -9,7 +9,8 @@ Words, n-grams and states stay distributed. Every block of about ``BLOCK`` bytes
 with a number and the total of each word. Then, a level for each length of context, it sends its distinct pairs of a context and a next word to the part of the context; the part sums the counts, tests
 the contexts and answers with totals, with the numbers of those n-grams that are contexts of the next level, and with the successors of contexts that are states. At last a block scores its texts from all
 answers. A context with more than 1/4 of a part's mean share of the tokens is dealt over all parts by its next words; there are no more than four such contexts a part and level, and only their sums pass the driver.
-The number of parts follows the bytes of text, so that a part's size does not.
+The number of parts follows the bytes of text, so that a part's size does not. Up to ``FAN`` parts a block sends each a row; beyond that messages go in two steps, both ways: blocks are dealt to batches and parts to coarse
+parts, about the root of their number in each, a block sends a row to each coarse part, and a task for each batch and coarse part turns the rows of its blocks into rows of its parts, about one block's bytes at a time.
 
 Words are told apart by 64-bit hashes. Defined cases: a null text is empty: one end token; repeated rows are counted and scored each; a row whose training mark is null is held out, and so is a null id in the query;
 texts of any length are scored whole; with no training text every count is 0; other columns, whatever their names, don't matter; an empty table gives no rows.
@@ -17,7 +18,8 @@ texts of any length are scored whole; with no training text every count is 0; ot
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,6 +41,8 @@ END = 0x5EED0E4D
 ADD = 0.1
 #: Bytes of text in a block, and in a part.
 BLOCK, PART = 6_000_000, 6_000_000
+#: Parts up to which messages go in one step.
+FAN = 4_096
 #: Divergences are summed as whole numbers of this fraction of a nat, so that their order does not matter.
 GRAIN = 1 << 20
 U, LOW = np.uint64, 0xFFFFFFFF
@@ -115,6 +119,48 @@ def blocks(docs: DataFrame, parts: int) -> DataFrame:
     return docs.mapInArrow(of, f"block long, p int, body binary, ids array<{kind}>, train array<boolean>")
 
 
+@dataclass
+class Route:
+    """Messages in two steps: ``batches`` of blocks by hash, and ``coarse`` parts."""
+
+    batches: int
+    coarse: int
+
+    SENT = "batch long, c long, at long, keys array<long>, bodies array<binary>"
+
+    @classmethod
+    def between(cls, blocks: int, parts: int) -> Route:
+        coarse = math.isqrt(parts - 1) + 1
+        return cls(-(-max(blocks, parts) // coarse), coarse)
+
+    def batch(self, block: np.ndarray) -> np.ndarray:
+        return (mix(block) % U(self.batches)).astype(np.int64)
+
+    def rows(self, at: np.ndarray, keys: np.ndarray, bodies: pa.Array, by_block: bool) -> pa.Table:
+        """A row for each distinct block (or part) of ``at`` and coarse part (or batch) of ``keys`` with the keys and bodies there."""
+        other = keys % self.coarse if by_block else self.batch(keys)
+        order = np.lexsort((other, at))
+        at, other = at[order], other[order]
+        first = _bpe.runs_of(at, other)
+        cut = pa.array(np.append(first, len(order)), pa.int32())
+        at, other = at[first], other[first]
+        batch, c = (self.batch(at), other) if by_block else (other, at % self.coarse)
+        lists = [pa.ListArray.from_arrays(cut, x) for x in (pa.array(keys[order], pa.int64()), bodies.take(pa.array(order)))]
+        return pa.table([pa.array(batch), pa.array(c), pa.array(at), *lists], names=["batch", "c", "at", "keys", "bodies"])
+
+    def turned(self, group: pa.Table, by_block: bool) -> pa.Table:
+        """Rows of blocks with parts as keys as rows of parts with blocks as keys, or the other way; ``by_block``: how they come."""
+        at, keys, bodies = opened(group)
+        return self.rows(keys, at, bodies, not by_block)
+
+
+def opened(group: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """For each message its row's ``at``, its key and its body."""
+    keys, bodies = (group[c].combine_chunks() for c in ("keys", "bodies"))
+    n = pc.list_value_length(keys).to_numpy(zero_copy_only=False)
+    return np.repeat(group["at"].to_numpy(), n), keys.flatten().to_numpy(zero_copy_only=False), bodies.flatten()
+
+
 ANSWERS = "block long, level int, p int, body binary, context long, above long, types long, n long, term long"
 
 
@@ -254,7 +300,12 @@ class Texts:
     def __init__(self, left: pa.Table, right: pa.Table, rule: Rule):
         codes, self.lens = unpack(left["body"][0].as_py())
         by: dict[int, dict[int, bytes]] = {}
-        for k, p, body in zip(right["level"].to_pylist(), right["p"].to_pylist(), right["body"].to_pylist(), strict=True):
+        if "keys" in right.column_names:
+            at, p, bodies = opened(right.rename_columns({"level": "at"}))
+            messages = zip(at.tolist(), p.tolist(), bodies.to_pylist(), strict=True)
+        else:
+            messages = zip(right["level"].to_pylist(), right["p"].to_pylist(), right["body"].to_pylist(), strict=True)
+        for k, p, body in messages:
             by.setdefault(k, {})[p] = body
         words = [(p, *unpack(by[0][p])) for p in sorted(by[0])]
         ids, total = np.concatenate([np.cumsum(x) * rule.parts + p for p, x, _ in words]), np.concatenate([x for _, _, x in words])
@@ -287,24 +338,54 @@ class Texts:
         return c, np.log10(base), np.log10(prob)
 
 
-def score(docs: DataFrame, train: str | Column, key: str = "doc_id", text: str = "text", depth: int = DEPTH, min_count: int = MIN_COUNT, min_divergence: float = MIN_DIVERGENCE) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document; ``train``: those to learn from."""
+def exchange(asked: DataFrame, answer: Callable[[pa.Table], pa.Table], level: int, route: Route | None) -> tuple[DataFrame, DataFrame]:
+    """What the parts answer to the messages ``block, p, body`` (columns of ``ANSWERS``), and the part of it that goes back to blocks, as it reaches them: ``block, level, p, body``, or ``block, level, keys, bodies`` along a route."""
+    if route is None:
+        out = settle(asked.groupBy("p").applyInArrow(answer, ANSWERS))
+        return out, out.where("block IS NOT NULL").select("block", "level", "p", "body")
+
+    def packed(by_block: bool):
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                block, p = b.column("block").to_numpy(), b.column("p").to_numpy().astype(np.int64)
+                yield from route.rows(*((block, p) if by_block else (p, block)), b.column("body"), by_block).to_batches()
+
+        return of
+
+    def of_part(group: pa.Table) -> pa.Table:
+        p, block, bodies = opened(group)
+        return answer(pa.table({"block": block, "p": pa.array(p, pa.int32()), "body": bodies}))
+
+    def of_blocks(group: pa.Table) -> pa.Table:
+        t = route.turned(group, False)
+        return pa.table([t["at"], pa.array([level] * len(t), pa.int32()), t["keys"], t["bodies"]], names=["block", "level", "keys", "bodies"])
+
+    there = asked.select("block", "p", "body").mapInArrow(packed(True), Route.SENT).groupBy("batch", "c").applyInArrow(lambda group: route.turned(group, True), Route.SENT)
+    out = settle(there.groupBy("at").applyInArrow(of_part, ANSWERS))
+    back = out.where("block IS NOT NULL").select("block", "p", "body").mapInArrow(packed(False), Route.SENT)
+    return out, settle(back.groupBy("batch", "c").applyInArrow(of_blocks, "block long, level int, keys array<long>, bodies array<binary>"))
+
+
+def score(docs: DataFrame, train: str | Column, key: str = "doc_id", text: str = "text", depth: int = DEPTH, min_count: int = MIN_COUNT, min_divergence: float = MIN_DIVERGENCE, fan: int = FAN) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document; ``train``: those to learn from; ``fan``: parts up to which messages go in one step."""
     spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
     mark = F.coalesce(docs[train] if isinstance(train, str) else train, F.lit(False)).alias("train")
     docs = docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text"), mark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rule = Rule(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART), depth, min_count, min_divergence)
+    route = Route.between(size // BLOCK, rule.parts) if rule.parts > fan else None
     sent = settle(blocks(docs, rule.parts))
     texts = sent.where("p = -1").select("block", "body", "ids", "train")
-    known = [settle(sent.where("p >= 0").select("block", "p", "body").groupBy("p").applyInArrow(number_words, ANSWERS))]
+    words, back = exchange(sent.where("p >= 0").select("block", "p", "body"), number_words, 0, route)
+    known = [back]
     # One row: distinct words and tokens.
-    rule.known, rule.total = (x or 0 for x in known[0].where("block IS NULL").agg(F.sum("types"), F.sum("n")).first())
+    rule.known, rule.total = (x or 0 for x in words.where("block IS NULL").agg(F.sum("types"), F.sum("n")).first())
 
     def replies() -> DataFrame:
         out = known[0]
         for more in known[1:]:
             out = out.unionByName(more)
-        return out.where("block IS NOT NULL").select("block", "level", "p", "body")
+        return out
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
         own = Texts(left, right, rule)
@@ -316,8 +397,9 @@ def score(docs: DataFrame, train: str | Column, key: str = "doc_id", text: str =
 
     for level in range(1, depth + 1):
         asked = texts.groupBy("block").cogroup(replies().groupBy("block")).applyInArrow(ask, "block long, p int, body binary")
-        known.append(settle(asked.groupBy("p").applyInArrow(tested(level), ANSWERS)))
-        sums = known[-1].where("block IS NULL").groupBy("context").agg(F.max("above").alias("above"), *(F.sum(c).alias(c) for c in ("types", "n", "term"))).orderBy("context")
+        out, back = exchange(asked, tested(level), level, route)
+        known.append(back)
+        sums = out.where("block IS NULL").groupBy("context").agg(F.max("above").alias("above"), *(F.sum(c).alias(c) for c in ("types", "n", "term"))).orderBy("context")
         c, above, types, n, term = (x.to_numpy() for x in sums.toArrow().columns)  # four contexts a part at most
         rule.dealt[level] = c, rule.states(types, n, above, term.astype(float))
 
