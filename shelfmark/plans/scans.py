@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from shelfmark.functions import text as T
 from shelfmark.operators import checks, enrich, graph
 from shelfmark.plans.catalog import facets, query, t
+from shelfmark.session import parts_of
 from shelfmark.sources import catalogue, markdown
 
+#: Blocks a task.
+BLOCKS = 10_000
+
 
 def pages(rows: DataFrame, number: str, block, head: str = "", foot: str = "") -> DataFrame:
     """``page, text``: the blocks of a hundred numbers each, in their order."""
     b = rows.select(F.floor(F.col(number) / 100).alias("page"), F.col(number).alias("n"), block.alias("b"))
+    # Lines of a page, and windows over them, stay in the task that gathers it: its share is counted in blocks, not in bytes.
+    b = b.repartition(parts_of(rows, BLOCKS), "page")
     text = F.array_join(F.array_sort(F.collect_list(F.struct("n", "b")))["b"], "\n")
     return b.groupBy("page").agg(F.concat(F.lit(head), text, F.lit(foot)).alias("text"))
 

@@ -40,6 +40,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/shelfmark-{uuid.uuid4().hex}"
 
 
+def parts_of(rows: DataFrame, each: int) -> int:
+    """How many partitions hold ``rows`` at ``each`` rows a partition. A number given to ``repartition`` stands; one that is left to Spark follows bytes as shuffled, however many rows are made of them in the same stage."""
+    return 1 + rows.count() // each
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: it is computed once and its lineage ends there."""
     path = scratch_dir(df.sparkSession)
