@@ -16,7 +16,8 @@ def _named(df: DataFrame, check: str, key: Column) -> DataFrame:
 def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str, check: str) -> DataFrame:
     """Child keys without a parent; null keys refer to nothing."""
     keys = parent.select(F.col(pk).alias(fk)).distinct()
-    return _named(child.where(F.col(fk).isNotNull()).join(keys, fk, "left_anti").select(fk).distinct(), check, F.col(fk))
+    # Keys are made distinct before they meet, in part where they are read, so that neither side's repeats are sorted in a task.
+    return _named(child.where(F.col(fk).isNotNull()).select(fk).distinct().join(keys, fk, "left_anti"), check, F.col(fk))
 
 
 def duplicates(df: DataFrame, keys: Sequence[str], check: str) -> DataFrame:

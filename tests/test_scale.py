@@ -9,3 +9,11 @@ def test_pages_are_dealt_by_blocks(spark):
     docs = scans.pages(rows, "n", rows["n"].cast("string"))
     assert docs.rdd.getNumPartitions() == 1 + 60_000 // scans.BLOCKS
     assert docs.count() == 600 and docs.where("page = 3").first().text == "\n".join(map(str, range(300, 400)))
+
+
+def test_child_keys_are_distinct_before_they_meet(spark):
+    child = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k long")
+    found = checks.orphans(child, "k", spark.createDataFrame([(2,)], "p long"), "p", "lost")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftAnti") < plan.index("Aggregate")
+    assert [tuple(r) for r in found.collect()] == [("lost", "1")]
