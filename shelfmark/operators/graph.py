@@ -48,23 +48,31 @@ def degree(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst
     return nodes.select(key).join(counts, key, "left").select(key, F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
+#: Pairs a task.
+PAIRS = 2_000_000
+
+
 def _pairs(own: DataFrame, block: int) -> DataFrame:
-    """``k, src, dst``, src < dst, of all pairs of nodes with a key, for distinct ``k, n``.
+    """``src, dst``, src < dst, of all pairs of nodes with a key, and the key's other columns, for distinct ``k, n`` and these; dealt by ``src, dst``.
 
-    Members of a key with more than ``block`` of them are dealt into blocks by hash, and each pair of blocks is a join key of its own; so no task pairs more than ``block`` with ``block`` members, whatever a key holds.
+    Members of a key with more than ``block`` of them are dealt into blocks by hash, and each pair of blocks is a join key of its own; so one join key pairs ``block`` with ``block`` members, whatever a key holds.
+    Tasks are as many as the pairs ask for, since members are few where the pairs made of them are many.
     """
+    own = settle(own)
+    n = 1 + int(own.groupBy("k").agg(F.count("*").alias("c")).agg(F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2)).first()[0] or 0) // PAIRS
     sizes = own.groupBy("k").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
     d = own.join(sizes, "k").where("nb >= 1").withColumn("b", F.pmod(F.xxhash64("n"), F.col("nb")).cast("int"))
-    d = d.select("k", "n", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
-    d = d.select("k", "n", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-    left = d.where("b = i").select("k", "i", "j", F.col("n").alias("x"))
+    d = d.select(*own.columns, "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    d = d.select(*own.columns, "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")).repartition(n, "k", "i", "j")
+    shown = [c for c in own.columns if c not in ("k", "n")]
+    left = d.where("b = i").select("k", "i", "j", F.col("n").alias("x"), *shown)
     right = d.where("b = j").select("k", "i", "j", F.col("n").alias("y"))
     # Within one block each pair is met in both orders, across two in one.
     both = left.join(right, ["k", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
-    return both.select("k", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
+    return both.select(F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"), *shown).repartition(n, "src", "dst")
 
 
-def shared_key_pairs(rows: DataFrame, key: str, node: str, max_group: int | None = None, block: int = 4096) -> DataFrame:
+def shared_key_pairs(rows: DataFrame, key: str, node: str, max_group: int | None = None, block: int = 1024) -> DataFrame:
     """Edges ``(src, dst, weight)`` between nodes that share a key, src < dst; weight counts the shared keys. Keys with many nodes are split (``_pairs``).
 
     ``max_group`` leaves out keys held by more nodes than that (hubs, whose pairs grow with the square).
@@ -76,12 +84,13 @@ def shared_key_pairs(rows: DataFrame, key: str, node: str, max_group: int | None
     return _pairs(own, block).groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def shared_names(rows: DataFrame, key: str, node: str, shown: str, order: list[str], block: int = 4096) -> DataFrame:
+def shared_names(rows: DataFrame, key: str, node: str, shown: str, order: list[str], block: int = 1024) -> DataFrame:
     """Edges ``(src, dst, shared)`` between nodes that share a key, with the sorted names of the keys; a key is shown as the trimmed ``shown`` of its first row by ``order``."""
     known = rows.where(F.col(key).isNotNull() & F.col(node).isNotNull())
     names = known.groupBy(F.col(key).alias("k")).agg(F.min_by(F.trim(shown), F.struct(*order)).alias("name"))
-    pairs = _pairs(known.select(F.col(key).alias("k"), F.col(node).alias("n")).distinct(), block)
-    return pairs.join(names, "k").groupBy("src", "dst").agg(F.array_sort(F.collect_set("name")).alias("shared"))
+    # Names meet the members of a key, not its pairs, which would all be in the one task that has the name.
+    own = known.select(F.col(key).alias("k"), F.col(node).alias("n")).distinct().join(names, "k")
+    return _pairs(own, block).groupBy("src", "dst").agg(F.array_sort(F.collect_set("name")).alias("shared"))
 
 
 def citations(refs: DataFrame, works: DataFrame, key: str = "id", doi: str = "doi") -> DataFrame:

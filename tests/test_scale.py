@@ -1,6 +1,10 @@
 """What one task holds stays within a bound when tables grow."""
 
-from shelfmark.operators import checks
+from itertools import combinations
+
+from pyspark.sql import functions as F
+
+from shelfmark.operators import checks, graph
 from shelfmark.plans import scans
 
 
@@ -17,3 +21,14 @@ def test_child_keys_are_distinct_before_they_meet(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join LeftAnti") < plan.index("Aggregate")
     assert [tuple(r) for r in found.collect()] == [("lost", "1")]
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    """60 nodes of one key: tasks hold no more than a few times ``PAIRS`` pairs, and names are there."""
+    monkeypatch.setattr(graph, "PAIRS", 100)
+    rows = spark.range(60).select("id", F.lit("hub").alias("k"), F.concat(F.lit(" Hub "), F.col("id").cast("string")).alias("name"))
+    pairs = graph._pairs(rows.select("k", F.col("id").alias("n")), 16)
+    assert pairs.rdd.getNumPartitions() == 18 and max(map(len, pairs.rdd.glom().collect())) < 300
+    got = graph.shared_names(rows, "k", "id", "name", ["id"], block=16)
+    assert sorted((r.src, r.dst, *r.shared) for r in got.collect()) == [(a, b, "Hub 0") for a, b in combinations(range(60), 2)]
+    assert sorted(map(tuple, graph.shared_key_pairs(rows, "k", "id", block=16).collect())) == [(a, b, 1) for a, b in combinations(range(60), 2)]
