@@ -31,4 +31,6 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     assert pairs.rdd.getNumPartitions() == 18 and max(map(len, pairs.rdd.glom().collect())) < 300
     got = graph.shared_names(rows, "k", "id", "name", ["id"], block=16)
     assert sorted((r.src, r.dst, *r.shared) for r in got.collect()) == [(a, b, "Hub 0") for a, b in combinations(range(60), 2)]
-    assert sorted(map(tuple, graph.shared_key_pairs(rows, "k", "id", block=16).collect())) == [(a, b, 1) for a, b in combinations(range(60), 2)]
+    edges = graph.shared_key_pairs(rows, "k", "id", block=16)
+    assert edges.rdd.getNumPartitions() == 18
+    assert sorted(map(tuple, edges.collect())) == [(a, b, 1) for a, b in combinations(range(60), 2)]
