@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfmark.session import settle
+from shelfmark.session import parts_of, settle
 
 #: Types of VARIANT by their names in a schema.
 KINDS = {"object": ["OBJECT"], "array": ["ARRAY"], "string": ["STRING"], "boolean": ["BOOLEAN"], "null": ["VOID"], "number": ["BIGINT", "DOUBLE", "FLOAT", "DECIMAL"], "integer": ["BIGINT", "DECIMAL", "DOUBLE", "FLOAT"]}
@@ -63,6 +63,8 @@ def rules_of(schema: dict) -> list[Rule]:
     return out
 
 
+#: Payloads a task.
+PAYLOADS = 50_000
 RULE = "rule int, kinds array<string>, whole boolean, members map<string,int>, required array<string>, closed boolean, each int, allowed array<string>, least double, pattern string"
 
 
@@ -74,7 +76,9 @@ def violations(payloads: DataFrame, key: str, body: str, schema: dict) -> DataFr
     """``key, path, fault, detail``: faults are ``json``, ``type``, ``missing``, ``extra`` and ``value``; a path is a JSON pointer, empty for the whole payload."""
     spark = payloads.sparkSession
     rules = spark.createDataFrame([(i, r.kinds, r.whole, r.members, r.required, r.closed, r.each, r.allowed, r.least, r.pattern) for i, r in enumerate(rules_of(schema))], RULE)  # as many as the schema has places
-    parsed = settle(payloads.where(F.col(body).isNotNull()).select(F.col(key).alias("key"), F.try_parse_json(body).alias("v")))
+    # One file may hold many payloads, and each makes many values: they are dealt by their number, at least over the cores there are.
+    n = max(parts_of(payloads, PAYLOADS), min(spark.sparkContext.defaultParallelism, parts_of(payloads, 1000)))
+    parsed = settle(payloads.where(F.col(body).isNotNull()).select(F.col(key).alias("key"), F.col(body).alias("_b")).repartition(n).select("key", F.try_parse_json("_b").alias("v")))
     found = [parsed.where("v IS NULL").select("key", F.lit("").alias("path"), F.lit("json").alias("fault"), F.lit("").alias("detail"))]
     level = parsed.where("v IS NOT NULL").select("key", F.lit("").alias("path"), F.lit(0).alias("rule"), "v")
     while True:
@@ -85,16 +89,20 @@ def violations(payloads: DataFrame, key: str, body: str, schema: dict) -> DataFr
         fits = (F.size("kinds") == 0) | F.array_contains("kinds", F.col("kind")) & ~(F.col("whole") & number & (F.col("v").try_cast("double") % 1 != 0))
         names = F.when(F.col("kind") == "OBJECT", F.json_object_keys(F.to_json("v")))
         unlike = F.col("allowed").isNotNull() & ~F.array_contains("allowed", F.coalesce(text, F.to_json("v"))) | number & (F.col("v").try_cast("double") < F.col("least")) | ~F.rlike(text, F.col("pattern"))
+        short = (F.size("required") > 0) & (F.size(F.array_except("required", names)) > 0)
+        over = F.col("closed") & (F.size(F.array_except(names, F.map_keys("members"))) > 0)
+        # Most values have no fault: these are left out before lists of faults are made.
+        faulty = F.coalesce(~fits | (F.col("kind") == "OBJECT") & (short | over), F.lit(False)) | F.coalesce(unlike, F.lit(False))
         fault = lambda kind, detail: F.struct(F.lit(kind).alias("fault"), detail.alias("detail"))
         none = F.array().cast("array<struct<fault:string,detail:string>>")
         faults = F.when(~fits, F.array(fault("type", F.col("kind")))).otherwise(
             F.concat(
-                F.when(F.col("kind") == "OBJECT", F.transform(F.array_except("required", names), lambda n: fault("missing", n))).otherwise(none),
+                F.when((F.col("kind") == "OBJECT") & (F.size("required") > 0), F.transform(F.array_except("required", names), lambda n: fault("missing", n))).otherwise(none),
                 F.when((F.col("kind") == "OBJECT") & F.col("closed"), F.transform(F.array_except(names, F.map_keys("members")), lambda n: fault("extra", n))).otherwise(none),
                 F.when(unlike, F.array(fault("value", F.coalesce(text, F.to_json("v"))))).otherwise(none),
             )
         )
-        found.append(nodes.select("key", "path", F.inline(faults)))
+        found.append(nodes.where(faulty).select("key", "path", F.inline(faults)))
         inside = nodes.where(fits & ((F.col("kind") == "OBJECT") & (F.size("members") > 0) | (F.col("kind") == "ARRAY") & (F.col("each") >= 0))).select(F.col("key").alias("_key"), "path", "members", "each", "kind", "v")
         parts = inside.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("_key", "path", "members", "each", "kind", "pos", "key", "value")
         rule = F.when(F.col("kind") == "ARRAY", F.col("each")).otherwise(F.try_element_at("members", F.col("key")))

@@ -5,8 +5,8 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as T
-from shelfmark.operators import checks, graph
-from shelfmark.plans import scans
+from shelfmark.operators import checks, graph, payload
+from shelfmark.plans import scans, strings
 
 
 def test_pages_are_dealt_by_blocks(spark):
@@ -42,3 +42,12 @@ def test_tiers_end_at_the_end_and_keep_letters(spark):
     cases = {"CC NC": "restricted", "nc\n": "restricted", "nc\u2028": "unknown", "nc\u0085": "unknown", "x\x0bnc": "unknown", "\ufb01sc": "unknown", "isc": "permissive", "x-sa": "copyleft", "mit": "permissive", "émit": "permissive"}
     df = spark.createDataFrame(list(cases.items()), "t string, want string")
     assert [r.t for r in df.where(T.licence_tier(F.col("t")) != F.col("want")).collect()] == []
+
+
+def test_payloads_are_dealt_by_their_number(spark, monkeypatch, tmp_path):
+    """One file of one task is walked by many, with the same faults."""
+    monkeypatch.setattr(payload, "PAYLOADS", 10)
+    spark.range(100).selectExpr("id", "'{\"a\":' || if(id % 7 = 0, '\"x\"', '1') || '}' AS body").coalesce(1).write.parquet(f"{tmp_path}/one")
+    found = payload.violations(spark.read.parquet(f"{tmp_path}/one"), "id", "body", {"type": "object", "properties": {"a": {"type": "integer"}}})
+    assert sorted(map(tuple, found.collect())) == [(i, "/a", "type", "STRING") for i in range(0, 100, 7)]
+    assert len(found.inputFiles()) > 10
