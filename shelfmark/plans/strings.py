@@ -8,7 +8,7 @@ from shelfmark.functions import text as T
 from shelfmark.operators import enrich, sets
 from shelfmark.plans.catalog import MEMBERS, members, query, t
 from shelfmark.plans.scans import pages
-from shelfmark.session import scratch_dir
+from shelfmark.session import parts_of, scratch_dir
 from shelfmark.sources import catalogue
 
 DOI = """CASE o_orderkey % 10 WHEN 0 THEN '  HTTPS://dx.DOI.org/10.1234/AbC' || o_orderkey WHEN 1 THEN 'doi: 10.12345/X(' || o_custkey || ')' WHEN 2 THEN '' WHEN 3 THEN NULL WHEN 4 THEN '10.12/short' WHEN 5 THEN '10.1234/' || repeat('x', 150 + o_custkey % 80)
@@ -143,17 +143,23 @@ def inline_cells(spark, sf):
     return t(spark, sf, "part").select("p_partkey", T.inline_markdown(F.translate(F.expr(CELL), "|", "\\")).alias("cell"))
 
 
+#: Models a file, and a task.
+MODELS = 50_000
+
+
 @query("""SELECT o_orderkey, o_orderstatus AS status, CASE WHEN o_orderkey % 3 = 0 THEN 'a "b" \\ {é}, [' || o_custkey || ']: ' END AS note, coalesce(n, 0)::BIGINT AS n_lines, coalesce(l.lines, '') AS lines FROM orders
 LEFT JOIN (SELECT l_orderkey, count(*) AS n, string_agg(l_partkey || 'x' || l_quantity::INT, ',' ORDER BY l_linenumber, l_partkey, l_quantity) AS lines FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey""")
 def pretty_models(spark, sf):
     """Orders with their lines as indented JSON arrays, written and read again."""
     line = F.struct("l_linenumber", F.struct(F.col("l_partkey").alias("part"), F.col("l_quantity").cast("int").alias("qty")).alias("l"), "l_quantity")
-    lines = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]).alias("lines"))
+    orders = t(spark, sf, "orders")
+    files = parts_of(orders, MODELS)
+    lines = t(spark, sf, "lineitem").repartition(files, "l_orderkey").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]).alias("lines"))
     note = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit('a "b" \\ {é}, ['), F.col("o_custkey").cast("string"), F.lit("]: ")))
     none = F.array().cast("array<struct<part:long,qty:int>>")
-    model = t(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.struct(F.col("o_orderstatus").alias("status"), note.alias("note")).alias("head"), F.coalesce(F.col("lines").cast("array<struct<part:long,qty:int>>"), none).alias("lines"))
+    model = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.struct(F.col("o_orderstatus").alias("status"), note.alias("note")).alias("head"), F.coalesce(F.col("lines").cast("array<struct<part:long,qty:int>>"), none).alias("lines"))
     path = scratch_dir(spark)
-    catalogue.write_pretty(model, path, ["o_orderkey"])
+    catalogue.write_pretty(model, path, ["o_orderkey"], files=files)
     back = catalogue.read_pretty(spark, path, model.schema)
     shown = F.array_join(F.transform("lines", lambda x: F.concat_ws("x", x["part"].cast("string"), x["qty"].cast("string"))), ",")
     return back.select("o_orderkey", "head.status", "head.note", F.size("lines").cast("long").alias("n_lines"), shown.alias("lines"))
