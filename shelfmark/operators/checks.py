@@ -8,6 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.session import parts_of
+
+#: Rows a task.
+ROWS = 1_000_000
+
 
 def _named(df: DataFrame, check: str, key: Column) -> DataFrame:
     return df.select(F.lit(check).alias("check_name"), key.cast("string").alias("violation_key"))
@@ -15,13 +20,14 @@ def _named(df: DataFrame, check: str, key: Column) -> DataFrame:
 
 def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str, check: str) -> DataFrame:
     """Child keys without a parent; null keys refer to nothing."""
-    keys = parent.select(F.col(pk).alias(fk)).distinct()
-    # Keys are made distinct before they meet, in part where they are read, so that neither side's repeats are sorted in a task.
-    return _named(child.where(F.col(fk).isNotNull()).select(fk).distinct().join(keys, fk, "left_anti"), check, F.col(fk))
+    n = parts_of(child, ROWS) + parts_of(parent, ROWS)
+    keys = parent.select(F.col(pk).alias(fk)).repartition(n, fk).distinct()
+    # Keys are made distinct before they meet, so that no side's repeats are sorted.
+    return _named(child.where(F.col(fk).isNotNull()).select(fk).repartition(n, fk).distinct().join(keys, fk, "left_anti"), check, F.col(fk))
 
 
 def duplicates(df: DataFrame, keys: Sequence[str], check: str) -> DataFrame:
-    return _named(df.groupBy(*keys).count().where("count > 1"), check, F.concat_ws("|", *keys))
+    return _named(df.select(*keys).repartition(parts_of(df, ROWS), *keys).groupBy(*keys).count().where("count > 1"), check, F.concat_ws("|", *keys))
 
 
 def where(df: DataFrame, bad: Column, key: str, check: str) -> DataFrame:

@@ -16,12 +16,14 @@ def test_pages_are_dealt_by_blocks(spark):
     assert docs.count() == 600 and docs.where("page = 3").first().text == "\n".join(map(str, range(300, 400)))
 
 
-def test_child_keys_are_distinct_before_they_meet(spark):
+def test_child_keys_are_distinct_before_they_meet(spark, monkeypatch):
+    monkeypatch.setattr(checks, "ROWS", 2)
     child = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k long")
     found = checks.orphans(child, "k", spark.createDataFrame([(2,)], "p long"), "p", "lost")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join LeftAnti") < plan.index("Aggregate")
     assert [tuple(r) for r in found.collect()] == [("lost", "1")]
+    assert checks.duplicates(child, ["k"], "twice").rdd.getNumPartitions() == 3
 
 
 def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
@@ -51,3 +53,9 @@ def test_payloads_are_dealt_by_their_number(spark, monkeypatch, tmp_path):
     found = payload.violations(spark.read.parquet(f"{tmp_path}/one"), "id", "body", {"type": "object", "properties": {"a": {"type": "integer"}}})
     assert sorted(map(tuple, found.collect())) == [(i, "/a", "type", "STRING") for i in range(0, 100, 7)]
     assert len(found.inputFiles()) > 10
+
+
+def test_models_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(strings, "MODELS", 100)
+    back = strings.pretty_models(spark, "/root/testdata/sf0.001")
+    assert len(back.inputFiles()) == 16 and back.count() == 1500
