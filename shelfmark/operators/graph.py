@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions import text as T
-from shelfmark.session import drop_settled, settle
+from shelfmark.session import drop_settled, parts_of, settle
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -48,20 +48,30 @@ def degree(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst
     return nodes.select(key).join(counts, key, "left").select(key, F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
-#: Pairs a task.
+#: Pairs a task, rows a task, and keys that are broadcast at most.
 PAIRS = 2_000_000
+ROWS = 1_000_000
+HUBS = 100_000
 
 
 def _pairs(own: DataFrame, block: int) -> DataFrame:
     """``src, dst``, src < dst, of all pairs of nodes with a key, and the key's other columns, for distinct ``k, n`` and these; dealt by ``src, dst``.
 
     Members of a key with more than ``block`` of them are dealt into blocks by hash, and each pair of blocks is a join key of its own; so one join key pairs ``block`` with ``block`` members, whatever a key holds.
-    Tasks are as many as the pairs ask for, since members are few where the pairs made of them are many.
+    Tasks are as many as the members and the pairs ask for, since members are few where the pairs made of them are many, and many where keys have few. Keys are counted where they are dealt, not before: a map of the keys of
+    one file would grow with the file.
     """
     own = settle(own)
-    n = 1 + int(own.groupBy("k").agg(F.count("*").alias("c")).agg(F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2)).first()[0] or 0) // PAIRS
-    sizes = own.groupBy("k").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
-    d = own.join(sizes, "k").where("nb >= 1").withColumn("b", F.pmod(F.xxhash64("n"), F.col("nb")).cast("int"))
+    m = parts_of(own, ROWS)
+    sizes = settle(own.select("k").repartition(m, "k").groupBy("k").agg(F.count("*").alias("c")))
+    n = m + int(sizes.agg(F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2)).first()[0] or 0) // PAIRS
+    hubs = sizes.where(F.col("c") > block).select("k", F.ceil(F.col("c") / block).cast("int").alias("nb"))
+    many = hubs.count()
+    if many > HUBS:
+        d = own.repartition(m, "k").join(hubs.repartition(m, "k"), "k", "left")
+    else:
+        d = own.join(F.broadcast(hubs), "k", "left") if many else own.withColumn("nb", F.lit(1))
+    d = d.withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("b", F.pmod(F.xxhash64("n"), F.col("nb")).cast("int"))
     d = d.select(*own.columns, "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
     d = d.select(*own.columns, "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")).repartition(n, "k", "i", "j")
     shown = [c for c in own.columns if c not in ("k", "n")]
@@ -77,8 +87,10 @@ def shared_key_pairs(rows: DataFrame, key: str, node: str, max_group: int | None
 
     ``max_group`` leaves out keys held by more nodes than that (hubs, whose pairs grow with the square).
     """
-    own = rows.select(F.col(key).alias("k"), F.col(node).alias("n")).dropna().distinct()
+    m = parts_of(rows, ROWS)
+    own = rows.select(F.col(key).alias("k"), F.col(node).alias("n")).dropna().repartition(m, "k", "n").distinct()
     if max_group is not None:
+        own = own.repartition(m, "k")
         small = own.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") <= max_group).select("k")
         own = own.join(small, "k", "left_semi")
     return _pairs(own, block).groupBy("src", "dst").agg(F.count("*").alias("weight"))
@@ -86,10 +98,10 @@ def shared_key_pairs(rows: DataFrame, key: str, node: str, max_group: int | None
 
 def shared_names(rows: DataFrame, key: str, node: str, shown: str, order: list[str], block: int = 1024) -> DataFrame:
     """Edges ``(src, dst, shared)`` between nodes that share a key, with the sorted names of the keys; a key is shown as the trimmed ``shown`` of its first row by ``order``."""
-    known = rows.where(F.col(key).isNotNull() & F.col(node).isNotNull())
-    names = known.groupBy(F.col(key).alias("k")).agg(F.min_by(F.trim(shown), F.struct(*order)).alias("name"))
+    known = rows.where(F.col(key).isNotNull() & F.col(node).isNotNull()).withColumn("k", F.col(key)).repartition(parts_of(rows, ROWS), "k")
+    names = known.groupBy("k").agg(F.min_by(F.trim(shown), F.struct(*order)).alias("name"))
     # Names meet the members of a key, not its pairs, which would all be in the one task that has the name.
-    own = known.select(F.col(key).alias("k"), F.col(node).alias("n")).distinct().join(names, "k")
+    own = known.select("k", F.col(node).alias("n")).distinct().join(names, "k")
     return _pairs(own, block).groupBy("src", "dst").agg(F.array_sort(F.collect_set("name")).alias("shared"))
 
 

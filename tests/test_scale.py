@@ -39,6 +39,20 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     assert sorted(map(tuple, edges.collect())) == [(a, b, 1) for a, b in combinations(range(60), 2)]
 
 
+def test_members_of_keys_without_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    """Keys of one member make no pairs, and their rows are many all the same; hubs, broadcast or not, and limits of groups change no edge."""
+    monkeypatch.setattr(graph, "ROWS", 100)
+    rows = spark.range(1000).selectExpr("id", "if(id < 40, 0, id) AS k").coalesce(1)
+    want = [(a, b, 1) for a, b in combinations(range(40), 2)]
+    for hubs in (0, 10):
+        monkeypatch.setattr(graph, "HUBS", hubs)
+        edges = graph.shared_key_pairs(rows, "k", "id", block=16)
+        assert edges.rdd.getNumPartitions() == 11
+        assert sorted(map(tuple, edges.collect())) == want
+    assert sorted(map(tuple, graph.shared_key_pairs(rows, "k", "id").collect())) == want
+    assert sorted(map(tuple, graph.shared_key_pairs(rows, "k", "id", max_group=40).collect())) == want and graph.shared_key_pairs(rows, "k", "id", max_group=39).isEmpty()
+
+
 def test_tiers_end_at_the_end_and_keep_letters(spark):
     """What DuckDB's patterns give: no end before a last line mark, no vertical tab among blanks, and letters that fall apart in upper case are no plain ones."""
     cases = {"CC NC": "restricted", "nc\n": "restricted", "nc\u2028": "unknown", "nc\u0085": "unknown", "x\x0bnc": "unknown", "\ufb01sc": "unknown", "isc": "permissive", "x-sa": "copyleft", "mit": "permissive", "émit": "permissive"}
