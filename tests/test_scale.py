@@ -69,6 +69,22 @@ def test_payloads_are_dealt_by_their_number(spark, monkeypatch, tmp_path):
     assert len(found.inputFiles()) > 10
 
 
+def test_payloads_are_walked_in_one_pass(spark, monkeypatch):
+    """Seven levels are settled once after the payloads, as many passes as it takes give the same faults, and faults of every level are there."""
+    node = {"type": "object", "required": ["v"], "properties": {"v": {"type": "integer"}, "kids": {"type": "array", "items": {"$ref": "#/$defs/node"}}}}
+    schema = {"$ref": "#/$defs/node", "$defs": {"node": node}}
+    body = '{"v":1.5,"kids":[{"v":1,"kids":[]},{"kids":[{"v":"x","kids":[null,{"v":2.0,"kids":{}}]}]}]}'
+    rows = spark.createDataFrame([(1, body), (2, None), (3, "null"), (4, "["), (5, "{}")], "id int, body string")
+    want = sorted([(1, "/v", "type", "DECIMAL"), (1, "/kids/1", "missing", "v"), (1, "/kids/1/kids/0/v", "type", "STRING"), (1, "/kids/1/kids/0/kids/0", "type", "VOID"), (1, "/kids/1/kids/0/kids/1/kids", "type", "OBJECT"), (3, "", "type", "VOID"), (4, "", "json", ""), (5, "", "missing", "v")])
+    settled, settle = [], payload.settle
+    monkeypatch.setattr(payload, "settle", lambda df: settled.append(df) or settle(df))
+    for levels, passes in ((8, 1), (3, 3), (1, 8)):
+        monkeypatch.setattr(payload, "LEVELS", levels)
+        settled.clear()
+        assert sorted(map(tuple, payload.violations(rows, "id", "body", schema).collect())) == want
+        assert len(settled) == 1 + passes
+
+
 def test_models_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(strings, "MODELS", 100)
     back = strings.pretty_models(spark, "/root/testdata/sf0.001")
