@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import asserts
 from shelfmark.plans.catalog import query, t
-from shelfmark.plans.scans import pages
+from shelfmark.plans.scans import BLOCKS, pages
+from shelfmark.session import parts_of, settle
 from shelfmark.sources import catalogue, rewrite
 
 REFS = """CASE WHEN c_custkey % 10 = 0 THEN '## Part ' || c_custkey || chr(10) || chr(10) ELSE '' END || CASE WHEN c_custkey % 10 IN (0, 4, 7) THEN 'Text ' || c_custkey || chr(10) || 'goes on.' || chr(10) || chr(10) ELSE '' END
@@ -43,13 +44,16 @@ def unplaced_references(spark, sf):
 SELECT 'same' AS trip, 0::BIGINT AS lost, 0::BIGINT AS made UNION ALL SELECT 'damaged', count(*) FILTER (id % 11 = 0 OR id % 17 = 0)::BIGINT, count(*) FILTER (id % 11 = 0 AND id % 17 <> 0)::BIGINT FROM a""")
 def reference_round_trips(spark, sf):
     """What is read is written and read again: as it is, and with words cut in every eleventh row and every seventeenth row dropped."""
-    docs = reference_docs(spark, sf)
+    # What is written is settled and dealt again by the number of blocks before it is read: a reading holds lines and windows over them, many for each byte of the documents, and should meet no other in its task.
+    n = parts_of(t(spark, sf, "customer"), BLOCKS)
+    dealt = lambda d: settle(d).repartition(n, "page")
+    docs = dealt(reference_docs(spark, sf))
     read = lambda d: catalogue.anchored(d, "page", "text").where("section IS NOT NULL").select("page", "section", F.col("id").alias("ordinal"), "raw", "quotes")
-    rows = read(docs)
+    rows = dealt(read(docs))
     cut = rows.where("ordinal % 17 <> 0").withColumn("raw", F.when(F.col("ordinal") % 11 == 0, F.replace("raw", F.lit(" Old."))).otherwise(F.col("raw")))
 
     def trip(name, given):
-        again = rewrite.round_trip(rows, read(rewrite.references(docs, "page", "text", given)[0]), "references")
+        again = rewrite.round_trip(rows, dealt(read(dealt(rewrite.references(docs, "page", "text", given)[0]))), "references")
         sign = F.left("violation_key", F.lit(1))
         return again.agg(F.count_if(sign == "-").alias("lost"), F.count_if(sign == "+").alias("made")).select(F.lit(name).alias("trip"), "lost", "made")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text as T
 from shelfmark.operators import checks, graph, payload
-from shelfmark.plans import scans, strings
+from shelfmark.plans import rewritten, scans, strings
 
 
 def test_pages_are_dealt_by_blocks(spark):
@@ -85,6 +85,16 @@ def test_payloads_are_walked_in_one_pass(spark, monkeypatch):
         assert len(settled) == 1 + passes
 
 
+def test_written_documents_are_dealt_before_they_are_read(spark, monkeypatch):
+    """What the session's own number of partitions gathers is dealt by the number of blocks."""
+    monkeypatch.setattr(rewritten, "BLOCKS", 10)
+    read, anchored = [], rewritten.catalogue.anchored
+    monkeypatch.setattr(rewritten.catalogue, "anchored", lambda d, *a: read.append(d) or anchored(d, *a))
+    trips = rewritten.reference_round_trips(spark, "/root/testdata/sf0.001")
+    assert [d.rdd.getNumPartitions() for d in read] == [16, 16, 16]
+    assert {r.trip: (r.lost, r.made) for r in trips.collect()}["same"] == (0, 0)
+
+
 def test_models_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(strings, "MODELS", 100)
     back = strings.pretty_models(spark, "/root/testdata/sf0.001")
